@@ -4,10 +4,11 @@
 2. Each class keeps the k smallest hashes of its set. Inverted lists of the retained values meet
    classes; two sets of similarity 0.85 share none of their smallest ``LISTED`` values with a chance
    of about 0.15 ** LISTED.
-3. Every list links its members to its first one. Only members that are then still in different
-   components are compared with each other, so a large group of copies costs its size, not its square.
-4. The k smallest values of both sketches together estimate the similarity; far pairs go.
-5. The rest is verified on full sets.
+3. Every list holds its members against its most central one. Only members that are then still in different components
+   are compared with each other, and only within a bound that follows from their overlaps with the central one, so a large
+   group of copies costs its size, not its square.
+4. Before that, the k smallest values of both sketches together estimate the similarity; far pairs go.
+5. All links are verified on full sets.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.llm.common import arrow_rows, components, saved
+from courtflow.llm.common import arrow_rows, components, saved, sized
 
 #: Values of a sketch, and how many of the smallest ones go to inverted lists.
 SKETCH = 24
-LISTED = 12
+LISTED = 16
+#: Retained values of a set that are not frequent and suffice to meet all its partners (0.15 ** 7 is 2e-6).
+RARE = 7
+#: Smallest values by which sets that consist of frequent ones meet.
+COMMON = 6
 #: Lists with more components than this hold frequent values; see ``_rest_pairs``.
 SMALL_LIST = 32
 #: Estimates this far below the threshold are over six standard errors away.
@@ -86,18 +91,28 @@ def _full_sets(words: int):
     return run
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(mask), "b": b.column(1).filter(mask)})
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, c): sizes of two full sets and of their intersection."""
+    for b in batches:
+        rows = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rows.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["a", "b", "n_a", "n_b", "c"])
 
-    return run
+
+def _novel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, e): each element of b's set that a's lacks."""
+    for b in batches:
+        a_ids, b_ids, parts = [], [], []
+        for a, o, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+            new = np.setdiff1d(np.frombuffer(y, np.uint64), np.frombuffer(x, np.uint64), assume_unique=True)
+            a_ids.append(np.full(len(new), a, np.int64))
+            b_ids.append(np.full(len(new), o, np.int64))
+            parts.append(new.view(np.int64))
+        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (a_ids, b_ids, parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "e"])
 
 
 def estimate(x: Column, y: Column, k: int) -> Column:
@@ -110,53 +125,69 @@ def _similar_sizes(n: Column, m: Column, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only the texts of their members are read into sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.mapInArrow(_full_sets(words), "id long, s binary")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("y")).hint("merge"), "b"
-    )
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+def _with_sets(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(a, b, x, y): pairs with the full sets of both. Only the texts of their members become sets."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(ids), "id", "left_semi")
+    sets = saved(texts.mapInArrow(_full_sets(words), "id long, s binary"))
+    first = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
+    second = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    return pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
 
 
-def _star_pairs(lists: DataFrame, percent: int, k: int) -> DataFrame:
-    """(first member, other member) of each inverted list, as far as sizes and sketches allow a link."""
-    heads = lists.groupBy("v").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = lists.join(heads.hint("merge"), "v").where(F.col("id") > F.col("h.id"))
+_MET = "a long, b long, n_a long, n_b long, c long"
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("c") >= percent * (F.col("n_a") + F.col("n_b") - F.col("c"))
+
+
+def _star_pairs(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
+    """(head, member) of each inverted list, as far as sizes and sketches allow a link."""
+    met = lists.join(heads.hint("merge"), "v").where(F.col("id") != F.col("h.id"))
     near = met.where(_similar_sizes(F.col("n"), F.col("h.n"), percent)).where(
         estimate(F.col("sketch"), F.col("h.sketch"), k) >= percent / 100 - SLACK
     )
     return near.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _rest_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs of list members in different components.
+def _rest_pairs(lists: DataFrame, heads: DataFrame, met: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """Pairs of list members in different components that may be linked.
 
-    A value in few components is compared in full. A value in many is frequent: a link between two sets that
-    share only frequent values needs both sketches to consist of them for the most part (with ``LISTED`` rare values
-    or 60 % rare ones in a sketch, the chance to share none of the rare ones is under 1e-7), so there only such
-    sets are compared.
+    For members x and y of one list with head h: if they share no element that h lacks, they share at most
+    m = min(|x and h|, |y and h|) elements, so a link needs m / (|x| + |y| - m) to reach the threshold. Pairs beyond that
+    bound meet only in lists of shared elements that h lacks, of which they share at most as many as either has. Where a value is in many components, it
+    is frequent, and only sets with under ``RARE`` other values in lists are compared by it: the rest meet in those others.
     """
     placed = lists.join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     span = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("comps")).where("lo < hi")
-    open_ = saved(placed.join(span.select("v", (F.col("comps") > SMALL_LIST).alias("frequent")).hint("merge"), "v"))
-    share = open_.groupBy("id").agg(F.sum(F.col("frequent").cast("int")).alias("_f"))
-    ruled = share.where(F.col("_f") > 0.4 * LISTED).select("id")
-    rare = open_.where("not frequent")
-    common = open_.where("frequent").join(ruled.hint("merge"), "id", "left_semi")
-    members = rare.unionByName(common).select("v", "id", "n", "sketch", "comp")
-    other = members.select("v", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp")))
-    met = members.hint("merge").join(
-        other,
-        (members.v == other.v)
-        & (F.col("id") < F.col("id_2"))
-        & (F.col("comp") != F.col("comp_2"))
-        & _similar_sizes(F.col("n"), F.col("n_2"), percent)
-        & (estimate(F.col("sketch"), F.col("sketch_2"), k) >= percent / 100 - SLACK),
-    )
-    return met.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
+    shown = span.select("v", (F.col("comps") > SMALL_LIST).alias("frequent")).join(heads.select("v", F.col("h.id").alias("h")).hint("merge"), "v")
+    open_ = saved(placed.join(shown.hint("merge"), "v"))
+    held = open_.where("frequent").groupBy("id", "n").agg(F.count(F.lit(1)).alias("_f"))
+    rare = held.where(F.least("n", F.lit(LISTED)) - F.col("_f") >= RARE).select("id")
+    some = open_.where("not frequent").unionByName(open_.where(F.col("frequent") & (F.col("pos") < COMMON)).join(rare.hint("merge"), "id", "left_anti"))
+    known = met.select(F.col("a").alias("h"), F.col("b").alias("id"), "c")
+    members = saved(some.join(known.hint("merge"), ["h", "id"], "left").withColumn("c", F.coalesce("c", "n")).select("v", "h", "id", "n", "sketch", "comp", "c"))
+    other = members.select("v", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c")))
+    apart = (F.col("id") < F.col("id_2")) & (F.col("comp") != F.col("comp_2")) & _similar_sizes(F.col("n"), F.col("n_2"), percent)
+    least = percent / 100 - SLACK
+    shared = F.size(F.array_intersect("sketch", "sketch_2"))  # a cheap look before the estimate
+    near = (shared >= F.floor(least * F.least(F.size("sketch"), F.size("sketch_2")))) & (estimate(F.col("sketch"), F.col("sketch_2"), k) >= least)
+    m = F.least("c", "c_2")
+    bound = 100 * m >= percent * (F.col("n") + F.col("n_2") - m)
+    most = m + F.least(F.col("n") - F.col("c"), F.col("n_2") - F.col("c_2"))
+    wide = 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
+    direct = members.hint("merge").join(other, (members.v == other.v) & apart & bound & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    # elements that the head lacks, of the members that were held against it
+    told = members.select("h", "id").distinct().join(known.hint("merge"), ["h", "id"])
+    new = _with_sets(told.select(F.col("h").alias("a"), F.col("id").alias("b")), docs, words).mapInArrow(_novel, "a long, b long, e long")
+    new = saved(new.select(F.col("a").alias("h"), F.col("b").alias("id"), "e"))
+    again = new.groupBy("h", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "e")
+    info = members.select("h", "id", "n", "sketch", "comp", "c").dropDuplicates(["h", "id"])
+    rows = saved(new.join(again.hint("merge"), ["h", "e"], "left_semi").join(info.hint("merge"), ["h", "id"]))
+    twin = rows.select("h", "e", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c")))
+    through = rows.hint("merge").join(twin, (rows.h == twin.h) & (rows.e == twin.e) & apart & wide & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    return direct.unionByName(through).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -172,18 +203,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     key = ["n_shingles", "f1", "f2"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min_by(F.struct("doc_id", "sketch"), "doc_id").alias("h"))
     heads = saved(classes.select(F.col("h.doc_id").alias("id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("h.sketch").alias("sketch")))
-    lists = heads.select(F.explode(F.slice("sketch", 1, LISTED)).alias("v"), "id", "n", "sketch")
-    # values of one set only can't link
-    busy = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
-    lists = saved(lists.join(busy.hint("merge"), "v", "left_semi"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(heads.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if False else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stars = saved(_confirmed(saved(_star_pairs(lists, percent, k)), texts, words, percent))
-    labels = components(stars)
-    more = saved(_rest_pairs(lists, labels, percent, k))
-    links = stars
+    lists = heads.select(F.posexplode(F.slice("sketch", 1, LISTED)).alias("pos", "v"), "id", "n", "sketch")
+    # values of one set only can't link; a set is the more central the more sets hold its values
+    busy = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = saved(lists.join(busy.hint("merge"), "v"))
+    central = lists.groupBy("id").agg(F.sum("size").alias("w"))
+    lists = saved(lists.drop("size").join(central.hint("merge"), "id"))
+    hubs = saved(lists.groupBy("v").agg(F.max_by(F.struct("id", "n", "sketch"), F.struct("w", -F.col("id"))).alias("h")))
+    lists = lists.drop("w")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    stars = saved(_star_pairs(lists, hubs, percent, k))
+    met = saved(_with_sets(stars, texts, words).mapInArrow(_overlaps, _MET))
+    links = saved(met.where(_linked(percent)).select("a", "b"))
+    labels = components(links)
+    more = saved(_rest_pairs(lists, hubs, met, labels, texts, words, percent, k))
     if not more.isEmpty():
-        links = stars.unionByName(saved(_confirmed(more, texts, words, percent)))
-        labels = components(links)
+        found = _with_sets(more, texts, words).mapInArrow(_overlaps, _MET).where(_linked(percent)).select("a", "b")
+        labels = components(links.unionByName(saved(found)))
     placed = heads.select("id", "n", "f1", "f2").join(labels.hint("merge"), "id", "left")
     placed = placed.select(F.col("n").alias("n_shingles"), "f1", "f2", F.coalesce("component", "id").alias("_c"))
     # a class's smallest id is its head, so the smallest head reachable is the smallest id reachable
