@@ -97,15 +97,14 @@ def runs_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
 def _runs(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for at, piece in segments(text.encode(), length):
                     s, n, to_a, a, f = runs_of(piece, length, gram)
-                    for col, x in zip(parts, (np.full(len(s), doc, np.int64), s + at, n, to_a, a, f)):
+                    for col, x in zip(parts, (np.full(len(s), doc, np.int64), ((s + at) << 20) | (n << 10) | to_a, a, f)):
                         col.append(x)
             cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in parts]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds)], ["doc", "s", "n", "to_a", "a", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "snt", "a", "f"])
 
     return run
 
@@ -114,7 +113,7 @@ def _offsets(length: int, gram: int) -> list[tuple[int, int]]:
     """(cell width, bytes of the prefix and suffix that name a cell) of each round: names grow at most twofold."""
     out, h = [], gram
     while h < length:
-        grown = min(2 * h, length)
+        grown = min(2 * h, length - 1 if not out else length - length // 7 if len(out) == 1 else length)
         last = out[-1][0] if out else None
         cell = length - grown + 1
         if last is not None and cell > 1:  # cells of a round part those of the round before evenly
@@ -133,7 +132,7 @@ def _ranked(length: int, cell: int, h: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
             for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 data = text.encode()
                 a, lo, hi, low, high = np.array([(x["a"], x["lo"], x["hi"], x["low"], x["high"]) for x in spans], np.int64).T
@@ -150,11 +149,11 @@ def _ranked(length: int, cell: int, h: int):
                         kr = Hashes(data[at : at + SEGMENT + length])
                         r1[here] = kr.at(start[here] - at, h).view(np.int64)
                         r2[here] = kr.at(start[here] - at + size - h, h).view(np.int64)
-                cols = (np.full(len(pick), doc, np.int64), a[pick], o1, low[pick], high[pick], r1, r2)
+                cols = (np.full(len(pick), doc, np.int64), (a[pick] << 30) | (o1 << 20) | (low[pick] << 10) | high[pick], r1, r2)
                 for col, x in zip(parts, cols):
                     col.append(x)
             cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "a", "lo", "low", "high", "r1", "r2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "cell", "r1", "r2"])
 
     return run
 
@@ -167,15 +166,16 @@ def double_ranks(docs: DataFrame, edges: DataFrame, length: int, gram: int) -> D
     Returns ``(doc, p)`` of windows that also start earlier.
     """
     cells = edges.select("doc", "a", F.lit(0).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"), "low", "high")
+    ten = F.lit(1023)
+    a, lo = F.shiftright("cell", 30), F.shiftright("cell", 20).bitwiseAND(ten)
     for cell, h in _offsets(length, gram):
         lists = saved(cells.groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi", "low", "high")).alias("spans")))
         texts = docs.join(sized(lists, 200_000), "doc").select("doc", "text", "spans")
-        pairs = saved(texts.mapInArrow(_ranked(length, cell, h), "doc long, a long, lo long, low long, high long, r1 long, r2 long"))
-        groups = pairs.groupBy("r1", "r2").agg(F.min(F.struct("doc", (F.col("a") - F.col("lo")).alias("p"))).alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        pairs = saved(texts.mapInArrow(_ranked(length, cell, h), "doc long, cell long, r1 long, r2 long"))
+        groups = pairs.groupBy("r1", "r2").agg(F.min(F.struct("doc", (a - lo).alias("p"))).alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1")
         company = pairs.join(groups.hint("merge"), ["r1", "r2"])
-        cells = company.select("doc", "a", "lo", (F.col("lo") + (cell - 1)).alias("hi"), "low", "high")
-    p = F.col("a") - F.col("lo")
-    return company.where(F.struct("doc", p.alias("p")) > F.col("g")).select("doc", p.alias("p"))
+        cells = company.select("doc", a.alias("a"), lo.cast("long").alias("lo"), (lo + (cell - 1)).cast("long").alias("hi"), F.shiftright("cell", 10).bitwiseAND(ten).alias("low"), F.col("cell").bitwiseAND(ten).alias("high"))
+    return company.select("doc", (a - lo).alias("p"), "g").where(F.struct("doc", "p") > F.col("g")).select("doc", "p")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -185,19 +185,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    runs = saved(docs.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "doc long, s long, n int, to_a int, a long, f long"))
+    runs = saved(docs.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "doc long, snt long, a long, f long"))
     busy = runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
     near = saved(runs.join(busy.hint("merge"), "a", "left_semi"))
-    first = saved(near.groupBy("a", "f").agg(F.min(F.struct("doc", "s", "n", "to_a")).alias("g"), F.count(F.lit(1)).alias("c")))
-    whole = (
-        near.join(first.where("c > 1").hint("merge"), ["a", "f"])
-        .where(F.struct("doc", "s") > F.struct("g.doc", "g.s"))
-        .select("doc", F.col("s").alias("start"), (F.col("s") + F.col("n") + (length - 1)).alias("end"))
-    )
+    # equal runs have equal counts and anchors, so the packed facts order by their start
+    first = saved(near.groupBy("a", "f").agg(F.min(F.struct("doc", "snt")).alias("g"), F.count(F.lit(1)).alias("c")))
+    s, n, to_a = F.shiftright("snt", 20), F.shiftright("snt", 10).bitwiseAND(F.lit(1023)), F.col("snt").bitwiseAND(F.lit(1023))
+    whole = near.join(first.where("c > 1").hint("merge"), ["a", "f"]).where(F.struct("doc", "snt") > F.col("g")).select("doc", s.alias("start"), (s + n + (length - 1)).alias("end"))
     split = first.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-    edges = first.join(split.hint("merge"), "a", "left_semi").select(
-        "g.doc", (F.col("g.s") + F.col("g.to_a")).alias("a"), (F.col("g.to_a") - F.col("g.n") + 1).cast("long").alias("low"), F.col("g.to_a").cast("long").alias("high")
-    )
+    edges = first.join(split.hint("merge"), "a", "left_semi").select("g.doc", "g.snt").select("doc", (s + to_a).alias("a"), (to_a - n + 1).cast("long").alias("low"), to_a.cast("long").alias("high"))
     single = double_ranks(docs, edges, length, gram)
     return whole.unionByName(single.select("doc", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
 
