@@ -61,6 +61,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # a byte-level token's string has one sign for each byte
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
@@ -70,13 +74,17 @@ class Encoder:
         head, *rest = text.split(" ")
         pieces = [head, *(" " + x for x in rest)]
         known = self.known
-        new = [x for x in set(pieces) if x not in known]
+        new = [x for x in dict.fromkeys(pieces) if x not in known]  # the first piece, without a space, stays first
         if new:
             if len(known) + len(new) > REMEMBER:
                 known.clear()
-                new = list(set(pieces))
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+                new = list(dict.fromkeys(pieces))
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in new]), "right").tolist()
+            data, at = ids.tobytes(), 0
+            for x, end in zip(new, ends):
+                known[x] = data[4 * at : 4 * end]
+                at = end
         return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
 
 
