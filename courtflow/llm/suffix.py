@@ -185,7 +185,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    runs = saved(docs.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "doc long, snt long, a long, f long"))
+    # made twice, for the anchors' counts and for the runs of those that repeat: writing all runs would take more disk than hashing takes time
+    runs = docs.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "doc long, snt long, a long, f long")
     busy = runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
     near = saved(runs.join(busy.hint("merge"), "a", "left_semi"))
     # equal runs have equal counts and anchors, so the packed facts order by their start
