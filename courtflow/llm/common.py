@@ -115,7 +115,12 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(row)
 
 
-def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+def sized(df: DataFrame, rows: int = 2_000_000, lists: str | None = None) -> DataFrame:
     """A saved table of a few fixed-width columns, hinted for a join: broadcast where its counted rows are
-    at most ``rows`` (some tens of MB), else a shuffled sort-merge join."""
-    return df.hint("broadcast") if df.limit(rows + 1).count() <= rows else df.hint("merge")
+    at most ``rows`` (some tens of MB), else a shuffled sort-merge join. With a column of ``lists`` of
+    fixed-width structs, their elements are counted instead."""
+    if lists:
+        n = df.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
+    else:
+        n = df.limit(rows + 1).count()
+    return df.hint("broadcast") if n <= rows else df.hint("merge")

@@ -25,6 +25,8 @@ from courtflow.llm.common import arrow_rows, saved, sized
 LENGTH = 100
 #: Bytes of an anchor.
 GRAM = 28
+#: Places in texts that may be broadcast (some 25 MB); more are joined by a shuffle.
+BROADCAST = 300_000
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 20
 
@@ -170,7 +172,7 @@ def double_ranks(docs: DataFrame, edges: DataFrame, length: int, gram: int) -> D
     a, lo = F.shiftright("cell", 30), F.shiftright("cell", 20).bitwiseAND(ten)
     for cell, h in _offsets(length, gram):
         lists = saved(cells.groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi", "low", "high")).alias("spans")))
-        texts = docs.join(sized(lists, 200_000), "doc").select("doc", "text", "spans")
+        texts = docs.join(sized(lists, BROADCAST, "spans"), "doc").select("doc", "text", "spans")
         pairs = saved(texts.mapInArrow(_ranked(length, cell, h), "doc long, cell long, r1 long, r2 long"))
         groups = pairs.groupBy("r1", "r2").agg(F.min(F.struct("doc", (a - lo).alias("p"))).alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1")
         company = pairs.join(groups.hint("merge"), ["r1", "r2"])
@@ -239,7 +241,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
     rows = _prepared(docs)
     spans = repeated_windows(rows, length, gram)
     lists = saved(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    cut = rows.join(sized(lists, 200_000), "doc").select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = rows.join(sized(lists, BROADCAST, "spans"), "doc").select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not keep_bytes:
         cut = cut.drop("kept")
     cut = saved(cut).distinct()
