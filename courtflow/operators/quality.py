@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRACK = Window.partitionBy("clip_id", "track_id").orderBy("frame")
+def _track_order():
+    return Window.partitionBy("clip_id", "track_id").orderBy("frame")
 
 
 def fragmentation(tracks: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def fragmentation(tracks: DataFrame) -> DataFrame:
 
 def reattach_gaps(tracks: DataFrame, least: int = 3) -> DataFrame:
     """Silences of at least ``least`` frames within a track."""
-    gap = F.col("frame") - F.lag("frame").over(TRACK) - 1
+    gap = F.col("frame") - F.lag("frame").over(_track_order()) - 1
     return tracks.select("clip_id", "track_id", "frame", gap.alias("gap")).where(F.col("gap") >= least)
 
 
@@ -36,7 +37,7 @@ def densest_frames(tracks: DataFrame, k: int = 60) -> DataFrame:
 
 def step_profile(positions: DataFrame) -> DataFrame:
     """Median, 95th percentile and largest step of each track from frame to frame, by clip."""
-    dx, dy = F.col("court_x") - F.lag("court_x").over(TRACK), F.col("court_y") - F.lag("court_y").over(TRACK)
+    dx, dy = F.col("court_x") - F.lag("court_x").over(_track_order()), F.col("court_y") - F.lag("court_y").over(_track_order())
     steps = positions.withColumn("step", F.sqrt(dx * dx + dy * dy)).where("step is not null")
     return steps.groupBy("clip_id").agg(F.percentile("step", F.lit(0.5)).alias("median"), F.percentile("step", F.lit(0.95)).alias("p95"), F.max("step").alias("longest"))
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from courtflow.functions.exprs import ZONES, zone_of
 
-CLIP_FRAME = Window.partitionBy("clip_id").orderBy("frame")
-
-
 def frame_means(positions: DataFrame, where: Column | None = None) -> DataFrame:
     """A1: mean court x of each frame, null where the frame has no counted body."""
     counted = F.col("court_x") if where is None else F.when(where, F.col("court_x"))
@@ -77,11 +74,12 @@ def side_runs(frames: DataFrame, hold: int, half: float = 47.0, dead: float = 0.
     ``frames(clip_id, frame, mean_x)``. Frames without a mean, or within ``dead`` feet of half court, are skipped. A
     swing needs a run of ``hold`` frames (hysteresis as a run-length filter), so it is windows only.
     """
+    in_order = Window.partitionBy("clip_id").orderBy("frame")
     side = F.when(F.col("mean_x") < half - dead, "left").when(F.col("mean_x") >= half + dead, "right")
     told = frames.withColumn("side", side).where("side is not null")
-    told = told.withColumn("k", F.row_number().over(CLIP_FRAME))
-    new = F.coalesce((F.lag("side").over(CLIP_FRAME) != F.col("side")).cast("int"), F.lit(0))
-    told = told.withColumn("run", F.sum(new).over(CLIP_FRAME))
+    told = told.withColumn("k", F.row_number().over(in_order))
+    new = F.coalesce((F.lag("side").over(in_order) != F.col("side")).cast("int"), F.lit(0))
+    told = told.withColumn("run", F.sum(new).over(in_order))
     inner = Window.partitionBy("clip_id", "run").orderBy("frame")
     told = told.withColumn("place", F.row_number().over(inner))
     runs = told.groupBy("clip_id", "run", "side").agg(F.min("frame").alias("start"), F.max(F.when(F.col("place") == hold, F.col("frame"))).alias("reached"), F.count(F.lit(1)).alias("n"))
