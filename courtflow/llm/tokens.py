@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,12 @@ class Encoder:
         return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, which so share what it remembers."""
+    return Encoder(path)
+
+
 def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Blocks of packed ids in ascending doc_id order (see ``BLOCKS``), ``end_id`` after each document.
 
@@ -102,7 +109,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         bits = bits_of(encoder.tokenizer.get_vocab_size())
         part, block, before = TaskContext.get().partitionId(), 0, 0
         names, sizes, ids, held = [], [], [], 0
