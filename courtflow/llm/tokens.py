@@ -22,14 +22,22 @@ from courtflow.llm.common import arrow_rows, scratch, shuffle_parts
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
-#: Pieces that a worker remembers.
-REMEMBER = 400_000
+#: Pieces that a worker remembers (some 300 MB).
+REMEMBER = 1_500_000
 BLOCKS = "part int, block int, part_start long, bits int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 #: Texts in which cutting before single spaces might not be a cut of the tokenizer as well.
 _ODD = re.compile(r"  |^ | $| \n|\n |[^\S \n]|[\u180e\u200b-\u200f\u2060\ufeff]|<\|")
 
 
+def _is_odd(text: str) -> bool:
+    if not text.isascii():
+        return _ODD.search(text) is not None
+    if text[0] == " " or text[-1] == " " or any(x in text for x in ("  ", " \n", "\n ", "<|")):
+        return True
+    return any(x in text for x in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+
+
 def bits_of(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
@@ -70,7 +78,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if _ODD.search(text):
+        if _is_odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         head, *rest = text.split(" ")
         pieces = [head, *(" " + x for x in rest)]
