@@ -19,6 +19,8 @@ SQL = {
     "oncourt": _EVENTS % ("clip_id, frame, track_id, (470 + CASE WHEN frame%100<50 THEN -180 ELSE 180 END + v%240 - 120)/10.0E0 AS court_x, (k*53%560 - 30)/10.0E0 AS court_y, (k*53%560 - 30) BETWEEN -15 AND 515 AS is_on", ""),
     "reads": _EVENTS % ("clip_id, frame, track_id, (track_id*7 + CASE WHEN v%11=0 THEN 1 ELSE 0 END)%50 AS number, (v%100)/100.0E0 AS conf", " AND event_type IN ('click','view')"),
     "ball": _EVENTS % ("clip_id, frame, event_id AS det_idx, CAST(200+frame*9%1400+v%3 AS DOUBLE) AS cx, CAST(120+(frame%25-12)*(frame%25-12)+k%4 AS DOUBLE) AS cy, (v%100)/100.0E0 AS conf", " AND event_type='purchase'"),
+    "shots": _EVENTS % ("clip_id, event_id AS shot_id, frame AS start_frame, frame + 5 + v%12 AS end_frame, CASE WHEN k%2=0 THEN 'far' ELSE 'near' END AS hoop, CASE WHEN v%9<>0 THEN track_id END AS track_id", " AND event_type='signup' AND k%3=0"),
+    "scores": _EVENTS % ("clip_id, event_id AS score_id, frame", " AND event_type='error' AND k%7=0"),
     "positions": "SELECT l_suppkey%20 AS clip_id, l_orderkey AS frame, l_linenumber AS track_id, CASE WHEN l_returnflag='A' THEN 'team_a' ELSE 'team_b' END AS team, (l_partkey*37%900 - 30)/10.0E0 AS court_x, (l_suppkey*53+l_linenumber*71)%520/10.0E0 AS court_y FROM lineitem",
 }
 _TABLE = {"positions": "lineitem"}
