@@ -7,13 +7,14 @@ its block and place alone, and numpy unpacks a block at once.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +27,11 @@ BLOCK_IDS = 1 << 16
 REMEMBER = 1_500_000
 BLOCKS = "part int, block int, part_start long, bits int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
-#: Texts in which cutting before single spaces might not be a cut of the tokenizer as well.
-_ODD = re.compile(r"  |^ | $| \n|\n |[^\S \n]|[\u180e\u200b-\u200f\u2060\ufeff]|<\|")
-
+#: Bytes of texts that are cut and encoded at once; a longer text is alone.
+GROUP = 1 << 22
 
-def _is_odd(text: str) -> bool:
-    if not text.isascii():
-        return _ODD.search(text) is not None
-    if text[0] == " " or text[-1] == " " or any(x in text for x in ("  ", " \n", "\n ", "<|")):
-        return True
-    return any(x in text for x in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+#: Texts in which cutting before single spaces might not be a cut of the tokenizer as well.
+_ODD = r"  |\A | \z| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
 
 
 def bits_of(vocabulary: int) -> int:
@@ -62,39 +58,82 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 class Encoder:
     """Encodes whole texts. Between a non-space and ``space + non-space`` byte-level BPE always cuts, so ordinary
-    texts are cut there and each piece is encoded once; texts with other white space are encoded as they are."""
+    texts are cut there and each distinct piece is encoded once; texts with other white space are encoded as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         # a byte-level token's string has one sign for each byte
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)
-
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if _is_odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *rest = text.split(" ")
-        pieces = [head, *(" " + x for x in rest)]
-        known = self.known
-        new = [x for x in dict.fromkeys(pieces) if x not in known]  # the first piece, without a space, stays first
-        if new:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in new]), "right").tolist()
-            data, at = ids.tobytes(), 0
-            for x, end in zip(new, ends):
-                known[x] = data[4 * at : 4 * end]
-                at = end
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known`` gives a piece's number: ``x`` stands for a space and x, `` x`` for x at the start of a text."""
+        self.known: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)  # piece k's ids are flat[ends[k]:ends[k + 1]]
+        self.flat = np.empty(0, np.uint32)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.ends) - 1, len(self.ends) - 1 + len(names))))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + ends))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _numbers(self, words: pa.Array, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of distinct ``words`` after a space, and of ``heads`` at the start of a text."""
+        if len(self.known) + len(words) + len(heads) > REMEMBER:
+            self._forget()
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            some = [names[i] for i in new]
+            ids = self._encode(" " + " ".join(some))
+            sizes = pc.binary_length(words.cast(pa.binary())).to_numpy()[new] + 1
+            first = len(self.ends) - 1
+            self._learn(some, ids, np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes), "right"))
+            found[new] = np.arange(first, first + len(new))
+        some = [x for x in dict.fromkeys(heads) if " " + x not in self.known]
+        if some:
+            each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._learn([" " + x for x in some], np.concatenate(each), np.cumsum([len(x) for x in each]))
+        return found, np.array([self.known[" " + x] for x in heads], np.int64)
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that may be cut before spaces."""
+        pieces = pc.split_pattern(texts, " ")
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(pieces).to_numpy())))
+        words = pieces.flatten().dictionary_encode()
+        heads = words.take(pa.array(at[:-1])).to_pylist()
+        found, starts = self._numbers(words.dictionary, heads)
+        pick = found[words.indices.to_numpy()]
+        pick[at[:-1]] = starts
+        n = self.ends[pick + 1] - self.ends[pick]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.ends[pick] - (ends - n), n) + np.arange(ends[-1])]
+        return np.split(ids, ends[at[1:-1] - 1])
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null texts have none."""
+        texts = texts.fill_null("")
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts.cast(pa.binary())).to_numpy()
+        for i in np.flatnonzero(odd):
+            out[i] = self._encode(texts[i].as_py())
+        plain = np.flatnonzero(~odd & (size > 0))
+        group = np.cumsum(size[plain]) // GROUP
+        for some in np.split(plain, np.flatnonzero(np.diff(group)) + 1):
+            if len(some):
+                for i, ids in zip(some, self._plain(texts.take(pa.array(some)))):
+                    out[i] = ids
+        return out
 
 
 @lru_cache(1)
@@ -130,8 +169,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids:
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = encoder.ids(text or "")
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 ids += [got, last]
                 names.append(doc_id)
                 sizes.append(len(got) + 1)
