@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps;
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courtflow.llm import decontam, minhash, mixing, tokens, toxicity
 from courtflow.llm.common import saved, scratch
@@ -33,16 +34,24 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.select(*COLUMNS).join(found.hint("merge"), "doc_id", "left_anti")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """All documents with ``slot``, their place in the mixture. A repeated doc_id stands at its first slot, a null one has none."""
+    slots = mixing.mix(docs, mixing.tempered(docs)).where("doc_id is not null").groupBy("doc_id").agg(F.min("slot").alias("slot"))
+    return docs.select(*COLUMNS).join(slots.hint("merge"), "doc_id", "left")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose slot lies within the mixture: up to where a source runs dry, each within a block of its weight."""
-    chosen = mixing.mix(docs, mixing.tempered(docs)).where("in_mix").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(chosen.hint("merge"), "doc_id", "left_semi")
+    """All documents, in the order of the mixture."""
+    return placed(docs).repartitionByRange("slot").sortWithinPartitions("slot", "doc_id").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, read back: a row a document."""
+    """Token files of the documents in the order of the mixture, read back: a row a document.
+
+    A table does not keep its order when it is read, so the slots are worked out again: the same documents get the same ones.
+    """
     path = scratch(spark)
-    tokens.write_tokens(docs, path, tokenizer_path())
+    tokens.write_tokens(placed(docs), path, tokenizer_path(), order=("slot", "doc_id"))
     return tokens.token_digest(spark, path)
 
 

@@ -8,7 +8,7 @@ its block and place alone, and numpy unpacks a block at once.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import repeat
 
@@ -142,10 +142,10 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of packed ids in ascending doc_id order (see ``BLOCKS``), ``end_id`` after each document.
+def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Blocks of packed ids in ascending ``order`` (see ``BLOCKS``), ``end_id`` after each document.
 
-    ``part`` numbers the range of doc_ids, ``block`` the block in it, ``part_start`` the ids before the block in its
+    ``part`` numbers the range of that order, ``block`` the block in it, ``part_start`` the ids before the block in its
     part. Null texts are empty. Repeated and null doc_ids keep their rows (nulls first). No rows, no blocks.
     """
     spark = docs.sparkSession
@@ -181,8 +181,9 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids:
         if names:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, BLOCKS)
+    keys = [c for c in order if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, **options) -> None:

@@ -180,6 +180,32 @@ def test_mix_is_whole(spark):
     assert mixing.mix(empty(spark), mixing.tempered(empty(spark))).count() == 0
 
 
+def test_mix_places_all_blocks_at_exact_weights(spark):
+    # a small source runs dry early, weights of 1/3000 are under a slot of a thousand, and there are more sources than such slots
+    rows = [(i, "big") for i in range(3000)] + [(10_000 + i, "half") for i in range(1500)] + [(20_000 + i, f"s{i}") for i in range(1200)]
+    weights = {"big": 2.0, "half": 1.0} | {f"s{i}": 0.001 for i in range(1200)}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1, stretch=500).collect()
+    assert sorted(r.slot for r in got) == list(range(5700)) and all(r.release <= r.slot < r.deadline for r in got)
+    # until the first two are dry (at the same time) they have 2 and 1 of 4.2 slots
+    for n in (1000, 4000):
+        assert abs(sum(r.slot < n and r.source == "big" for r in got) - n * 2 / 4.2) < 1
+        assert abs(sum(r.slot < n and r.source == "half" for r in got) - n / 4.2) < 1
+    small = mixing.mix(spark.createDataFrame([(i, "a") for i in range(100)] + [(100, "b")], "doc_id long, source string"), {"a": 1.0, "b": 1.0}, block=4).collect()
+    assert sorted({r.slot for r in small}) == list(range(26))
+
+
+def test_pipeline_mixes_all_documents(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, f"t{i}", "en", "a", 2) for i in range(40)] + [(99, "b", "en", "b", 1), (None, "n", "en", "a", 1), (3, "again", "en", "a", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(str, p.mixed(spark, frame, "").collect())) == sorted(map(str, frame.collect()))
+    slots = {r.doc_id: r.slot for r in p.placed(frame).collect()}
+    files = p.packed(spark, frame, "").orderBy("start").collect()
+    order = [slots[r.doc_id] for r in files if r.doc_id is not None]
+    assert len(files) == 43 and order == sorted(order)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 16, 17, 24, 31])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
