@@ -7,6 +7,7 @@ its block and place alone, and numpy unpacks a block at once.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -31,7 +32,7 @@ BLOCKS = "part int, block int, part_start long, bits int, n_ids long, doc_ids ar
 GROUP = 1 << 22
 
 #: Texts in which cutting before single spaces might not be a cut of the tokenizer as well.
-_ODD = r"  |\A | \z| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
+_ODD = r"  |\A | \z| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 
 def bits_of(vocabulary: int) -> int:
@@ -58,13 +59,15 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 class Encoder:
     """Encodes whole texts. Between a non-space and ``space + non-space`` byte-level BPE always cuts, so ordinary
-    texts are cut there and each distinct piece is encoded once; texts with other white space are encoded as they are."""
+    texts are cut there and each distinct piece is encoded once; texts with other white space, or with one of the tokenizer's
+    added tokens (which keep their ids), are encoded as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *added])
         # a byte-level token's string has one sign for each byte
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -123,7 +126,7 @@ class Encoder:
         """The ids of each text; null texts have none."""
         texts = texts.fill_null("")
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         size = pc.binary_length(texts.cast(pa.binary())).to_numpy()
         for i in np.flatnonzero(odd):
             out[i] = self._encode(texts[i].as_py())

@@ -231,6 +231,17 @@ def test_token_files(spark, tmp_path):
     assert tokens.token_digest(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_keep_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["some text <|endoftext|> more", "a<|endoftext|>b", "<|endoftext|>", "half <|endof text|>", "after it"]
+    tokens.write_tokens(docs(spark, texts), str(tmp_path / "t"), tokenizer_path())
+    got = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert [r.ids for r in got] == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert got[0].ids == [11246, 2420, 220, 50256, 517, 0]
+
+
 def test_urls(spark):
     rows = ["https://A.Example.ORG/es/1?x#y", "http://example.org/en/19", "http://b.org", "ftp://x.org/", None, "nonsense", "http://m.site.com/fr/2", "http://adult-x.example.com/en/7", "http://ththon.example.com/en/7", "http://?q", "x://y://z/p"]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
