@@ -156,7 +156,9 @@ def _rest_pairs(lists: DataFrame, heads: DataFrame, met: DataFrame, labels: Data
 
     For members x and y of one list with head h: if they share no element that h lacks, they share at most
     m = min(|x and h|, |y and h|) elements, so a link needs m / (|x| + |y| - m) to reach the threshold. Pairs beyond that
-    bound meet only in lists of shared elements that h lacks, of which they share at most as many as either has. Where a value is in many components, it
+    bound meet only in lists of shared elements that h lacks, of which they share at most as many as either has. Members that were
+    too far from h for a link are held against it as well where one that was not may be linked with them; two that were are compared
+    without a bound. Where a value is in many components, it
     is frequent, and only sets with under ``RARE`` other values in lists are compared by it: the rest meet in those others.
     """
     placed = lists.join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -167,26 +169,37 @@ def _rest_pairs(lists: DataFrame, heads: DataFrame, met: DataFrame, labels: Data
     rare = held.where(F.least("n", F.lit(LISTED)) - F.col("_f") >= RARE).select("id")
     some = open_.where("not frequent").unionByName(open_.where(F.col("frequent") & (F.col("pos") < COMMON)).join(rare.hint("merge"), "id", "left_anti"))
     known = met.select(F.col("a").alias("h"), F.col("b").alias("id"), "c")
-    members = saved(some.join(known.hint("merge"), ["h", "id"], "left").withColumn("c", F.coalesce("c", "n")).select("v", "h", "id", "n", "sketch", "comp", "c"))
-    other = members.select("v", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c")))
-    apart = (F.col("id") < F.col("id_2")) & (F.col("comp") != F.col("comp_2")) & _similar_sizes(F.col("n"), F.col("n_2"), percent)
+    members = saved(some.join(known.hint("merge"), ["h", "id"], "left").select("v", "h", "id", "n", "sketch", "comp", "c"))
+    two = (F.col("comp") != F.col("comp_2")) & _similar_sizes(F.col("n"), F.col("n_2"), percent)
+    apart = (F.col("id") < F.col("id_2")) & two
     least = percent / 100 - SLACK
     shared = F.size(F.array_intersect("sketch", "sketch_2"))  # a cheap look before the estimate
     near = (shared >= F.floor(least * F.least(F.size("sketch"), F.size("sketch_2")))) & (estimate(F.col("sketch"), F.col("sketch_2"), k) >= least)
+    # members that were not held against the head, but may be linked with one that was, are held against it now
+    held_ones = members.where("c is not null").select("v", *(F.col(c).alias(f"{c}_2") for c in ("n", "sketch", "comp")))
+    late = members.where("c is null and id != h").hint("merge").join(held_ones, (members.v == held_ones.v) & two & near, "left_semi")
+    late = saved(late.select(F.col("h").alias("a"), F.col("id").alias("b")).distinct())
+    lacks = saved(_with_sets(late, docs, words).mapInArrow(_novel, "a long, b long, e long").select(F.col("a").alias("h"), F.col("b").alias("id"), "e"))
+    counted = lacks.groupBy("h", "id").agg(F.count(F.lit(1)).alias("_l"))
+    members = members.join(counted.hint("merge"), ["h", "id"], "left").withColumn("met", F.col("c").isNotNull())
+    members = saved(members.withColumn("c", F.coalesce("c", F.col("n") - F.coalesce("_l", F.lit(0)))).drop("_l"))
+    other = members.select("v", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c", "met")))
     m = F.least("c", "c_2")
-    bound = 100 * m >= percent * (F.col("n") + F.col("n_2") - m)
+    one = F.col("met") | F.col("met_2")
+    bound = ~one | (100 * m >= percent * (F.col("n") + F.col("n_2") - m))
     most = m + F.least(F.col("n") - F.col("c"), F.col("n_2") - F.col("c_2"))
     wide = 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
     direct = members.hint("merge").join(other, (members.v == other.v) & apart & bound & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-    # elements that the head lacks, of the members that were held against it
+    # elements that the head lacks, of the members that were held against it first or now; one of a pair was so first
     told = members.select("h", "id").distinct().join(known.hint("merge"), ["h", "id"])
     new = _with_sets(told.select(F.col("h").alias("a"), F.col("id").alias("b")), docs, words).mapInArrow(_novel, "a long, b long, e long")
-    new = saved(new.select(F.col("a").alias("h"), F.col("b").alias("id"), "e"))
-    again = new.groupBy("h", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "e")
-    info = members.select("h", "id", "n", "sketch", "comp", "c").dropDuplicates(["h", "id"])
-    rows = saved(new.join(again.hint("merge"), ["h", "e"], "left_semi").join(info.hint("merge"), ["h", "id"]))
-    twin = rows.select("h", "e", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c")))
-    through = rows.hint("merge").join(twin, (rows.h == twin.h) & (rows.e == twin.e) & apart & wide & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    new = new.select(F.col("a").alias("h"), F.col("b").alias("id"), "e", F.lit(True).alias("first"))
+    new = saved(new.unionByName(lacks.withColumn("first", F.lit(False))))
+    again = new.groupBy("h", "e").agg(F.count(F.lit(1)).alias("k"), F.max("first").alias("one")).where("k > 1 and one").select("h", "e")
+    info = members.select("h", "id", "n", "sketch", "comp", "c", "met").dropDuplicates(["h", "id"])
+    rows = saved(new.drop("first").join(again.hint("merge"), ["h", "e"], "left_semi").join(info.hint("merge"), ["h", "id"]))
+    twin = rows.select("h", "e", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c", "met")))
+    through = rows.hint("merge").join(twin, (rows.h == twin.h) & (rows.e == twin.e) & apart & one & wide & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
     return direct.unionByName(through).distinct()
 
 

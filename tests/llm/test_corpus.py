@@ -93,6 +93,18 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_on_one_boilerplate(spark):
+    # pairs of 85 and 84 words on a hub of 100, of which they have 77: the second is too short to be held against the hub
+    rng = random.Random(8)
+    hub = [f"h{i}" for i in range(100)]
+    texts = [" ".join(hub)]
+    for i in range(250):
+        y = rng.sample(hub, 77) + [f"n{i}_{j}" for j in range(8)]
+        texts += [" ".join(y), " ".join(rng.sample(y, 84))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts), 1, 85).collect()}
+    assert got == brute_near(texts, 1, 85)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (7, 3), (None, 4)], "a long, b long")
     assert {r.id: r.component for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 8}
