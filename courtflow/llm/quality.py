@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from courtflow.llm.common import arrow_rows, saved
 
 SYMBOLS = "#*$%&|<>"
-#: Share of a group's rows that the estimate rests on, concentration steps, and rows under which a group has no verdict of its own.
+#: Share of a group's rows that the estimate rests on, concentration steps, and rows under which a group is judged by a wider one.
 HALF = 0.6
 STEPS = 5
 MIN_ROWS = 40
@@ -129,9 +129,9 @@ def distance(mean: Column, inv: Column) -> Column:
     return F.when(total.isNotNull(), F.greatest(total, F.lit(0.0)))
 
 
-def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, model: DataFrame, hint: str) -> DataFrame:
     """One concentration step: the nearest ``HALF`` of each group gives the new mean and covariance."""
-    near = rows.join(model.hint("merge"), ["lang", "source"]).withColumn("b", F.floor(F.log2(distance(F.col("mean"), F.col("inv")) + 1e-6) * _BINS).cast("int"))
+    near = rows.join(model.hint(hint), ["lang", "source"]).withColumn("b", F.floor(F.log2(distance(F.col("mean"), F.col("inv")) + 1e-6) * _BINS).cast("int"))
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)]
     sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(_P) for j in range(i, _P)]
     binned = near.groupBy("lang", "source", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -154,12 +154,21 @@ def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
     return binned.groupBy("lang", "source").applyInPandas(fit, _MODEL)
 
 
+def _models(rows: DataFrame, steps: int, hint: str = "merge") -> DataFrame:
+    """The estimate of each group of ``rows``. Few groups are broadcast, as they hold many rows each."""
+    model = saved(_start(rows))
+    for _ in range(steps):
+        model = saved(_step(rows, model, hint))
+    return model
+
+
 def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
     """``doc_id``, five base statistics, ``base_failed``, ``distance2`` and ``kept`` for every row of ``docs(doc_id, text, lang, source)``.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. Other rows are kept unless their
     transformed statistics lie beyond ``cutoff`` (squared distance) from the estimate of their language and source, which is
-    made from rows that pass the base rules. Groups under ``MIN_ROWS`` such rows reject nothing (distance2 null). Null languages
+    made from rows that pass the base rules. Groups under ``MIN_ROWS`` such rows are judged by the estimate of all rows of their
+    language, and languages under it by that of all rows. distance2 is null only if no row passes the base rules. Null languages
     and sources count as ``''``; null texts as empty. Repeated rows stay. Other columns are ignored; no rows, no result.
     """
     arrow_rows(docs.sparkSession)
@@ -168,10 +177,16 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> Data
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = saved(stats.withColumn("base_failed", failed).select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector()))))
     good = rows.where("not base_failed")
-    model = saved(_start(good))
-    for _ in range(steps):
-        model = saved(_step(good, model))
-    judged = rows.join(model.where(F.col("n") >= MIN_ROWS).hint("merge"), ["lang", "source"], "left")
+    model = _models(good, steps)
+    judged = rows.join(model.where(F.col("n") >= MIN_ROWS).drop("n").hint("merge"), ["lang", "source"], "left")
+    alone = judged.where("mean is null").select("lang", "source").limit(1)
+    if not alone.isEmpty():
+        tongue = _models(good.withColumn("source", F.lit("")), steps, "broadcast").where(F.col("n") >= MIN_ROWS)
+        judged = judged.join(F.broadcast(tongue.select("lang", F.struct("mean", "inv").alias("_t"))), "lang", "left")
+        every = _models(good.withColumn("source", F.lit("")).withColumn("lang", F.lit("")), steps, "broadcast")
+        judged = judged.join(F.broadcast(every.select(F.struct("mean", "inv").alias("_e"))), F.lit(True), "left")
+        for c in ("mean", "inv"):
+            judged = judged.withColumn(c, F.coalesce(c, f"_t.{c}", f"_e.{c}"))
     d = distance(F.col("mean"), F.col("inv"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -145,6 +145,20 @@ def test_quality(spark):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(7)
+
+    def text(tail=""):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8) if not tail else 6)) + tail for _ in range(rng.randint(80, 200)))
+
+    # sources of 10 rows; a language of 60 rows, and one of 5, with junk in each
+    rows = [(i, text(), "en", f"s{i // 10}") for i in range(60)] + [(100 + i, text("###"), "en", f"s{i}") for i in range(3)]
+    rows += [(200 + i, text(), "xx", "t") for i in range(4)] + [(300, text("###"), "xx", "t")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == 68 and all(r.distance2 is not None for r in got.values())
+    assert not any(got[i].kept for i in (100, 101, 102, 300)) and sum(r.kept for r in got.values()) >= 63
+
+
 def test_resharding(spark):
     rng = random.Random(4)
     rows = [(i, rng.randint(1, 5000), 0 if i % 3 else rng.randrange(6)) for i in range(300)]
