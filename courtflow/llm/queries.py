@@ -46,9 +46,8 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     old = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(sharding.SHARDS)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), old.alias("old_shard"), F.crc32(data).alias("text_crc32"))
-    placed = sharding.reshard(rows.select("doc_id", "size", "old_shard"), sharding.SHARDS)
-    out = placed.join(rows.select("doc_id", "text_crc32").hint("merge"), "doc_id")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    placed = sharding.reshard(rows, sharding.SHARDS, carry=["text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ holds), then each document reads its new shard from its number within its class.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,22 +97,22 @@ def transfers(supply: dict[tuple[int, int], tuple[int, int]], shards: int) -> li
     return out
 
 
-def reshard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, size, old_shard, shard, slot, moved`` for all rows of ``docs(doc_id, size, old_shard)``.
+def reshard(docs: DataFrame, shards: int = SHARDS, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, old_shard, shard, slot, moved``, and the columns to ``carry``, for all rows of ``docs(doc_id, size, old_shard)``.
 
     Shard counts are at most one apart (law ``rows``) and the fewest bytes move at the grain of size classes
     (powers of two). slot is gapless from 0 in each shard. Old shards outside 0..shards-1 are drained. Null
     doc_ids and repeated rows are rows like others; empty input gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("size").cast("long").alias("size"), F.col("old_shard").cast("int").alias("old_shard"))
+    rows = docs.select("doc_id", F.col("size").cast("long").alias("size"), F.col("old_shard").cast("int").alias("old_shard"), *carry)
     rows = rows.withColumn("_c", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
     # at most old shards x 63 classes rows
     supply = {(r.old_shard, r._c): (r.n, r.b) for r in rows.groupBy("old_shard", "_c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()}
     moves = spark.createDataFrame(transfers(supply, shards) if supply else [], "old_shard int, _c int, _lo long, _hi long, shard int")
     dealt = numbered(rows, ["old_shard", "_c"], "doc_id", "_k")
     found = dealt.join(F.broadcast(moves), ["old_shard", "_c"]).where("_k >= _lo and _k < _hi")
-    out = numbered(found.select("doc_id", "size", "old_shard", "shard"), ["shard"], "doc_id", "slot")
+    out = numbered(found.select("doc_id", "size", "old_shard", "shard", *carry), ["shard"], "doc_id", "slot")
     return out.withColumn("moved", F.col("shard") != F.col("old_shard"))
 
 

@@ -172,6 +172,16 @@ def test_resharding(spark):
     assert sharding.reshard(spark.createDataFrame([], "doc_id long, size long, old_shard int"), 6).count() == 0
 
 
+def test_resharding_query_keeps_null_and_repeated_ids(spark, tmp_path):
+    from courtflow.llm.queries import op5_resharding
+
+    rows = [(i, f"t{i}", f"s{i % 3}") for i in range(40)] + [(None, "n", "s0"), (None, "m", None), (7, "again", "s1"), (7, "t7", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op5_resharding(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text_crc32) for r in got) == sorted((str(i), zlib.crc32(t.encode())) for i, t, _ in rows)
+    assert len({(r.shard, r.slot) for r in got}) == 44
+
+
 def test_min_cost_flow_takes_the_cheap_way():
     arcs = [(0, 1, 5, 1), (0, 2, 5, 3), (1, 3, 3, 1), (2, 3, 9, 1), (1, 2, 9, 0)]
     assert sharding.min_cost_flow(4, arcs, 0, 3) == [5, 5, 3, 7, 2]
