@@ -5,9 +5,10 @@ All suffixes of a corpus are too many to sort, so sorting starts from a sparse s
 1. Every window of ``length`` bytes holds an anchor, its first least-hashed ``GRAM``-byte string. Windows in a row with the
    same anchor are one run; equal windows have equal anchors, so only runs whose anchor stands elsewhere too can repeat.
 2. Runs that are equal as a whole are ranked by one sort: all windows of all but the first repeat.
-3. The first runs of an anchor with several different runs (the edges of repeated passages) go to prefix doubling: rank
-   pairs (rank at p, rank at a growing offset from p) are sorted and re-ranked, what has become unique leaves, until the
-   ranked strings reach ``length`` bytes. Neighbouring windows share a row as long as they share the ranked string.
+3. The first runs of an anchor with several different runs (the edges of repeated passages) go to rounds like prefix
+   doubling, but with hashes in place of ranks: pairs (hash at p, hash at a growing offset from p) are taken afresh from the text
+   and grouped, what has become unique leaves, until the strings reach ``length`` bytes. Neighbouring windows share a row as
+   long as they share the hashed string.
 """
 
 from __future__ import annotations
@@ -126,10 +127,10 @@ def _offsets(length: int, gram: int) -> list[tuple[int, int]]:
 
 
 def _ranked(length: int, cell: int, h: int):
-    """Cells of ``cell`` neighbouring windows with the pair of ranks of what all their windows share.
+    """Cells of ``cell`` neighbouring windows with the pair of hashes of what all their windows share.
 
     Windows are told by their offset, bytes from start to anchor; cells lie on one grid of offsets, so equal windows
-    are in equal cells. The shared bytes are named by the ranks of their first and last ``h`` bytes.
+    are in equal cells. The shared bytes are named by the hashes of their first and last ``h`` bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +164,8 @@ def _ranked(length: int, cell: int, h: int):
 def double_ranks(docs: DataFrame, edges: DataFrame, length: int, gram: int) -> DataFrame:
     """Prefix doubling from ``gram`` to ``length`` bytes over the windows of ``edges(doc, a, low, high)``.
 
-    ``a`` is an anchor's place and low..high the offsets of its windows. Each round pairs the ranks at two growing offsets,
-    sorts the pairs and re-ranks: what has become unique leaves, the rest parts into finer cells, down to single windows.
+    ``a`` is an anchor's place and low..high the offsets of its windows. Each round takes hashes at two growing offsets
+    afresh from the text and groups by the pairs: what has become unique leaves, the rest parts into finer cells, down to single windows.
     Returns ``(doc, p)`` of windows that also start earlier.
     """
     cells = edges.select("doc", "a", F.lit(0).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"), "low", "high")
