@@ -1,14 +1,14 @@
 """MinHash near-duplicates with bottom-k sketches of one hash function.
 
 1. Documents with the same shingle set become one class (their links are certain).
-2. Each class keeps the k smallest hashes of its set. Inverted lists of the retained values meet
-   classes; two sets of similarity 0.85 share none of their smallest ``LISTED`` values with a chance
-   of about 0.15 ** LISTED.
-3. Every list holds its members against its most central one. Only members that are then still in different components
-   are compared with each other, and only within a bound that follows from their overlaps with the central one, so a large
-   group of copies costs its size, not its square.
-4. Before that, the k smallest values of both sketches together estimate the similarity; far pairs go.
-5. All links are verified on full sets.
+2. Each class keeps the k smallest hashes of its set. Classes that are linked share a least number of retained values (``_need``:
+   certain for sets that the sketch holds whole, else missed with a chance of some 2e-8), so it suffices to list each class under its
+   rarest retained values, all but that number less one. Values of one class only go unlisted.
+3. Every list holds its members against its most central one. Only lists with members that are then in different components go on.
+4. Short lists compare those members with each other. In long ones the overlap with the central member h bounds what two members can
+   share: they need so many common elements beyond h's, and meet in lists of the rarest of those alone (``_beyond``). So a large group
+   of copies costs its size, not its square.
+5. The k smallest values of two sketches together estimate the similarity; far pairs go. All links are verified on full sets.
 """
 
 from __future__ import annotations
@@ -23,17 +23,12 @@ from pyspark.sql import functions as F
 
 from courtflow.llm.common import arrow_rows, components, saved, sized
 
-#: Values of a sketch, and how many of the smallest ones go to inverted lists.
-SKETCH = 24
-LISTED = 16
-#: Retained values of a set that are not frequent and suffice to meet all its partners (0.15 ** 7 is 2e-6).
-RARE = 7
-#: Smallest values by which sets that consist of frequent ones meet.
-COMMON = 6
-#: Lists with more components than this hold frequent values; see ``_rest_pairs``.
-SMALL_LIST = 32
-#: Estimates this far below the threshold are over six standard errors away.
-SLACK = 0.45
+#: Values of a sketch.
+SKETCH = 128
+#: Estimates this many standard errors below the threshold are too low for a link.
+ERRORS = 5.5
+#: Members of a list that are all compared with each other; longer lists take the way by their central member, with the same links.
+SHORT_LIST = 32
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -102,17 +97,16 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["a", "b", "n_a", "n_b", "c"])
 
 
-def _novel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, e): each element of b's set that a's lacks."""
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, c, values): elements that the set of id shares with h's, and those that h's lacks."""
     for b in batches:
-        a_ids, b_ids, parts = [], [], []
-        for a, o, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
-            new = np.setdiff1d(np.frombuffer(y, np.uint64), np.frombuffer(x, np.uint64), assume_unique=True)
-            a_ids.append(np.full(len(new), a, np.int64))
-            b_ids.append(np.full(len(new), o, np.int64))
+        same, parts = [], []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            new = np.setdiff1d(y, x, assume_unique=True)
+            same.append(len(y) - len(new))
             parts.append(new.view(np.int64))
-        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (a_ids, b_ids, parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "e"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["h", "id", "c", "values"])
 
 
 def estimate(x: Column, y: Column, k: int) -> Column:
@@ -135,72 +129,99 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
 
 
-_MET = "a long, b long, n_a long, n_b long, c long"
-
-
 def _linked(percent: int) -> Column:
     return 100 * F.col("c") >= percent * (F.col("n_a") + F.col("n_b") - F.col("c"))
 
 
-def _star_pairs(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
-    """(head, member) of each inverted list, as far as sizes and sketches allow a link."""
-    met = lists.join(heads.hint("merge"), "v").where(F.col("id") != F.col("h.id"))
-    near = met.where(_similar_sizes(F.col("n"), F.col("h.n"), percent)).where(
-        estimate(F.col("sketch"), F.col("h.sketch"), k) >= percent / 100 - SLACK
-    )
-    return near.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
+def _floor(percent: int, k: int) -> float:
+    """The least share of the values of two sketches together that both sets of a link hold."""
+    t = percent / 100
+    return t - ERRORS * (t * (1 - t) / k) ** 0.5
+
+
+def _ceil_div(x: Column, y: int) -> Column:
+    return F.floor((x + (y - 1)) / y).cast("long")
+
+
+def _need(n: Column, percent: int, k: int) -> Column:
+    """Retained values that a set of ``n`` shares with each of its links. Up to percent/100 * k elements, no link's set is
+    beyond k, so sketches are whole sets and share percent of the larger one."""
+    return F.when(n * 100 <= percent * k, _ceil_div(n * percent, 100)).otherwise(F.ceil(_floor(percent, k) * F.least(n, F.lit(k))))
+
+
+def _rarest(sets: DataFrame, own: list[str], within: list[str], need: Column) -> DataFrame:
+    """``sets(own.., values)`` listed as (own.., v, w) under the rarest of the values that occur twice or more ``within`` a group:
+    all but ``need`` - 1 of them. Two rows that share ``need`` values or more share one of these. w sums up how often they occur."""
+    values = sets.select(*own, F.explode("values").alias("v"))
+    many = values.groupBy(*within, "v").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    shared = values.join(many.hint("merge"), [*within, "v"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_c", "v"))).alias("_s"))
+    shared = shared.withColumn("_p", (F.size("_s") - need + 1).cast("int")).where("_p > 0")
+    w = F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["_c"])
+    return shared.select(*own, w.alias("w"), F.explode(F.slice("_s", 1, F.col("_p"))).alias("_e")).select(*own, "w", F.col("_e.v").alias("v"))
+
+
+def _links(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are linked: far ones go by the estimate, the rest is verified on full sets."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = saved(heads.select("id", "sketch").join(sized(ids), "id", "left_semi"))
+    first, second = (some.select(F.col("id").alias(c), F.col("sketch").alias(f"_{c}")).hint("merge") for c in "ab")
+    near = pairs.join(first, "a").join(second, "b").where(estimate(F.col("_a"), F.col("_b"), k) >= _floor(percent, k)).select("a", "b")
+    met = _with_sets(saved(near), docs, words).mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, c long")
+    return saved(met.where(_linked(percent)).select("a", "b"))
+
+
+def _pairs_of(lists: DataFrame, keys: list[str], percent: int, more: Column | None = None) -> DataFrame:
+    """Pairs of different components in lists; ``more`` is a further condition on a row and its ``_2`` partner."""
+    other = lists.select(*keys, *(F.col(c).alias(f"{c}_2") for c in lists.columns if c not in keys))
+    fit = (F.col("id") < F.col("id_2")) & (F.col("comp") != F.col("comp_2")) & _similar_sizes(F.col("n"), F.col("n_2"), percent)
+    both = lists.hint("merge").join(other, keys).where(fit if more is None else fit & more)
+    return both.select(F.col("id").alias("a"), F.col("id_2").alias("b"))
 
 
-def _rest_pairs(lists: DataFrame, heads: DataFrame, met: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """Pairs of list members in different components that may be linked.
+def _beyond(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of ``members(h, id, n, comp)`` of long lists that may be linked, h being the central member of the list.
 
-    For members x and y of one list with head h: if they share no element that h lacks, they share at most
-    m = min(|x and h|, |y and h|) elements, so a link needs m / (|x| + |y| - m) to reach the threshold. Pairs beyond that
-    bound meet only in lists of shared elements that h lacks, of which they share at most as many as either has. Members that were
-    too far from h for a link are held against it as well where one that was not may be linked with them; two that were are compared
-    without a bound. Where a value is in many components, it
-    is frequent, and only sets with under ``RARE`` other values in lists are compared by it: the rest meet in those others.
+    Two members share at most min(c_1, c_2) elements of h, c being what each shares with it, and a link needs
+    percent / (100 + percent) * (n_1 + n_2) of them. Where that is within the bound, cells of equal (n, c) are matched
+    first, then their members. Other pairs share as many elements beyond h's as are wanting, so they share one of the rarest.
     """
-    placed = lists.join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    span = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("comps")).where("lo < hi")
-    shown = span.select("v", (F.col("comps") > SMALL_LIST).alias("frequent")).join(heads.select("v", F.col("h.id").alias("h")).hint("merge"), "v")
-    open_ = saved(placed.join(shown.hint("merge"), "v"))
-    held = open_.where("frequent").groupBy("id", "n").agg(F.count(F.lit(1)).alias("_f"))
-    rare = held.where(F.least("n", F.lit(LISTED)) - F.col("_f") >= RARE).select("id")
-    some = open_.where("not frequent").unionByName(open_.where(F.col("frequent") & (F.col("pos") < COMMON)).join(rare.hint("merge"), "id", "left_anti"))
-    known = met.select(F.col("a").alias("h"), F.col("b").alias("id"), "c")
-    members = saved(some.join(known.hint("merge"), ["h", "id"], "left").select("v", "h", "id", "n", "sketch", "comp", "c"))
-    two = (F.col("comp") != F.col("comp_2")) & _similar_sizes(F.col("n"), F.col("n_2"), percent)
-    apart = (F.col("id") < F.col("id_2")) & two
-    least = percent / 100 - SLACK
-    shared = F.size(F.array_intersect("sketch", "sketch_2"))  # a cheap look before the estimate
-    near = (shared >= F.floor(least * F.least(F.size("sketch"), F.size("sketch_2")))) & (estimate(F.col("sketch"), F.col("sketch_2"), k) >= least)
-    # members that were not held against the head, but may be linked with one that was, are held against it now
-    held_ones = members.where("c is not null").select("v", *(F.col(c).alias(f"{c}_2") for c in ("n", "sketch", "comp")))
-    late = members.where("c is null and id != h").hint("merge").join(held_ones, (members.v == held_ones.v) & two & near, "left_semi")
-    late = saved(late.select(F.col("h").alias("a"), F.col("id").alias("b")).distinct())
-    lacks = saved(_with_sets(late, docs, words).mapInArrow(_novel, "a long, b long, e long").select(F.col("a").alias("h"), F.col("b").alias("id"), "e"))
-    counted = lacks.groupBy("h", "id").agg(F.count(F.lit(1)).alias("_l"))
-    members = members.join(counted.hint("merge"), ["h", "id"], "left").withColumn("met", F.col("c").isNotNull())
-    members = saved(members.withColumn("c", F.coalesce("c", F.col("n") - F.coalesce("_l", F.lit(0)))).drop("_l"))
-    other = members.select("v", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c", "met")))
-    m = F.least("c", "c_2")
-    one = F.col("met") | F.col("met_2")
-    bound = ~one | (100 * m >= percent * (F.col("n") + F.col("n_2") - m))
-    most = m + F.least(F.col("n") - F.col("c"), F.col("n_2") - F.col("c_2"))
-    wide = 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
-    direct = members.hint("merge").join(other, (members.v == other.v) & apart & bound & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-    # elements that the head lacks, of the members that were held against it first or now; one of a pair was so first
-    told = members.select("h", "id").distinct().join(known.hint("merge"), ["h", "id"])
-    new = _with_sets(told.select(F.col("h").alias("a"), F.col("id").alias("b")), docs, words).mapInArrow(_novel, "a long, b long, e long")
-    new = new.select(F.col("a").alias("h"), F.col("b").alias("id"), "e", F.lit(True).alias("first"))
-    new = saved(new.unionByName(lacks.withColumn("first", F.lit(False))))
-    again = new.groupBy("h", "e").agg(F.count(F.lit(1)).alias("k"), F.max("first").alias("one")).where("k > 1 and one").select("h", "e")
-    info = members.select("h", "id", "n", "sketch", "comp", "c", "met").dropDuplicates(["h", "id"])
-    rows = saved(new.drop("first").join(again.hint("merge"), ["h", "e"], "left_semi").join(info.hint("merge"), ["h", "id"]))
-    twin = rows.select("h", "e", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "sketch", "comp", "c", "met")))
-    through = rows.hint("merge").join(twin, (rows.h == twin.h) & (rows.e == twin.e) & apart & one & wide & near).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-    return direct.unionByName(through).distinct()
+    held = _with_sets(members.select(F.col("h").alias("a"), F.col("id").alias("b")), docs, words).mapInArrow(_held, "h long, id long, c long, values array<long>")
+    least = members.groupBy("h").agg(F.min("n").alias("_m"))
+    facts = members.join(saved(held).hint("merge"), ["h", "id"]).join(least.hint("merge"), "h")
+    wanting = _ceil_div(percent * (F.col("n") + F.greatest("_m", _ceil_div(F.col("n") * percent, 100))), 100 + percent) - F.col("c")
+    facts = saved(facts.withColumn("wanting", wanting).drop("_m"))
+    within = (100 + percent) * F.least("c", "c_2") >= percent * (F.col("n") + F.col("n_2"))
+    cells = facts.where("wanting <= 0").groupBy("h", "n", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    other = cells.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "lo", "hi")))
+    apart = (F.least("lo", "lo_2") != F.greatest("hi", "hi_2")) & (F.struct("n", "c") <= F.struct("n_2", "c_2"))
+    met = saved(cells.hint("merge").join(other, "h").where(within & apart & _similar_sizes(F.col("n"), F.col("n_2"), percent)).select("h", "n", "c", "n_2", "c_2"))
+    one = facts.select("h", "n", "c", "id", "comp")
+    two = facts.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "id", "comp")))
+    direct = met.join(one.hint("merge"), ["h", "n", "c"]).join(two.hint("merge"), ["h", "n_2", "c_2"]).where("comp != comp_2 and id != id_2")
+    direct = direct.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    lists = _rarest(facts, ["h", "id", "n", "comp", "c", "wanting"], ["h"], F.greatest("wanting", F.lit(1)))
+    return direct.unionByName(_pairs_of(saved(lists.drop("w", "wanting", "c")), ["h", "v"], percent))
+
+
+def _rest_pairs(lists: DataFrame, hubs: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of list members in different components that may be linked, but for those with a list's central member."""
+    placed = lists.select("v", "id", "n").join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    span = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    shown = hubs.select("v", F.col("head.id").alias("h"), "size").where("size > 2").join(span.hint("merge"), "v")
+    open_ = saved(placed.join(shown.hint("merge"), "v").where("id != h"))
+    short = _pairs_of(open_.where(F.col("size") <= SHORT_LIST).select("v", "id", "n", "comp"), ["v"], percent)
+    members = saved(open_.where(F.col("size") > SHORT_LIST).select("h", "id", "n", "comp").distinct())
+    if members.isEmpty():
+        return short.distinct()
+    return short.unionByName(_beyond(members, docs, words, percent)).distinct()
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, a row a doc_id, nulls left out: of rows that repeat a doc_id the longest text (ties: the greatest) stands."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows
+    return saved(rows.groupBy("doc_id").agg(F.max(F.struct(F.octet_length("text").alias("l"), "text")).alias("m")).select("doc_id", "m.text"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -208,33 +229,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable, kept says that it is the row's own. Null and empty texts, and texts of white space,
-    have no shingles and no links. Repeated rows of a doc_id stay. doc_id must not be null. Other columns are ignored.
+    have no shingles and no links. Rows that repeat a doc_id are one document, for which its longest text stands (ties: the
+    greatest); each of them is returned. A null doc_id names no document: such a row has no links, null n_shingles and
+    component_id, and is kept. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(words, k), _SETS))
+    arrow_rows(docs.sparkSession)
+    texts = one_text(docs)
+    rows = saved(texts.mapInArrow(_sketches(words, k), _SETS))
     key = ["n_shingles", "f1", "f2"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min_by(F.struct("doc_id", "sketch"), "doc_id").alias("h"))
     heads = saved(classes.select(F.col("h.doc_id").alias("id"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("h.sketch").alias("sketch")))
-    lists = heads.select(F.posexplode(F.slice("sketch", 1, LISTED)).alias("pos", "v"), "id", "n", "sketch")
-    # values of one set only can't link; a set is the more central the more sets hold its values
-    busy = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = saved(lists.join(busy.hint("merge"), "v"))
-    central = lists.groupBy("id").agg(F.sum("size").alias("w"))
-    lists = saved(lists.drop("size").join(central.hint("merge"), "id"))
-    hubs = saved(lists.groupBy("v").agg(F.max_by(F.struct("id", "n", "sketch"), F.struct("w", -F.col("id"))).alias("h")))
-    lists = lists.drop("w")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stars = saved(_star_pairs(lists, hubs, percent, k))
-    met = saved(_with_sets(stars, texts, words).mapInArrow(_overlaps, _MET))
-    links = saved(met.where(_linked(percent)).select("a", "b"))
+    lists = saved(_rarest(heads.select("id", "n", F.col("sketch").alias("values")), ["id", "n"], [], _need(F.col("n"), percent, k)))
+    hubs = lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("w", -F.col("id"))).alias("head"), F.count(F.lit(1)).alias("size"))
+    hubs = saved(hubs.where("size > 1"))
+    stars = lists.join(hubs.hint("merge"), "v").where(F.col("id") != F.col("head.id")).where(_similar_sizes(F.col("n"), F.col("head.n"), percent))
+    links = _links(saved(stars.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()), heads, texts, words, percent, k)
     labels = components(links)
-    more = saved(_rest_pairs(lists, hubs, met, labels, texts, words, percent, k))
+    more = saved(_rest_pairs(lists, hubs, labels, texts, words, percent))
     if not more.isEmpty():
-        found = _with_sets(more, texts, words).mapInArrow(_overlaps, _MET).where(_linked(percent)).select("a", "b")
-        labels = components(links.unionByName(saved(found)))
+        labels = components(links.unionByName(_links(more, heads, texts, words, percent, k)))
     placed = heads.select("id", "n", "f1", "f2").join(labels.hint("merge"), "id", "left")
     placed = placed.select(F.col("n").alias("n_shingles"), "f1", "f2", F.coalesce("component", "id").alias("_c"))
     # a class's smallest id is its head, so the smallest head reachable is the smallest id reachable
-    out = rows.select("doc_id", *key).join(placed.hint("merge"), key, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    found = rows.select("doc_id", *key).join(placed.hint("merge"), key, "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found.hint("merge"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
