@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.llm.common import arrow_rows, components, saved, sized
+from courtflow.llm.common import arrow_rows, components, one_text, saved, sized
 
 #: Values of a sketch.
 SKETCH = 128
@@ -216,14 +216,6 @@ def _rest_pairs(lists: DataFrame, hubs: DataFrame, labels: DataFrame, docs: Data
     return short.unionByName(_beyond(members, docs, words, percent)).distinct()
 
 
-def one_text(docs: DataFrame) -> DataFrame:
-    """``doc_id, text``, a row a doc_id, nulls left out: of rows that repeat a doc_id the longest text (ties: the greatest) stands."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return rows
-    return saved(rows.groupBy("doc_id").agg(F.max(F.struct(F.octet_length("text").alias("l"), "text")).alias("m")).select("doc_id", "m.text"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 

@@ -1,14 +1,15 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier.
 
-All suffixes of a corpus are too many to sort, so sorting starts from a sparse set of them, chosen by content:
+All suffixes of a corpus are too many to sort, so ranking starts from a sparse set of them, chosen by content:
 
 1. Every window of ``length`` bytes holds an anchor, its first least-hashed ``GRAM``-byte string. Windows in a row with the
    same anchor are one run; equal windows have equal anchors, so only runs whose anchor stands elsewhere too can repeat.
 2. Runs that are equal as a whole are ranked by one sort: all windows of all but the first repeat.
-3. The first runs of an anchor with several different runs (the edges of repeated passages) go to rounds like prefix
-   doubling, but with hashes in place of ranks: pairs (hash at p, hash at a growing offset from p) are taken afresh from the text
-   and grouped, what has become unique leaves, until the strings reach ``length`` bytes. Neighbouring windows share a row as
-   long as they share the hashed string.
+3. The first runs of an anchor with several different runs (the edges of repeated passages) go to rounds of prefix doubling.
+   A string's rank is the earliest place where it stands. Strings start around the anchors, each shared by some neighbouring
+   windows. In each round Spark sorts the pairs (rank of the string so far, bytes at growing offsets to both sides) and ranks
+   them anew; what has become unique leaves, the rest parts into longer strings of fewer windows, up to ``length`` bytes.
+   The bytes around an anchor travel with its row, so texts are read once for all rounds.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.llm.common import arrow_rows, saved, sized
+from courtflow.llm.common import arrow_rows, one_text, saved
 
 LENGTH = 100
 #: Bytes of an anchor.
 GRAM = 28
-#: Places in texts that may be broadcast (some 25 MB); more are joined by a shuffle.
-BROADCAST = 300_000
+#: Neighbouring windows that share the string ranked in each round.
+WIDTHS = (32, 8, 2, 1)
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 20
 
@@ -112,73 +113,61 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _offsets(length: int, gram: int) -> list[tuple[int, int]]:
-    """(cell width, bytes of the prefix and suffix that name a cell) of each round: names grow at most twofold."""
-    out, h = [], gram
-    while h < length:
-        grown = min(2 * h, length - 1 if not out else length - length // 7 if len(out) == 1 else length)
-        last = out[-1][0] if out else None
-        cell = length - grown + 1
-        if last is not None and cell > 1:  # cells of a round part those of the round before evenly
-            cell = max(d for d in range(1, cell + 1) if last % d == 0)
-        out.append((cell, h))
-        h = length - cell + 1
-    return out
-
-
-def _ranked(length: int, cell: int, h: int):
-    """Cells of ``cell`` neighbouring windows with the pair of hashes of what all their windows share.
-
-    Windows are told by their offset, bytes from start to anchor; cells lie on one grid of offsets, so equal windows
-    are in equal cells. The shared bytes are named by the hashes of their first and last ``h`` bytes.
-    """
+def _stretches(length: int, width: int):
+    """For each edge and cell of ``width`` windows that it has: the bytes before the anchor and from it on that the cell's windows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
-            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            rows = []
+            for doc, text, edges in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 data = text.encode()
-                a, lo, hi, low, high = np.array([(x["a"], x["lo"], x["hi"], x["low"], x["high"]) for x in spans], np.int64).T
-                c0, c1 = np.maximum(lo, low) // cell, np.minimum(hi, high) // cell
-                k = c1 - c0 + 1
-                pick = np.repeat(np.arange(len(a)), k)
-                o1 = (c0[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(k) - k, k)) * cell
-                start = a[pick] - o1
-                size = length - cell + 1
-                r1, r2 = np.empty(len(pick), np.int64), np.empty(len(pick), np.int64)
-                for at in range(0, len(data), SEGMENT):  # by pieces, as texts may be very long
-                    here = np.flatnonzero((start >= at) & (start < at + SEGMENT))
-                    if len(here):
-                        kr = Hashes(data[at : at + SEGMENT + length])
-                        r1[here] = kr.at(start[here] - at, h).view(np.int64)
-                        r2[here] = kr.at(start[here] - at + size - h, h).view(np.int64)
-                cols = (np.full(len(pick), doc, np.int64), (a[pick] << 30) | (o1 << 20) | (low[pick] << 10) | high[pick], r1, r2)
-                for col, x in zip(parts, cols):
-                    col.append(x)
-            cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "cell", "r1", "r2"])
+                for e in edges:
+                    a, low, high = e["a"], e["low"], e["high"]
+                    for lo in range(low - low % width, high + 1, width):
+                        rows.append((doc, a, lo, low, high, data[a - min(lo + width - 1, high) : a], data[a : a + length - max(lo, low)]))
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "a", "lo", "low", "high", "before", "after"])
 
     return run
 
 
-def double_ranks(docs: DataFrame, edges: DataFrame, length: int, gram: int) -> DataFrame:
-    """Prefix doubling from ``gram`` to ``length`` bytes over the windows of ``edges(doc, a, low, high)``.
+def _bytes(data: str, start: Column, end: Column) -> Column:
+    """Bytes start..end-1, counted from 0."""
+    return F.substring(F.col(data), (start + 1).cast("int"), (end - start).cast("int"))
 
-    ``a`` is an anchor's place and low..high the offsets of its windows. Each round takes hashes at two growing offsets
-    afresh from the text and groups by the pairs: what has become unique leaves, the rest parts into finer cells, down to single windows.
-    Returns ``(doc, p)`` of windows that also start earlier.
+
+def double_ranks(docs: DataFrame, edges: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Prefix doubling over the windows of ``edges(doc, a, low, high)`` up to ``length`` bytes.
+
+    ``a`` is an anchor's place and low..high the offsets (bytes from a window's start to the anchor) of its windows. Windows of a
+    cell have offsets lo..lo+width-1 and share the string from lo bytes before the anchor to length - (lo + width - 1) bytes after its
+    start. Each round pairs the rank of the last round's string with the bytes that the new one has beyond it on both sides.
+    Returns ``(doc, start, end)`` of windows that also start earlier.
     """
-    cells = edges.select("doc", "a", F.lit(0).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"), "low", "high")
-    ten = F.lit(1023)
-    a, lo = F.shiftright("cell", 30), F.shiftright("cell", 20).bitwiseAND(ten)
-    for cell, h in _offsets(length, gram):
-        lists = saved(cells.groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi", "low", "high")).alias("spans")))
-        texts = docs.join(sized(lists, BROADCAST, "spans"), "doc").select("doc", "text", "spans")
-        pairs = saved(texts.mapInArrow(_ranked(length, cell, h), "doc long, cell long, r1 long, r2 long"))
-        groups = pairs.groupBy("r1", "r2").agg(F.min(F.struct("doc", (a - lo).alias("p"))).alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        company = pairs.join(groups.hint("merge"), ["r1", "r2"])
-        cells = company.select("doc", a.alias("a"), lo.cast("long").alias("lo"), (lo + (cell - 1)).cast("long").alias("hi"), F.shiftright("cell", 10).bitwiseAND(ten).alias("low"), F.col("cell").bitwiseAND(ten).alias("high"))
-    return company.select("doc", (a - lo).alias("p"), "g").where(F.struct("doc", "p") > F.col("g")).select("doc", "p")
+    lists = saved(edges.groupBy("doc").agg(F.collect_list(F.struct("a", "low", "high")).alias("edges")))
+    texts = docs.join(lists.hint("merge"), "doc").select("doc", "text", "edges")
+    cells = saved(texts.mapInArrow(_stretches(length, widths[0]), "doc long, a long, lo int, low int, high int, before binary, after binary"))
+    cells = cells.withColumns({"rank_doc": F.lit(0).cast("long"), "rank_at": F.lit(0).cast("long"), "old_left": F.lit(0), "old_right": F.lit(0)})
+    key = ["rank_doc", "rank_at", "lo", "left", "right"]
+    for width, finer in zip(widths, (*widths[1:], 0)):
+        reach = F.length("before")
+        right_end = F.greatest(length - F.col("lo") - (width - 1), F.lit(0))
+        grown = cells.withColumn("left", _bytes("before", reach - F.col("lo"), reach - F.col("old_left"))).withColumn("right", _bytes("after", F.col("old_right"), right_end))
+        groups = grown.groupBy(*key).agg(F.min(F.struct("doc", (F.col("a") - F.col("lo")).alias("at"))).alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        company = grown.join(groups.hint("merge"), key).select("doc", "a", "lo", "low", "high", "before", "after", "g")
+        if not finer:
+            break
+        parts = company.withColumn("lo_", F.explode(F.sequence(F.col("lo"), F.col("lo") + (width - finer), F.lit(finer))))
+        parts = parts.where((F.col("lo_") <= F.col("high")) & (F.col("lo_") + (finer - 1) >= F.col("low")))
+        keep_left = F.least(F.col("lo_") + (finer - 1), F.col("high"))
+        cells = saved(parts.select(
+            "doc", "a", F.col("lo_").alias("lo"), "low", "high",
+            _bytes("before", reach - keep_left, reach).alias("before"), _bytes("after", F.lit(0), length - F.greatest("lo_", "low")).alias("after"),
+            F.col("g.doc").alias("rank_doc"), F.col("g.at").alias("rank_at"), F.col("lo").alias("old_left"), right_end.alias("old_right"),
+        ))
+    start = F.col("a") - F.col("lo")
+    return company.where(F.struct("doc", start.alias("at")) > F.col("g")).select("doc", start.alias("start"), (start + length).alias("end"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -198,8 +187,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = near.join(first.where("c > 1").hint("merge"), ["a", "f"]).where(F.struct("doc", "snt") > F.col("g")).select("doc", s.alias("start"), (s + n + (length - 1)).alias("end"))
     split = first.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
     edges = first.join(split.hint("merge"), "a", "left_semi").select("g.doc", "g.snt").select("doc", (s + to_a).alias("a"), (to_a - n + 1).cast("long").alias("low"), to_a.cast("long").alias("high"))
-    single = double_ranks(docs, edges, length, gram)
-    return whole.unionByName(single.select("doc", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
+    widths = tuple(w for w in WIDTHS if 2 * w <= length - gram + 1) or (1,)
+    return whole.unionByName(double_ranks(docs, edges, length, widths))
 
 
 def _merge(spans) -> list[tuple[int, int]]:
@@ -212,45 +201,40 @@ def _merge(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            data, at, kept, merged = text.encode(), 0, [], _merge(spans)
-            for a, b in merged:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            left = b"".join(kept)
-            rows.append((doc, len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
-
+def _cut(keep_bytes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                data, at, kept, merged = text.encode(), 0, [], _merge(spans or [])
+                for a, b in merged:
+                    kept.append(data[at:a])
+                    at = b
+                left = b"".join([*kept, data[at:]])
+                rows.append((doc, len(data), len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left)[: 5 + keep_bytes])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_bytes]
+            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return run
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_bytes``, ``kept`` (binary) for every row.
 
     A byte goes if a ``length``-byte string over it also starts earlier (smaller doc_id, or the same document and an earlier
-    start), judged on the input; overlaps count. Null texts are empty; texts under ``length`` bytes keep all. doc_id must not be
-    null; rows that repeat a doc_id are each returned and take the cuts of all of them. Other columns are ignored.
+    start), judged on the input; overlaps count. Null texts are empty; texts under ``length`` bytes keep all. Rows that repeat a doc_id
+    are one document, for which its longest text stands (ties: the greatest), and are each returned. A null doc_id has no place in the
+    order: such a row keeps all its bytes, and no other loses any for it. Other columns are ignored.
     """
-    rows = _prepared(docs)
+    rows = one_text(docs).select(F.col("doc_id").alias("doc"), "text")
     spans = repeated_windows(rows, length, gram)
     lists = saved(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    cut = rows.join(sized(lists, BROADCAST, "spans"), "doc").select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    if not keep_bytes:
-        cut = cut.drop("kept")
-    cut = saved(cut).distinct()
-    data = F.encode("text", "utf-8")
-    plain = rows.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(data, 256).alias("_sha"), *([data.alias("_text")] if keep_bytes else []))
-    out = plain.join(cut.hint("merge"), "doc", "left")
-    return out.select(
-        F.col("doc").alias("doc_id"), "n_bytes",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), *([F.coalesce("kept", "_text").alias("kept")] if keep_bytes else []),
-    )
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+    cut = rows.join(lists.hint("merge"), "doc", "left").select("doc", "text", "spans").mapInArrow(_cut(keep_bytes), schema)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(cut.hint("merge"), "doc_id")
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    zero = F.lit(0).cast("long")
+    lone = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), *([data.alias("kept")] if keep_bytes else []))
+    return out.unionByName(lone)

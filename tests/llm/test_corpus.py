@@ -46,6 +46,30 @@ def test_suffix(spark):
     assert suffix.dedup_substrings(empty(spark), 12, 4).count() == 0
 
 
+def test_suffix_at_production_lengths(spark):
+    """Passages of all lengths around 100 bytes, at the setting of the query."""
+    rng = random.Random(11)
+    passages = ["".join(rng.choices("abcdé ", k=rng.randint(60, 260))) for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(passages)
+            i = rng.randint(0, 40)
+            parts += ["".join(rng.choices("xyz", k=rng.randint(0, 50))), p[i : len(p) - rng.randint(0, 40)]]
+        texts.append("".join(parts))
+    texts += ["ab" * 300, "ba" * 290, "a" * 99, "a" * 100, "a" * 101, "q" * 5000, None, "", texts[0]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(docs(spark, texts)).collect()}
+    assert got == brute_suffix(texts, 100)
+
+
+def test_suffix_with_null_and_repeated_ids(spark):
+    long = "the quick brown fox jumps"
+    rows = [(None, long), (2, long), (2, long), (1, "x" + long), (3, long[:5])]
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 12, 4).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())
+    assert got == [(-1, 25, 0, 0), (1, 26, 0, 0), (2, 25, 25, 1), (2, 25, 25, 1), (3, 5, 0, 0)]
+
+
 def test_suffix_pieces_of_long_texts(monkeypatch):
     data = bytes(random.Random(5).choices(b"ab", k=400))
     whole = sorted(p for s, n, *_ in zip(*suffix.runs_of(data, 12, 4)) for p in range(s, s + n))
@@ -93,6 +117,33 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_in_a_large_family(spark, monkeypatch):
+    """Mutated copies of one text, far from its central one in part, with copies of copies, by way of long lists."""
+    monkeypatch.setattr(minhash, "SHORT_LIST", 4)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(160)]
+    texts, pool = [" ".join(base)], [base]
+    for _ in range(260):
+        w = list(rng.choice(pool) if rng.random() < 0.3 else base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(400)}"
+        w = w[: rng.randint(140, 160)]
+        if len(pool) < 8:
+            pool.append(w)
+        texts.append(" ".join(w))
+    want = brute_near(texts, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) > 5
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f g"), (7, "a b c d e f g"), (5, None)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    got = sorted((r.doc_id or -1, r.n_shingles or -1, r.component_id or -1, r.kept) for r in out)
+    assert got == [(-1, -1, -1, True), (4, 7, 4, True), (4, 7, 4, True), (5, -1, 5, True), (7, 7, 4, False)]
+
+
 def test_near_duplicates_on_one_boilerplate(spark):
     # pairs of 85 and 84 words on a hub of 100, of which they have 77: the second is too short to be held against the hub
     rng = random.Random(8)
