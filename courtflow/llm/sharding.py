@@ -1,8 +1,9 @@
 """Minimum-cost-flow resharding.
 
-Old shards and size classes supply rows, new shards demand them; a row that stays costs nothing, one
-that moves costs its bytes. The flow is solved on counts (shards x size classes, whatever the corpus
-holds), then each document reads its new shard from its number within its class.
+Old shards supply rows, new shards demand them; a row that stays costs nothing, one that moves costs its bytes. Of every old shard
+the smallest rows leave first, so all that the flow must know of it is how many rows it holds and what the one costs that leaves or
+stays by whether the shard gets a place more. The flow is solved on these few numbers; each row then reads from the counts of its
+shard's sizes whether it leaves, and from its number among the leaving ones where it goes. Files of shards that lose or gain rows are rewritten.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.common import numbered
+from courtflow.llm.common import numbered, saved
 
 SHARDS = 24
 
@@ -58,62 +59,86 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], s: int, t: int)
             cap[e ^ 1] += room
 
 
-def transfers(supply: dict[tuple[int, int], tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """Moves (old, class, lo, hi, new): rows numbered lo..hi-1 of an old shard's size class go to ``new``.
+def leaving(have: dict[int, int], margin: dict[int, int], shards: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Rows that leave each old shard, and rows that each new shard gets, at least cost.
 
-    ``supply`` has rows and bytes by (old shard, size class). New shards hold equal counts, at most one apart;
-    the extra rows stay where most rows are. Through a hub, moved rows of all old shards meet the free places.
+    ``have`` counts the rows of old shards, ``margin`` gives the size of the row that is the last to leave a shard of more than
+    total // shards rows, if it gets no extra place. New shards hold total // shards rows, and total % shards of them one more.
     """
-    total = sum(n for n, _ in supply.values())
-    have = [sum(n for (o, _), (n, _) in supply.items() if o == j) for j in range(shards)]
-    extra = set(sorted(range(shards), key=lambda j: (-have[j], j))[: total % shards])
-    keys = sorted(supply)
-    s, t, hub, first = 0, 1, 2, 3
-    new = first + len(keys)
+    base, extras = divmod(sum(have.values()), shards)
+    olds = sorted(have)
+    s, t, hub, extra, first = 0, 1, 2, 3, 4
+    new = first + len(olds)
     arcs = []
-    for i, k in enumerate(keys):
-        n, size = supply[k]
-        arcs.append((s, first + i, n, 0))
-        if k[0] < shards:
-            arcs.append((first + i, new + k[0], n, 0))
-        arcs.append((first + i, hub, n, max(1, size // max(1, n))))
+    for i, j in enumerate(olds):
+        arcs.append((s, first + i, have[j], 0))
+        if 0 <= j < shards:  # all but the last row that may leave: leaving or staying, it is not up to the flow
+            arcs.append((first + i, new + j, have[j], 0))
+        over = have[j] - base if 0 <= j < shards else have[j]
+        arcs.append((first + i, hub, max(0, over - 1), 1))
+        arcs.append((first + i, hub, 1, max(1, margin.get(j, 1)) + 1))
     for j in range(shards):
-        arcs += [(hub, new + j, total, 0), (new + j, t, total // shards + (j in extra), 0)]
+        arcs += [(hub, new + j, base + 1, 0), (new + j, t, base, 0), (new + j, extra, 1, 0)]
+    arcs.append((extra, t, extras, 0))
     flow = min_cost_flow(new + shards, arcs, s, t)
-    used = {(a, b): f for (a, b, _, _), f in zip(arcs, flow)}
-    free = [[j, used[hub, new + j]] for j in range(shards) if used[hub, new + j]]
-    out = []
-    for i, k in enumerate(keys):
-        stay = used.get((first + i, new + k[0]), 0)
-        if stay:
-            out.append((*k, 0, stay, k[0]))
-        at, left = stay, used[first + i, hub]
-        while left:
-            take = min(left, free[-1][1])
-            out.append((*k, at, at + take, free[-1][0]))
-            at, left, free[-1][1] = at + take, left - take, free[-1][1] - take
+    out, into = dict.fromkeys(olds, 0), dict.fromkeys(range(shards), 0)
+    for (a, b, _, _), f in zip(arcs, flow):
+        if b == hub:
+            out[olds[a - first]] += f
+        elif a == hub:
+            into[b - new] += f
+    return out, into
+
+
+def routes(out: dict[int, int], into: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """Moves (old, lo, hi, new): leaving rows numbered lo..hi-1 of an old shard go to ``new``."""
+    free = [[j, n] for j, n in sorted(into.items()) if n]
+    moves = []
+    for j, n in sorted(out.items()):
+        at = 0
+        while at < n:
+            take = min(n - at, free[-1][1])
+            moves.append((j, at, at + take, free[-1][0]))
+            at, free[-1][1] = at + take, free[-1][1] - take
             if not free[-1][1]:
                 free.pop()
-    return out
+    return moves
 
 
 def reshard(docs: DataFrame, shards: int = SHARDS, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id, size, old_shard, shard, slot, moved``, and the columns to ``carry``, for all rows of ``docs(doc_id, size, old_shard)``.
 
-    Shard counts are at most one apart (law ``rows``) and the fewest bytes move at the grain of size classes
-    (powers of two). slot is gapless from 0 in each shard. Old shards outside 0..shards-1 are drained. Null
-    doc_ids and repeated rows are rows like others; empty input gives an empty result.
+    Shard counts are at most one apart (law ``rows``) and the fewest bytes move that can. slot is gapless from 0 in each shard.
+    Old shards outside 0..shards-1 are drained; a null one counts as -1. Null doc_ids and repeated rows are rows like others;
+    empty input gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("size").cast("long").alias("size"), F.col("old_shard").cast("int").alias("old_shard"), *carry)
-    rows = rows.withColumn("_c", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
-    # at most old shards x 63 classes rows
-    supply = {(r.old_shard, r._c): (r.n, r.b) for r in rows.groupBy("old_shard", "_c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()}
-    moves = spark.createDataFrame(transfers(supply, shards) if supply else [], "old_shard int, _c int, _lo long, _hi long, shard int")
-    dealt = numbered(rows, ["old_shard", "_c"], "doc_id", "_k")
-    found = dealt.join(F.broadcast(moves), ["old_shard", "_c"]).where("_k >= _lo and _k < _hi")
-    out = numbered(found.select("doc_id", "size", "old_shard", "shard", *carry), ["shard"], "doc_id", "slot")
-    return out.withColumn("moved", F.col("shard") != F.col("old_shard"))
+    rows = docs.select("doc_id", F.col("size").cast("long").alias("size"), F.coalesce(F.col("old_shard").cast("int"), F.lit(-1)).alias("old_shard"), *carry)
+    # one row for each size of a shard: few next to the rows
+    sizes = rows.groupBy("old_shard", "size").agg(F.count(F.lit(1)).alias("_n"))
+    to = F.sum("_n").over(Window.partitionBy("old_shard").orderBy("size"))
+    sizes = saved(sizes.withColumn("_to", to).withColumn("_from", F.col("_to") - F.col("_n")))
+    have = {r.old_shard: r.n for r in sizes.groupBy("old_shard").agg(F.sum("_n").alias("n")).collect()}
+    base = sum(have.values()) // shards
+    last = spark.createDataFrame([(j, n - base) for j, n in have.items() if 0 <= j < shards and n > base], "old_shard int, _last long")
+    margin = sizes.join(F.broadcast(last), "old_shard").where("_from < _last and _last <= _to")
+    out, into = leaving(have, {r.old_shard: r.size for r in margin.select("old_shard", "size").collect()}, shards)
+    going = spark.createDataFrame([(j, n) for j, n in out.items() if n], "old_shard int, _out long")
+    # rows of sizes below the edge leave, those of the edge as far as needed, by number
+    gone = sizes.join(F.broadcast(going), "old_shard").where("_from < _out").select("old_shard", "size", F.least("_n", F.col("_out") - F.col("_from")).alias("_k"), "_n")
+    some = gone.where("_k < _n").select("old_shard", "size", "_k")  # at most one size a shard
+    whole = gone.where("_k = _n").groupBy("old_shard").agg(F.max("size").alias("_below"))
+    marked = rows.join(F.broadcast(whole), "old_shard", "left").withColumn("_goes", F.coalesce(F.col("size") <= F.col("_below"), F.lit(False))).drop("_below")
+    edge = marked.join(F.broadcast(some), ["old_shard", "size"])
+    edge = numbered(edge, ["old_shard"], "doc_id", "_e").withColumn("_goes", F.col("_e") < F.col("_k")).drop("_e", "_k")
+    rest = marked.join(F.broadcast(some.select("old_shard", "size")), ["old_shard", "size"], "left_anti")
+    dealt = rest.unionByName(edge)
+    moves = spark.createDataFrame(routes(out, into), "old_shard int, _lo long, _hi long, shard int")
+    names = ["doc_id", "size", "old_shard", "shard", *carry]
+    moved = numbered(dealt.where("_goes").drop("_goes"), ["old_shard"], "doc_id", "_m").join(F.broadcast(moves), "old_shard").where("_m >= _lo and _m < _hi").select(*names)
+    stay = dealt.where("not _goes").withColumn("shard", F.col("old_shard")).select(*names)
+    placed = numbered(stay.unionByName(moved), ["shard"], "doc_id", "slot")
+    return placed.withColumn("moved", F.col("shard") != F.col("old_shard"))
 
 
 def rewrite_shards(assigned: DataFrame, docs: DataFrame, path: str) -> None:
