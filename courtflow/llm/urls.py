@@ -7,6 +7,7 @@ size is checked; its n-grams are hashed by the same Spark expression that scores
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,24 +22,60 @@ RULES = [
 ]
 #: Most rows of a labelled table that is fitted on the driver.
 MAX_LABELLED = 5_000
-BUCKETS = 2_048
+BUCKETS = 1 << 15
 GRAM = 4
 
-#: Labelled hosts and paths: 1 = block.
-_BLOCK_HOSTS = ["adult-x", "adult", "xxx-cams", "free-bets", "bets", "casino-win", "casino", "poker", "porn-tube", "sex-chat", "warez", "pills-cheap", "viagra-shop", "free-slots", "jackpot", "escort"]
-_ALLOW_HOSTS = ["tionsh", "ththon", "blog.therble", "m.ththe", "www.thering", "news", "docs", "wiki", "library", "science", "school", "city-guide", "freedom", "beta", "adulthood-journal", "essex", "weather", "www.tiontion", "m.thernd", "blog.ththly"]
-_PATHS = ["/en/123.html", "/fr/77/", "/de/4512", "/es/9?page=2", "/", "/about", "/en/20044/", "/article/5"]
+# Words of hosts and paths by family, 1 = block.
+BLOCK_FAMILIES = {
+    "adult": "adult porn porno xxx sex sexy nude nudes naked hardcore erotic fetish milf escort camgirl hentai playboy stripper",
+    "gambling": "casino poker bet bets betting slots jackpot roulette gamble gambling blackjack bingo sportsbook wager lotto lottery freespins",
+    "pharmacy": "viagra cialis pills pharmacy rx meds levitra tramadol xanax valium steroids dietpills weightloss",
+    "piracy": "warez torrent torrents crack cracked keygen serialz nulled pirate piratebay freemovies fullmovie streamz",
+    "advertising": "ads ad adserver adtrack track tracker tracking banner banners popup popunder click clicks clickbait affiliate doubleclick pixel",
+    "spam": "spam spammer farm linkfarm seo backlinks cheap cheapest replica replicas coupon coupons payday loans freeloan prize winner giveaway",
+    "malware": "phish phishing malware trojan hacked hacks cheats botnet exploit freegift verify-account login-secure",
+}
+ALLOW_FAMILIES = {
+    "press": "news daily times herald tribune gazette press journal post weekly magazine reporter observer",
+    "science": "science physics chemistry biology astronomy math research institute laboratory nature theory",
+    "schools": "university college school academy library campus faculty students education courses lectures sussex essex middlesex",
+    "places": "city town village travel map guide hotel museum park river mountain island beach airport adelaide scunthorpe",
+    "technology": "software linux python docs developer cloud code data network server forum support download wiki alphabet better",
+    "living": "recipes garden kitchen cooking music books film sports health doctor weather family crafts fashion betty address adventure",
+    "state": "government ministry council court parliament police tax embassy election public service office",
+    "names": "anderson martin schmidt dupont garcia rossi novak jansen thering tion oneth heres theand ingly ounder",
+    "trade": "shop store market bank insurance furniture cars bikes tools electronics clicker tracksuit adapter padlock farmhouse",
+}
+_TLDS = ("com", "org", "net", "info", "de", "fr", "es", "co.uk")
+_PATHS = ("/", "/en/123.html", "/fr/77/", "/2019/05/{w}", "/es/9?page=2", "/{w}", "/article/5", "/about", "/{w}/index.html", "/de/4512")
+_HOSTS = ("{a}.{t}", "www.{a}.{t}", "{a}-{b}.{t}", "{b}-{a}.example.{t}", "{a}{b}.{t}", "blog.{a}.{t}", "{a}.example.{t}", "{b}.{a}.{t}", "m.{a}{k}.{t}")
+_NEUTRAL = ("example", "best", "my", "site", "world", "online", "web", "top", "free", "new", "land", "x", "hub", "one", "win", "the")
+
+
+def _urls(families: dict[str, str], label: int, other: list[str]) -> list[tuple[str, int]]:
+    out = []
+    for words in families.values():
+        for i, word in enumerate(words.split()):
+            for k, form in enumerate(_HOSTS):
+                host = form.format(a=word, b=_NEUTRAL[(5 * i + 3 * k + label) % len(_NEUTRAL)], t=_TLDS[(i + k) % len(_TLDS)], k=i % 10)
+                inside = word if (i + k) % 3 == 0 else _NEUTRAL[(i + k) % len(_NEUTRAL)]
+                out.append((f"http{'s' * (k % 2)}://{host}{_PATHS[(3 * i + k) % len(_PATHS)].format(w=inside)}", label))
+            for k in range(2 * label):  # blocked by its path alone
+                out.append((f"https://{other[(7 * i + k) % len(other)]}.{_TLDS[i % len(_TLDS)]}/{word}/{_NEUTRAL[(i + k) % len(_NEUTRAL)]}{i}", label))
+    return out
+
+
+def _unknown(n: int) -> list[tuple[str, int]]:
+    """Hosts of letters drawn at random, to be allowed: what the table has no word for gives no cause to block."""
+    rng, letters = random.Random(5), "eeeeeeeeeeeetttttttttaaaaaaaaooooooooiiiiiiinnnnnnnsssssshhhhhhrrrrrrddddlllluuucccmmmwwffggyyppbbvvkjxqz"
+    names = ["".join(rng.choices(letters, k=rng.randint(4, 11))) for _ in range(n)]
+    return [(f"http://{('', 'www.', 'blog.', 'm.')[i % 4]}{a}{('', '.example')[i % 2]}.{_TLDS[i % len(_TLDS)]}{_PATHS[i % len(_PATHS)].format(w=names[i - 1])}", 0) for i, a in enumerate(names)]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table that ships with the library: (url, label)."""
-    rows = [
-        (f"http{'s' * (k % 2)}://{host}.example.{('com', 'org', 'net')[(i + k) % 3]}{path}", label)
-        for hosts, label in ((_BLOCK_HOSTS, 1), (_ALLOW_HOSTS, 0))
-        for i, host in enumerate(hosts)
-        for k, path in enumerate(_PATHS)
-    ]
-    return spark.createDataFrame(rows, "url string, label int")
+    """The labelled table that ships with the library: (url, label), made of word families under many forms of hosts and paths."""
+    calm = " ".join(ALLOW_FAMILIES.values()).split()
+    return spark.createDataFrame(_urls(BLOCK_FAMILIES, 1, calm) + _urls(ALLOW_FAMILIES, 0, calm) + _unknown(1_200), "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -78,7 +115,7 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS, n: int = GRAM) ->
     return F.array_distinct(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), "h"), of(path, "p")))
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
+def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 30, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
     """Weights of ``buckets`` features and, last, the bias, by seeded-order gradient steps.
 
     ``labelled(url, label)`` may hold at most ``MAX_LABELLED`` rows; null urls or labels are skipped.
@@ -110,7 +147,7 @@ def score(host: Column, path: Column, weights: list[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def judge_urls(pages: DataFrame, weights: list[float], rules=RULES, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, weights: list[float], rules=RULES, threshold: float = 0.9) -> DataFrame:
     """``page_id, host, path, rule, verdict, p_block`` for every row of ``pages(page_id, url)``.
 
     A rule's verdict stands; else the model's. Null, empty and malformed urls have empty host and path
