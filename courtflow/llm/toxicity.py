@@ -3,7 +3,7 @@
 A character trigram model is counted over all documents. Words that look disguised (look-alike digits and signs, separators,
 stretched letters, letters set apart by spaces) become lattices of what each sign may stand for, and Viterbi decoding finds
 the likeliest original under channel and language model. Words as restored are then scored: evidence weights of hashed words
-and word beginnings, learned from labelled rows, and a logistic curve over a document's strongest words.
+and word beginnings, learned from labelled rows, and a logistic curve over all words of a document, the strongest counting most.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ _SIDE = 64
 _SWAP, _SKIP, _SQUEEZE = -2.0, -1.0, -0.5
 #: Buckets of the evidence table; its size bounds what reaches the driver.
 BUCKETS = 1 << 20
-#: Documents that a feature must be in to count, and the words that a worker remembers.
-SUPPORT = 6
+#: Rows by which rare evidence is drawn towards none, the weight of each next weaker word, and the words that a worker remembers.
+PRIOR = 6.0
+FADE = 0.5
 REMEMBER = 400_000
 _BIN = 4
 
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’¿¡…"
-_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|])(?:[ ](?:[^\W_]|[@$!|])){3,}(?!\S)")
+_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|])(?:[ ](?:[^\W_]|[@$!|]))+(?!\S)")
 _STRETCHED = re.compile(r"(.)\1\1")
 
 
@@ -81,40 +82,45 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def disguised(word: str) -> bool:
-    """Whether a lower-case word without outer punctuation is worth decoding: mostly letters, but not only."""
-    if len(word) > 32 or len(word) < 3:
+    """Whether a lower-case word of any length without outer punctuation is worth decoding: letters and look-alikes, not letters only."""
+    if len(word) < 3:
         return False
     if word.isalpha():
         return _STRETCHED.search(word) is not None
     odd = sum(c in LOOKALIKES or c in SEPARATORS for c in word)
     letters = sum(c.isalpha() for c in word)
-    return letters + odd == len(word) and 2 * letters >= odd and letters >= 1 and not word.isdigit()
+    return letters + odd == len(word) and letters >= 1
 
 
 def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest original of a word: Viterbi over its lattice, states are the last two signs."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest original of a word: Viterbi over its lattice, states are the last two signs. Letters beyond the model's stay."""
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     previous = ""
     for c in word:
         options = [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
-        if c in _CODE:
+        if c in _CODE or c.isalpha():
             options.append((c, 0.0))
         elif c in SEPARATORS or not options:
             options.append(("", _SKIP))
         if c == previous:
             options.append(("", _SQUEEZE))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, text) in best.items():
             for out, cost in options:
                 if out:
-                    k = _CODE[out]
-                    state, value, made = (b, k), score + cost + float(model[a, b, k]), text + out
+                    k = _CODE.get(out, 1)
+                    state, value = (b, k), score + cost + float(model[a, b, k])
                 else:
-                    state, value, made = (a, b), score + cost, text
-                if state not in new or (value, made) > new[state]:
-                    new[state] = (value, made)
+                    state, value = (a, b), score + cost
+                if state not in new or value > new[state][0]:
+                    new[state] = (value, (text, out) if out else text)  # a chain of signs, read back at the end
         best, previous = new, c
-    return max((score + float(model[a, b, 0]), text) for (a, b), (score, text) in best.items())[1]
+    chain = max(((score + float(model[a, b, 0]), -a, -b, text) for (a, b), (score, text) in best.items()), key=lambda x: x[:3])[3]
+    signs = []
+    while chain:
+        chain, c = chain
+        signs.append(c)
+    return "".join(reversed(signs))
 
 
 def raw_words(text: str | None) -> list[str]:
@@ -141,8 +147,8 @@ class Restorer(dict):
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a restored word: itself and its beginnings of 4 to 6 letters."""
-    if len(word) < 4 or len(word) > 40:
+    """Buckets of a restored word of any length: itself and its beginnings of 4 to 6 letters."""
+    if not word:
         return []
     parts = {f"={word}", *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k)}
     return [zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts]
@@ -187,9 +193,11 @@ class _Weights(Restorer):
 
 
 def strength(text: str | None, weights: _Weights) -> float:
-    """The sum of the three strongest distinct words of a text."""
-    found = sorted(map(weights.__getitem__, set(raw_words(text))), reverse=True)[:3]
-    return float(sum(found))
+    """The sum over all distinct words of a text, strongest first, each ``FADE`` times as much as the one before."""
+    total = 0.0
+    for w in sorted(filter(None, map(weights.__getitem__, set(raw_words(text))))):
+        total = w + FADE * total
+    return total
 
 
 def _strengths(model, table):
@@ -238,12 +246,14 @@ def train(docs: DataFrame, labels: DataFrame):
     rows = docs.select("doc_id", "text").where(fold() != 1).where("text is not null").join(marked.hint("shuffle_hash"), "doc_id")
     rows = rows.withColumn("fold", fold()).groupBy(F.xxhash64("text").alias("h"), F.col("fold")).agg(F.max("toxic").cast("int").alias("toxic"), F.first("text").alias("text"))
     first = rows.where("fold = 0").select("text", "toxic").mapInArrow(_evidence(model), "f long, pos long, neg long")
-    sums = first.groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {SUPPORT}").collect()
+    sums = first.groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0")
     n = {r.toxic: r.n for r in rows.where("fold = 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # evidence against the share of toxic rows, rare evidence drawn towards none; only what speaks for label 1 comes here
+    rate = (n.get(1, 0) + 1) / (n.get(0, 0) + 1)
+    weigh = F.log((F.col("pos") + PRIOR * rate) / (F.col("neg") + PRIOR)) - math.log(rate) - 1.0
+    found = sums.select("f", weigh.alias("w")).where("w > 0").toPandas()
     weights = np.zeros(BUCKETS, np.float32)
-    base = math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
-    for r in sums:
-        weights[r.f] = max(0.0, math.log((r.pos + 0.5) / (r.neg + 0.5)) - base - 1.0)
+    weights[found.f.to_numpy()] = found.w.to_numpy()
     table = spark.sparkContext.broadcast(weights)
     second = rows.where("fold = 2").select("text", "toxic").mapInArrow(_strengths(model, table), "toxic int, strength double")
     bins = second.groupBy(F.round(F.col("strength") * _BIN).cast("int").alias("b")).agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).collect()
