@@ -1,8 +1,11 @@
 """Quality rules: base statistics of each text and robust multivariate outliers per language and source.
 
-Minimum covariance determinant by concentration steps: from a median/MAD start, each step keeps the half of a group's rows
-that lies nearest by Mahalanobis distance and re-estimates mean and covariance from it. A step is one aggregation over all
-rows into distance bins per group, which holds counts, sums and products, so no group meets in one task.
+Minimum covariance determinant: the estimate of a group rests on those of its rows whose covariance has the least determinant.
+The search begins at several places (the medians, and the means of parts of the group) and takes concentration steps from each:
+a step keeps the rows that lie nearest by Mahalanobis distance and re-estimates mean and covariance from them, by which the
+determinant can't grow. Steps end when it falls no more in any group; the start that led to the least determinant wins.
+A step is one aggregation over all rows into distance bins per group and start, which hold counts, sums and products, so no group
+meets in one task. Determinants are those of covariances with ``FLOORS`` added, as several statistics hardly vary in clean text.
 """
 
 from __future__ import annotations
@@ -15,18 +18,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.llm.common import arrow_rows, saved
+from courtflow.llm.common import arrow_rows, saved, sized
 
 SYMBOLS = "#*$%&|<>"
-#: Share of a group's rows that the estimate rests on, concentration steps, and rows under which a group is judged by a wider one.
+#: Share of a group's rows that the estimate rests on, most concentration steps, and rows under which a group is judged by a wider one.
 HALF = 0.6
-STEPS = 5
+STEPS = 12
 MIN_ROWS = 40
 #: Rejected beyond this squared distance (a chi-square quantile far out, as text statistics have long tails).
 CUTOFF = 60.0
 #: Least standard deviations of the transformed statistics: several hardly vary in clean text.
 FLOORS = (0.6, 0.10, 0.15, 0.10, 0.10)
-_BINS = 16.0
+_BINS = 64.0
+#: Starts besides the medians: parts of a group's rows by hash, one in ``PART`` rows each.
+STARTS = 3
+PART = 8
+#: Most models that are broadcast (some 300 bytes each).
+BROADCAST_MODELS = 50_000
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -93,7 +101,27 @@ def vector() -> list[Column]:
 
 
 _P = len(FLOORS)
-_MODEL = "lang string, source string, n long, mean array<double>, inv array<double>"
+_MODEL = "lang string, source string, start int, n long, mean array<double>, inv array<double>, det double"
+_GROUP = ["lang", "source", "start"]
+
+
+def _products() -> list[Column]:
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)]
+    return sums + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(_P) for j in range(i, _P)]
+
+
+def _estimate(group: pd.DataFrame, g: pd.DataFrame, total: int) -> pd.DataFrame:
+    """A model from the sums in ``g``, with the log of the determinant of its covariance."""
+    n = g.n.sum()
+    mean = np.array([g[f"s{i}"].sum() for i in range(_P)]) / n
+    cov = np.empty((_P, _P))
+    for i in range(_P):
+        for j in range(i, _P):
+            cov[i, j] = cov[j, i] = g[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
+    # the nearest part of a normal sample spreads less than the whole: scale as at half the rows, then floor
+    cov = cov * 2.0 + np.diag(np.square(FLOORS))
+    inv = np.linalg.inv(cov).ravel().tolist()
+    return pd.DataFrame({"lang": [group.lang.iloc[0]], "source": [group.source.iloc[0]], "start": [int(group.start.iloc[0])], "n": [total], "mean": [mean.tolist()], "inv": [inv], "det": [float(np.linalg.slogdet(cov)[1])]})
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -114,9 +142,17 @@ def _start(rows: DataFrame) -> DataFrame:
             mean.append(float(mid))
             spread.append(max(1.4826 * mad, FLOORS[i]))
         inv = np.diag(1 / np.square(spread)).ravel()
-        return pd.DataFrame({"lang": [group.lang.iloc[0]], "source": [group.source.iloc[0]], "n": [total], "mean": [mean], "inv": [inv.tolist()]})
+        return pd.DataFrame({"lang": [group.lang.iloc[0]], "source": [group.source.iloc[0]], "start": [0], "n": [total], "mean": [mean], "inv": [inv.tolist()], "det": [float(2 * np.log(spread).sum())]})
 
-    return hist.groupBy("lang", "source").applyInPandas(fit, _MODEL)
+    medians = hist.groupBy("lang", "source").applyInPandas(fit, _MODEL)
+    # the other starts: each the mean and covariance of a part of the rows, all of a group without such rows has only the medians
+    part = F.pmod(F.xxhash64(*(f"x{i}" for i in range(_P))), F.lit(PART)).cast("int")
+    parts = rows.withColumn("start", part + 1).where(F.col("start") <= STARTS).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *_products())
+
+    def begin(group: pd.DataFrame) -> pd.DataFrame:
+        return _estimate(group, group, int(group.n.sum()))
+
+    return medians.unionByName(parts.groupBy(*_GROUP).applyInPandas(begin, _MODEL))
 
 
 def distance(mean: Column, inv: Column) -> Column:
@@ -129,37 +165,38 @@ def distance(mean: Column, inv: Column) -> Column:
     return F.when(total.isNotNull(), F.greatest(total, F.lit(0.0)))
 
 
-def _step(rows: DataFrame, model: DataFrame, hint: str) -> DataFrame:
-    """One concentration step: the nearest ``HALF`` of each group gives the new mean and covariance."""
-    near = rows.join(model.hint(hint), ["lang", "source"]).withColumn("b", F.floor(F.log2(distance(F.col("mean"), F.col("inv")) + 1e-6) * _BINS).cast("int"))
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)]
-    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(_P) for j in range(i, _P)]
-    binned = near.groupBy("lang", "source", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
+def _few(model: DataFrame) -> DataFrame:
+    return sized(model, BROADCAST_MODELS)
+
+
+def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step: the nearest ``HALF`` of each group gives the new mean and covariance of each start."""
+    near = rows.join(_few(model), ["lang", "source"]).withColumn("b", F.floor(F.log2(distance(F.col("mean"), F.col("inv")) + 1e-6) * _BINS).cast("int"))
+    binned = near.groupBy(*_GROUP, "b").agg(F.count(F.lit(1)).alias("n"), *_products())
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("b")
         total = int(g.n.sum())
         last = int(np.searchsorted(np.cumsum(g.n.to_numpy()), HALF * total))
-        g = g.iloc[: last + 1]
-        n = g.n.sum()
-        mean = np.array([g[f"s{i}"].sum() for i in range(_P)]) / n
-        cov = np.empty((_P, _P))
-        for i in range(_P):
-            for j in range(i, _P):
-                cov[i, j] = cov[j, i] = g[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
-        # the nearest part of a normal sample spreads less than the whole: scale as at half the rows, then floor
-        cov = cov * 2.0 + np.diag(np.square(FLOORS))
-        return pd.DataFrame({"lang": [group.lang.iloc[0]], "source": [group.source.iloc[0]], "n": [total], "mean": [mean.tolist()], "inv": [np.linalg.inv(cov).ravel().tolist()]})
+        return _estimate(group, g.iloc[: last + 1], total)
 
-    return binned.groupBy("lang", "source").applyInPandas(fit, _MODEL)
+    return binned.groupBy(*_GROUP).applyInPandas(fit, _MODEL)
 
 
-def _models(rows: DataFrame, steps: int, hint: str = "merge") -> DataFrame:
-    """The estimate of each group of ``rows``. Few groups are broadcast, as they hold many rows each."""
-    model = saved(_start(rows))
+def _models(rows: DataFrame, steps: int) -> DataFrame:
+    """The estimate of each group of ``rows``: of all starts, and steps from them, the one of the least determinant."""
+    at = saved(_start(rows))
+    best = None
     for _ in range(steps):
-        model = saved(_step(rows, model, hint))
-    return model
+        at = saved(_step(rows, at))
+        both = at if best is None else best.unionByName(at)
+        new = saved(both.groupBy(*_GROUP).agg(F.min_by(F.struct("n", "mean", "inv", "det"), "det").alias("m")).select(*_GROUP, "m.*"))
+        if best is not None:
+            fell = new.alias("a").join(best.select(*_GROUP, F.col("det").alias("old")).hint("merge"), _GROUP).where(F.col("old") - F.col("det") > 1e-3)
+            if fell.isEmpty():
+                break
+        best = new
+    return new.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "inv"), F.struct("det", "start")).alias("m")).select("lang", "source", "m.*")
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
@@ -177,13 +214,13 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> Data
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = saved(stats.withColumn("base_failed", failed).select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector()))))
     good = rows.where("not base_failed")
-    model = _models(good, steps)
-    judged = rows.join(model.where(F.col("n") >= MIN_ROWS).drop("n").hint("merge"), ["lang", "source"], "left")
+    model = saved(_models(good, steps)).where(F.col("n") >= MIN_ROWS).drop("n")
+    judged = rows.join(_few(model), ["lang", "source"], "left")
     alone = judged.where("mean is null").select("lang", "source").limit(1)
     if not alone.isEmpty():
-        tongue = _models(good.withColumn("source", F.lit("")), steps, "broadcast").where(F.col("n") >= MIN_ROWS)
-        judged = judged.join(F.broadcast(tongue.select("lang", F.struct("mean", "inv").alias("_t"))), "lang", "left")
-        every = _models(good.withColumn("source", F.lit("")).withColumn("lang", F.lit("")), steps, "broadcast")
+        tongue = saved(_models(good.withColumn("source", F.lit("")), steps)).where(F.col("n") >= MIN_ROWS).select("lang", F.struct("mean", "inv").alias("_t"))
+        judged = judged.join(_few(tongue), "lang", "left")
+        every = saved(_models(good.withColumn("source", F.lit("")).withColumn("lang", F.lit("")), steps))  # one row
         judged = judged.join(F.broadcast(every.select(F.struct("mean", "inv").alias("_e"))), F.lit(True), "left")
         for c in ("mean", "inv"):
             judged = judged.withColumn(c, F.coalesce(c, f"_t.{c}", f"_e.{c}"))

@@ -196,6 +196,29 @@ def test_quality(spark):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_models_against_all_halves(spark):
+    """The least determinant over all subsets of a small group's rows, and the same outliers."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (12, 5)) * [2, 0.3, 0.5, 0.2, 0.3] + 4
+    x[9:] += [9, 2, 3, 1, 2]
+    rows = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = quality._models(rows, 12).first()
+
+    def model(pick):
+        cov = np.cov(x[list(pick)].T, bias=True) * 2 + np.diag(np.square(quality.FLOORS))
+        return np.linalg.slogdet(cov)[1], x[list(pick)].mean(0), np.linalg.inv(cov)
+
+    size = int(np.ceil(quality.HALF * 12))
+    _, mean, inv = min((model(p) for p in combinations(range(12), size)), key=lambda m: m[0])
+    far = lambda m, i: [float((r - m) @ i @ (r - m)) for r in x]
+    want, have = far(mean, inv), far(np.array(got.mean), np.array(got.inv).reshape(5, 5))
+    assert got.n == 12 and np.allclose(want, have, rtol=0.25, atol=0.5)
+    assert sorted(np.argsort(have)[-3:]) == sorted(np.argsort(want)[-3:]) == [9, 10, 11]
+    assert rows.select(F.count("*")).first()[0] == 12
+
+
 def test_quality_judges_small_groups(spark):
     rng = random.Random(7)
 
@@ -400,6 +423,47 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
 
 
+def brute_decode(word, model):
+    """The best of all readings of a short word, one by one."""
+    from itertools import product
+
+    options = []
+    for i, c in enumerate(word):
+        o = [(x, toxicity._SWAP) for x in toxicity.LOOKALIKES.get(c, "")]
+        if c.isalpha():
+            o.append((c, 0.0))
+        elif c in toxicity.SEPARATORS or not o:
+            o.append(("", toxicity._SKIP))
+        if i and c == word[i - 1]:
+            o.append(("", toxicity._SQUEEZE))
+        options.append(o)
+    best = {}
+    for pick in product(*options):
+        text = "".join(x for x, _ in pick)
+        score, a, b = sum(p for _, p in pick), 0, 0
+        for c in text:
+            k = toxicity._CODE.get(c, 1)
+            score += float(model[a, b, k])
+            a, b = b, k
+        best[text] = max(score + float(model[a, b, 0]), best.get(text, -1e9))
+    return best
+
+
+def test_decoding_equals_the_best_of_all_readings(spark):
+    model = toxicity.character_model(docs(spark, ["hello world, the silly letters roll along", "all is well in the tall hall"] * 3))
+    for word in ("h3ll0", "w.o.r.d", "t4lll", "5!lly", "the||e", "ааб3", "x", "11a"):
+        every = brute_decode(word, model)
+        got = toxicity.decode(word, model)
+        assert every[got] >= max(every.values()) - 1e-4, (word, got)
+
+
+def test_words_of_any_length_are_decoded(spark):
+    model = toxicity.character_model(docs(spark, ["please grumble and mumble all day"] * 5))
+    assert toxicity.disguised("grumble" + "e" * 100) and toxicity.decode("grumble" + "e" * 100, model) == "grumble"
+    assert toxicity.disguised("5h1p") and toxicity.features("ab") and toxicity.features("a" * 5000)
+    assert toxicity.raw_words("a b") == ["a", "b", "ab"]
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline as p
 
