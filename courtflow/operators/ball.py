@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,90 +27,143 @@ def chain_points(dets: DataFrame) -> DataFrame:
     cut = F.coalesce((F.col("frame") - F.lag("frame").over(w) > HOLE + 1).cast("long"), F.lit(0))
     rows = dets.withColumn("island", F.sum(cut).over(w))
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        chains: list[list[tuple]] = []
-        active: list[int] = []
-        for frame, group in p.sort_values(["frame", "det_idx"]).groupby("frame", sort=True):
-            spots = list(zip(group.cx, group.cy, group.conf))
-            active = [c for c in active if frame - chains[c][-1][0] <= HOLE + 1]
-            options = []
-            for c in active:
-                f0, x0, y0, _ = chains[c][-1]
-                vx = vy = 0.0
-                if len(chains[c]) > 1:
-                    f1, x1, y1, _ = chains[c][-2]
-                    vx, vy = (x0 - x1) / max(f0 - f1, 1), (y0 - y1) / max(f0 - f1, 1)
-                wait = frame - f0
-                for d, (x, y, _) in enumerate(spots):
-                    away = float(np.hypot(x - x0 - vx * wait, y - y0 - vy * wait))
-                    if away <= STEP * wait:
-                        options.append((away, c, d))
-            took, gone = set(), set()
-            for _, c, d in sorted(options):
-                if c not in took and d not in gone:
-                    took.add(c)
-                    gone.add(d)
-                    chains[c].append((frame, *spots[d]))
-            for d, spot in enumerate(spots):
-                if d not in gone:
-                    active.append(len(chains))
-                    chains.append([(frame, *spot)])
-        head = (p.clip_id.iloc[0], p.island.iloc[0])
-        out = [(*head, c, i, *pt) for c, pts in enumerate(chains) for i, pt in enumerate(pts)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _CHAINS.split(", ")])
-
-    return rows.select("clip_id", "island", "frame", "det_idx", "cx", "cy", "conf").groupBy("clip_id", "island").applyInPandas(fold, _CHAINS)
-
-
-def _fit(t, x, y):
-    """(passes the physics gate, facts) of a quadratic through a segment."""
-    t = np.asarray(t, float) - t[0]
-    py, px = np.polyfit(t, y, 2), np.polyfit(t, x, 2)
-    ry = float(np.sqrt(np.mean((np.polyval(py, t) - y) ** 2)))
-    rx = float(np.sqrt(np.mean((np.polyval(px, t) - x) ** 2)))
-    ok = ACCEL_Y[0] <= 2 * py[0] <= ACCEL_Y[1] and abs(2 * px[0]) <= ACCEL_X and ry <= RMS and rx <= RMS and np.max(y) - np.min(y) >= Y_RANGE
-    return ok, (2 * py[0], 2 * px[0], ry, rx, px.tolist(), py.tolist())
-
-
-_ARCS = "clip_id long, island long, chain long, arc int, start_frame long, end_frame long, n_points int, accel_y double, accel_x double, rms_y double, rms_x double, fit_x array<double>, fit_y array<double>"
+    def link(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["frame", "det_idx"], kind="stable").reset_index(drop=True)
+        at = p.frame.to_numpy()
+        spot = p[["cx", "cy"]].to_numpy()
+        owner = np.empty(len(p), np.int64)
+        # of each chain: frame, place and speed at its last point; one row a chain, at most one a detection
+        last, place, speed = np.full(len(p), -(1 << 40)), np.zeros((len(p), 2)), np.zeros((len(p), 2))
+        made = 0
+        for rows in np.split(np.arange(len(p)), np.flatnonzero(np.diff(at)) + 1):
+            frame = at[rows[0]]
+            open_ = np.flatnonzero(frame - last[:made] <= HOLE + 1)
+            wait = (frame - last[open_])[:, None]
+            away = np.linalg.norm(spot[rows][None] - (place[open_] + speed[open_] * wait)[:, None], axis=2)
+            away[away > STEP * wait] = np.inf
+            chosen = np.full(len(rows), -1)
+            while away.size and np.isfinite(away.min()):  # nearest pair first; then neither takes part any more
+                c, d = np.unravel_index(np.argmin(away), away.shape)
+                chosen[d] = open_[c]
+                away[c], away[:, d] = np.inf, np.inf
+            fresh = chosen < 0
+            chosen[fresh] = made + np.arange(fresh.sum())
+            made += int(fresh.sum())
+            for c, r, new in zip(chosen, rows, fresh):
+                if not new:
+                    speed[c] = (spot[r] - place[c]) / max(frame - last[c], 1)
+                last[c], place[c] = frame, spot[r]
+            owner[rows] = chosen
+        out = p.assign(chain=owner)
+        out["place"] = out.groupby("chain").cumcount().astype("int32")
+        return out[[c.split()[0] for c in _CHAINS.split(", ")]]
+
+    return rows.select("clip_id", "island", "frame", "det_idx", "cx", "cy", "conf").groupBy("clip_id", "island").applyInPandas(link, _CHAINS)
+
+
+_FACTS = ["accel_y", "accel_x", "rms_y", "rms_x", "fit_x", "fit_y"]
+#: Bounds of the robust fit: share of a chain's points and number of them that may be left out, and how many more are candidates.
+DROP_SHARE, DROPS, SPARE = 0.25, 4, 3
+
+
+def _fits(t: np.ndarray, x: np.ndarray, y: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, list]:
+    """Quadratics through several selections of points at once: (which pass the physics gates, facts of each).
+
+    ``take`` has a row of 0/1 a selection. Sums of powers of time give all normal equations; residuals come from them too.
+    """
+    first = np.where(take > 0, t, np.inf).min(1)
+    rel = (t[None] - first[:, None]) * take
+    n = take.sum(1)
+    power = [np.where(take > 0, rel, 0.0) ** k * take for k in range(5)]
+    s = [q.sum(1) for q in power]
+    left = np.array([[s[4], s[3], s[2]], [s[3], s[2], s[1]], [s[2], s[1], s[0]]]).transpose(2, 0, 1)
+    coef, rms = [], []
+    for v in (x, y):
+        right = np.stack([(power[k] * v).sum(1) for k in (2, 1, 0)], 1)
+        c = np.linalg.solve(left, right[..., None])[..., 0]
+        off = (c[:, :1] * rel**2 + c[:, 1:2] * rel + c[:, 2:] - v) * take
+        coef.append(c)
+        rms.append(np.sqrt((off**2).sum(1) / n))
+    drop = np.where(take > 0, y, -np.inf).max(1) - np.where(take > 0, y, np.inf).min(1)
+    ay, ax = 2 * coef[1][:, 0], 2 * coef[0][:, 0]
+    ok = (ay >= ACCEL_Y[0]) & (ay <= ACCEL_Y[1]) & (np.abs(ax) <= ACCEL_X) & (rms[1] <= RMS) & (rms[0] <= RMS) & (drop >= Y_RANGE)
+    return ok, [(*map(float, f[:4]), f[4].tolist(), f[5].tolist()) for f in zip(ay, ax, rms[1], rms[0], *coef)]
+
+
+def _grown(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, tuple | None]:
+    """Points of the longest unbroken row of passing prefixes, from ``MIN_FIT`` points on, with its facts; in blocks of ends."""
+    best, facts = 0, None
+    for lo in range(MIN_FIT, len(t) + 1, 32):
+        ends = np.arange(lo, min(lo + 32, len(t) + 1))
+        m = ends[-1]
+        ok, every = _fits(t[:m], x[:m], y[:m], (np.arange(m)[None] < ends[:, None]).astype(float))
+        passed = len(ok) if ok.all() else int(np.argmin(ok))
+        if passed:
+            best, facts = int(ends[passed - 1]), every[passed - 1]
+        if passed < len(ok):
+            break
+    return best, facts
+
+
+def _rescued(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple] | None:
+    """ST5: the whole chain but for a few points: the fewest, and of those the ones that lie farthest from the plain fit."""
+    n = len(t)
+    budget = min(int(np.ceil(n * DROP_SHARE)), DROPS, n - MIN_FIT)
+    if budget < 1:
+        return None
+    _, plain = _fits(t, x, y, np.ones((1, n)))
+    rel = t - t[0]
+    off = (np.polyval(plain[0][4], rel) - x) ** 2 + (np.polyval(plain[0][5], rel) - y) ** 2
+    pool = np.argsort(-off, kind="stable")[: budget + SPARE]
+    out = [c for k in range(1, budget + 1) for c in combinations(range(len(pool)), k)]
+    take = np.ones((len(out), n))
+    for row, c in zip(take, out):
+        row[pool[list(c)]] = 0
+    ok, every = _fits(t, x, y, take)
+    if not ok.any():
+        return None
+    k = int(np.argmax(ok))
+    return take[k] > 0, every[k]
+
+
+_ARCS = "clip_id long, island long, chain long, arc int, start_frame long, end_frame long, n_points int, accel_y double, accel_x double, rms_y double, rms_x double, fit_x array<double>, fit_y array<double>, n_dropped int"
 
 
 def arcs(points: DataFrame) -> DataFrame:
-    """ST4, A19: flights of each chain: maximal passing segments, left to right; neighbours a short hole apart that pass as one are one.
+    """ST4, ST5, A19: flights of each chain: maximal passing segments, left to right; neighbours a short hole apart that pass as one
+    are one. A chain without any may pass as a whole but for a few points (``n_dropped``).
 
     Chains under ``MIN_CHAIN`` points or ``MIN_TRAVEL`` pixels claim nothing.
     """
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame")
-        f, x, y = p.frame.to_numpy(), p.cx.to_numpy(), p.cy.to_numpy()
-        n, found, i = len(f), [], 0
-        if n >= MIN_CHAIN and np.hypot(np.ptp(x), np.ptp(y)) >= MIN_TRAVEL:
-            while i + MIN_FIT <= n:
-                j, best = i + MIN_FIT, None
-                while j <= n:
-                    ok, facts = _fit(f[i:j], x[i:j], y[i:j])
-                    if not ok:
-                        break
-                    best, j = facts, j + 1
-                if best is None:
-                    i += 1
+    def fly(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("frame", kind="stable")
+        f, x, y = (p[c].to_numpy(float) for c in ("frame", "cx", "cy"))
+        found: list[tuple[int, int, int, tuple, int]] = []  # first, last and number of points, facts, points left out
+        if len(f) >= max(MIN_CHAIN, MIN_FIT) and np.hypot(np.ptp(x), np.ptp(y)) >= MIN_TRAVEL:
+            at = 0
+            while len(f) - at >= MIN_FIT:
+                n, facts = _grown(f[at:], x[at:], y[at:])
+                if not n:
+                    at += 1
                     continue
-                found.append((i, j - 1, best))
-                i = j - 1
-        k = 0
-        while k + 1 < len(found):
-            (a, b, _), (c, d, _) = found[k], found[k + 1]
-            ok, facts = _fit(f[a:d], x[a:d], y[a:d])
-            if ok and f[c] - f[b - 1] <= HOLE + 1:
-                found[k : k + 2] = [(a, d, facts)]
-            else:
-                k += 1
+                seg = (at, at + n - 1, n, facts, 0)
+                if found and f[at] - f[found[-1][1]] <= HOLE + 1:
+                    a, b = found[-1][0], at + n
+                    ok, joint = _fits(f[a:b], x[a:b], y[a:b], np.ones((1, b - a)))
+                    if ok[0]:
+                        found.pop()
+                        seg = (a, b - 1, b - a, joint[0], 0)
+                found.append(seg)
+                at = seg[1] + 1
+            if not found and (saved := _rescued(f, x, y)):
+                kept = np.flatnonzero(saved[0])
+                found = [(kept[0], kept[-1], len(kept), saved[1], len(f) - len(kept))]
         head = (p.clip_id.iloc[0], p.island.iloc[0], p.chain.iloc[0])
-        rows = [(*head, m, f[a], f[b - 1], b - a, *facts) for m, (a, b, facts) in enumerate(found)]
+        rows = [(*head, m, int(f[a]), int(f[b]), n, *facts, gone) for m, (a, b, n, facts, gone) in enumerate(found)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _ARCS.split(", ")])
 
-    return points.select("clip_id", "island", "chain", "frame", "cx", "cy").groupBy("clip_id", "island", "chain").applyInPandas(fold, _ARCS)
+    return points.select("clip_id", "island", "chain", "frame", "cx", "cy").groupBy("clip_id", "island", "chain").applyInPandas(fly, _ARCS)
 
 
 def chain_verdicts(points: DataFrame, found: DataFrame) -> DataFrame:

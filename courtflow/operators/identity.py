@@ -105,7 +105,8 @@ def purity(reads: DataFrame, least: float = CONFIDENT) -> DataFrame:
     )
     verdict = F.when(F.col("numbers").isNull(), "no_evidence").when(F.col("numbers") == 1, "consistent").otherwise("spliced")
     out = tracks.join(told, ["clip_id", "track_id"], "left")
-    return out.select("clip_id", "track_id", verdict.alias("verdict"), F.coalesce("numbers", F.lit(0)).alias("numbers"), "early", "late", (F.col("early_last") >= F.col("late_first")).alias("interleaved"))
+    return out.select("clip_id", "track_id", verdict.alias("verdict"), F.coalesce("numbers", F.lit(0)).alias("numbers"), "early", "late",
+        (F.col("early_last") > F.col("late_first")).alias("interleaved"), *(F.when(F.col("numbers") > 1, f("early_last", "late_first")).alias(n) for f, n in ((F.least, "splice_from"), (F.greatest, "splice_to"))))
 
 
 def readability(reads: DataFrame) -> DataFrame:
@@ -147,31 +148,48 @@ def dual_numbers(rosters: DataFrame) -> DataFrame:
     return rosters.groupBy("clip_id", "number").agg(F.countDistinct("team").alias("teams")).where("teams > 1")
 
 
-def box_score(events: DataFrame, numbers: DataFrame, positions: DataFrame, fps: float = 30.0, length: float = 84.0) -> DataFrame:
-    """Seconds of each number, live and retroactive, with zones.
+def box_score(events: DataFrame, numbers: DataFrame, positions: DataFrame, fps: float = 30.0, length: float = 84.0, rosters: DataFrame | None = None, identity_teams: DataFrame | None = None) -> DataFrame:
+    """Seconds of each number and team, live and retroactive, with zones.
 
     ``events(clip_id, window, frame, identity_id, track_id, state)``, ``numbers(clip_id, window, identity_id, number)``,
-    ``positions(clip_id, frame, track_id, court_x, court_y, is_on)``. Confirmed and retroactively confirmed frames count; frames that
-    two identities claim for one number are disputed and not counted; frames without a position are counted apart.
+    ``positions(clip_id, frame, track_id, court_x, court_y)`` of all bodies, ``rosters(clip_id, team, number)``,
+    ``identity_teams(clip_id, window, identity_id, team)`` for numbers of several teams. Confirmed and retroactively confirmed
+    frames count; frames that two identities claim for one number are disputed and not counted; frames without a position are
+    counted apart. A number of several teams has a line for each team that its identities are told to be of and one AMBIGUOUS line,
+    which takes the disputed frames; other numbers carry them on their only line. Numbers without a team are "off-roster?".
     """
+    live = F.col("state") == "confirmed"
     credited = events.where(F.col("state").isin("confirmed", "confirmed_retroactive")).join(numbers.where("number is not null"), ["clip_id", "window", "identity_id"])
-    claims = credited.groupBy("clip_id", "number", "frame").agg(F.countDistinct("window", "identity_id").alias("claims"))
-    placed = credited.join(claims, ["clip_id", "number", "frame"]).join(positions.select("clip_id", "frame", "track_id", "court_x", "court_y"), ["clip_id", "frame", "track_id"], "left")
-    sole = F.col("claims") == 1
+    one = F.struct("window", "identity_id")
+    frames = credited.groupBy("clip_id", "number", "frame").agg((F.min(one) != F.max(one)).alias("disputed"), F.min(F.struct("window", "identity_id", "track_id", live.alias("live"))).alias("c"))
+    frames = frames.select("clip_id", "number", "frame", "disputed", "c.*")
+    told = (rosters or numbers.select("clip_id", F.lit("").alias("team"), "number").limit(0)).groupBy("clip_id", "number").agg(F.array_sort(F.collect_set("team")).alias("teams"))
+    frames = frames.join(told, ["clip_id", "number"], "left")
+    if identity_teams is None:
+        frames = frames.withColumn("own", F.lit(None).cast("string"))
+    else:
+        frames = frames.join(identity_teams.withColumnRenamed("team", "own"), ["clip_id", "window", "identity_id"], "left")
+    several = F.coalesce(F.size("teams") > 1, F.lit(False))
+    doubt = F.concat(F.lit("AMBIGUOUS ("), F.array_join("teams", " / "), F.lit(")"))
+    label = F.when(several, F.when(F.col("disputed"), doubt).otherwise(F.coalesce("own", doubt))).otherwise(F.coalesce(F.get("teams", F.lit(0)), F.lit("off-roster?")))
+    placed = frames.withColumn("team", label).join(positions.select("clip_id", "frame", "track_id", "court_x", "court_y"), ["clip_id", "frame", "track_id"], "left")
+    sole = ~F.col("disputed")
     zone = F.when(F.col("court_x").isNotNull(), zone_of("court_x", "court_y", length))
-    by_zone = placed.withColumn("zone", zone).groupBy("clip_id", "number", "zone").agg(
-        F.count_if(sole & (F.col("state") == "confirmed")).alias("live"), F.count_if(sole & (F.col("state") != "confirmed")).alias("retro"),
-        F.countDistinct(F.when(~sole, F.col("frame"))).alias("disputed"), F.min("frame").alias("first"),
+    by_zone = placed.withColumn("zone", zone).groupBy("clip_id", "number", "team", "zone").agg(
+        F.count_if(sole & F.col("live")).alias("live"), F.count_if(sole & ~F.col("live")).alias("retro"), F.count_if(~sole).alias("disputed"),
+        F.min(F.when(sole, F.col("frame"))).alias("first"), F.collect_set(F.when(sole, F.col("window"))).alias("windows"), F.max(several).alias("several"),
     )
     n = F.col("live") + F.col("retro")
     seen = n > 0
-    lines = by_zone.groupBy("clip_id", "number").agg(
-        (F.sum("live") / fps).alias("seconds_live"), (F.sum("retro") / fps).alias("seconds_retro"), (F.sum(n) / fps).alias("seconds_total"), F.sum("disputed").alias("disputed_frames"),
+    lines = by_zone.groupBy("clip_id", "number", "team").agg(
+        (F.sum("live") / fps).alias("seconds_live"), (F.sum("retro") / fps).alias("seconds_retro"), (F.sum(n) / fps).alias("seconds_total"), F.sum("disputed").alias("disputed_frames"), (F.sum("disputed") / fps).alias("disputed_seconds"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("windows_present"),
         F.sum(F.when(F.col("zone").isNull(), n).otherwise(0)).alias("unpositioned_frames"),
         F.max_by("zone", F.when(F.col("zone").isNotNull() & seen, F.struct(n, -F.col("first")))).alias("top_zone"),
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("zone").isNotNull() & seen, F.struct("zone", (n / fps).alias("s")))))).alias("zone_seconds"),
+        F.sum(n).alias("_n"), F.max("several").alias("_several"),
     )
-    return lines
+    return lines.where("_n > 0 or _several").drop("_n", "_several")
 
 
 def tracking_coverage(lines: DataFrame, events: DataFrame, fps: float = 30.0) -> DataFrame:

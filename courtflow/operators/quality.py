@@ -108,20 +108,22 @@ def debounced_scores(reads: DataFrame, memory: int = 7, votes: int = 4) -> DataF
 
     ``reads(clip_id, frame, home, away)``; the first lock is a reading, not an event. Folds each clip's reads in order.
     """
-    from collections import Counter, deque
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        recent, held, out = deque(maxlen=memory), None, []
-        for r in p.dropna(subset=["home", "away"]).sort_values("frame").itertuples():
-            recent.append((r.home, r.away))
-            value, n = Counter(recent).most_common(1)[0]
-            if n < votes or value == held:
+        p = p.dropna(subset=["home", "away"]).sort_values("frame")
+        pairs = list(zip(p.home.astype(int), p.away.astype(int)))
+        changes, shown, since = [], None, 0  # since: the first read that still counts
+        for i, frame in enumerate(p.frame):
+            seen = pairs[max(since, i + 1 - memory) : i + 1]
+            top = max(dict.fromkeys(seen), key=seen.count)  # the earliest seen wins a tie
+            if seen.count(top) < votes or top == shown:
                 continue
-            if held is None or (value[0] >= held[0] and value[1] >= held[1]):
-                if held is not None:
-                    out.append((r.clip_id, r.frame, *held, *value))
-                held = value
-            recent.clear()
-        return pd.DataFrame(out, columns=["clip_id", "frame", "from_home", "from_away", "to_home", "to_away"])
+            since = i + 1
+            if shown is not None and any(new < old for new, old in zip(top, shown)):
+                continue
+            if shown is not None:
+                changes.append((p.clip_id.iloc[0], frame, *shown, *top))
+            shown = top
+        return pd.DataFrame(changes, columns=["clip_id", "frame", "from_home", "from_away", "to_home", "to_away"])
 
     return reads.groupBy("clip_id").applyInPandas(fold, "clip_id long, frame long, from_home long, from_away long, to_home long, to_away long")

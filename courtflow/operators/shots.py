@@ -65,9 +65,11 @@ def first_change(shots: DataFrame, scores: DataFrame, frames: int = 180) -> Data
 
 def reproduced(verified: DataFrame, claimed: DataFrame, slack: int = 10) -> DataFrame:
     """Claims at the same hoop whose both ends lie within ``slack`` frames of each verified shot."""
-    other = claimed.select("clip_id", "hoop", F.col("start_frame").alias("s"), F.col("end_frame").alias("e"))
     near = (F.abs(F.col("s") - F.col("start_frame")) <= slack) & (F.abs(F.col("e") - F.col("end_frame")) <= slack)
-    hits = verified.join(other, ["clip_id", "hoop"]).where(near).groupBy(*SHOT).agg(F.count(F.lit(1)).alias("hits"))
+    size = 2 * slack + 1  # starts within slack of each other lie in the same block or in neighbouring ones
+    block = F.floor(F.col("start_frame") / size)
+    other = claimed.select("clip_id", "hoop", F.col("start_frame").alias("s"), F.col("end_frame").alias("e"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    hits = verified.withColumn("block", block).hint("merge").join(other, ["clip_id", "hoop", "block"]).where(near).groupBy(*SHOT).agg(F.count(F.lit(1)).alias("hits"))
     return verified.select(*SHOT).join(hits, SHOT, "left").select(*SHOT, F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
@@ -104,3 +106,11 @@ def near_hoop(tracks: DataFrame, hoops: DataFrame, radius: float) -> DataFrame:
     x, y = (F.col("x1") + F.col("x2")) / 2 - F.col("hx"), F.col("y2") - F.col("hy")
     same = (tracks.clip_id == spots.clip_id) & (tracks.frame == spots.frame)
     return tracks.join(spots, same & (x * x + y * y <= radius * radius), "left_semi")
+
+
+def contained(spans: DataFrame, shots: DataFrame, slack: int = 5, size: int = 256) -> DataFrame:
+    """For each span that is no shot, (clip_id, span_id, inside): whether a shot lies within it, ends widened by ``slack``."""
+    blocks = spans.withColumn("block", F.explode(F.sequence(F.floor((F.col("start_frame") - slack) / size), F.floor((F.col("end_frame") + slack) / size))))
+    at = shots.select("clip_id", F.col("start_frame").alias("s"), F.col("end_frame").alias("e"), F.floor(F.col("start_frame") / size).alias("block"))
+    met = blocks.hint("merge").join(at, ["clip_id", "block"]).where((F.col("s") >= F.col("start_frame") - slack) & (F.col("e") <= F.col("end_frame") + slack))
+    return spans.select("clip_id", "span_id").join(met.select("clip_id", "span_id", F.lit(True).alias("inside")).distinct(), ["clip_id", "span_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))

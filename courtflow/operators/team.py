@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ def side_runs(frames: DataFrame, hold: int, half: float = 47.0, dead: float = 0.
     swing needs a run of ``hold`` frames (hysteresis as a run-length filter), so it is windows only.
     """
     in_order = Window.partitionBy("clip_id").orderBy("frame")
-    side = F.when(F.col("mean_x") < half - dead, "left").when(F.col("mean_x") >= half + dead, "right")
+    side = F.when(F.col("mean_x") < half - dead, "left").when((F.col("mean_x") > half + dead) if dead else (F.col("mean_x") >= half), "right")
     told = frames.withColumn("side", side).where("side is not null")
     told = told.withColumn("k", F.row_number().over(in_order))
     new = F.coalesce((F.lag("side").over(in_order) != F.col("side")).cast("int"), F.lit(0))
@@ -89,47 +88,43 @@ def side_runs(frames: DataFrame, hold: int, half: float = 47.0, dead: float = 0.
 
 
 def possessions_v1(frames: DataFrame, hold: int = 120) -> DataFrame:
-    """(clip_id, side, start, end): a swing stands at the frame that reaches the hold; the last part ends with the clip."""
+    """(clip_id, side, start, end): a swing stands at the frame that reaches the hold, where the part before it ends; the last ends with the clip."""
     last = frames.groupBy("clip_id").agg(F.max("frame").alias("last"))
     w = Window.partitionBy("clip_id").orderBy("run")
     runs = side_runs(frames, hold).withColumn("at", F.when(F.col("run") == 0, F.col("start")).otherwise(F.col("reached")))
-    return runs.join(last, "clip_id").select("clip_id", "side", F.col("at").alias("start"), F.coalesce(F.lead("at").over(w) - 1, F.col("last")).alias("end"))
+    return runs.join(last, "clip_id").select("clip_id", "side", F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), F.col("last")).alias("end"))
 
 
 def possessions_v2(frames: DataFrame, fps: float = 30.0, half: float = 42.0, dead: float = 6.0, hold_s: float = 1.5, least_s: float = 4.0) -> DataFrame:
-    """(clip_id, side, start, end, partial_start, partial_end).
+    """(clip_id, side, start, end, side_agreement, partial_start, partial_end).
 
-    A swing stands at its run's start. Inner segments under ``least_s`` merge into the one before, again and again, and equal
-    neighbours coalesce; that fixpoint runs per clip over its few segments. A clip without a told frame has no row.
+    A swing stands at its run's start; the last segment ends with the last frame on a side. Sides alternate, so an inner segment under
+    ``least_s`` that falls to the one before takes the next of that side along: what is left are the first, the last and the long ones,
+    and neighbours of one side among them are one possession. A clip without a frame on a side has no row.
     """
-    bounds = frames.groupBy("clip_id").agg(F.max("frame").alias("last"))
-    w = Window.partitionBy("clip_id").orderBy("run")
-    runs = side_runs(frames, max(1, int(hold_s * fps)), half, dead)
-    parts = runs.join(bounds, "clip_id").select("clip_id", "side", "start", F.coalesce(F.lead("start").over(w) - 1, F.col("last")).alias("end"))
-    least = least_s * fps
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        segs = [[r.side, r.start, r.end] for r in p.sort_values("start").itertuples()]
-        again = True
-        while again:
-            again = False
-            for i in range(1, len(segs) - 1):
-                if segs[i][2] - segs[i][1] + 1 < least:
-                    segs[i - 1][2] = segs[i][2]
-                    del segs[i]
-                    again = True
-                    break
-            i = 1
-            while i < len(segs):
-                if segs[i][0] == segs[i - 1][0]:
-                    segs[i - 1][2] = segs[i][2]
-                    del segs[i]
-                else:
-                    i += 1
-        n = len(segs)
-        return pd.DataFrame([(p.clip_id.iloc[0], s, a, b, i == 0, i == n - 1) for i, (s, a, b) in enumerate(segs)], columns=["clip_id", "side", "start", "end", "partial_start", "partial_end"])
-
-    return parts.groupBy("clip_id").applyInPandas(merge, "clip_id long, side string, start long, end long, partial_start boolean, partial_end boolean")
+    w = Window.partitionBy("clip_id").orderBy("start")
+    told = frames.where((F.col("mean_x") < half - dead) | ((F.col("mean_x") > half + dead) if dead else (F.col("mean_x") >= half)))
+    last = told.groupBy("clip_id").agg(F.max("frame").alias("last"))
+    runs = side_runs(frames, max(1, round(hold_s * fps)), half, dead).join(last, "clip_id")
+    parts = runs.select("clip_id", "side", "start", F.coalesce(F.lead("start").over(w) - 1, F.col("last")).alias("end"), "last")
+    edge = F.lag("start").over(w).isNull() | F.lead("start").over(w).isNull()
+    stays = parts.withColumn("stays", edge | (F.col("end") - F.col("start") + 1 >= round(least_s * fps))).where("stays")
+    heads = stays.withColumn("new", F.coalesce(F.lag("side").over(w) != F.col("side"), F.lit(True))).where("new")
+    out = heads.select("clip_id", "side", "start", F.coalesce(F.lead("start").over(w) - 1, F.col("last")).alias("end"), F.lag("start").over(w).isNull().alias("partial_start"), F.lead("start").over(w).isNull().alias("partial_end"))
+    place = out.withColumn("window", F.row_number().over(w) - 1)
+    within = window_of(told.select("clip_id", "frame", F.when(F.col("mean_x") < half, "left").otherwise("right").alias("seen")), out).join(place.select("clip_id", "window", "side"), ["clip_id", "window"])
+    share = within.groupBy("clip_id", "window").agg(F.bround(F.avg((F.col("seen") == F.col("side")).cast("double")), 3).alias("side_agreement"))
+    return place.join(share, ["clip_id", "window"], "left").select("clip_id", "side", "start", "end", "side_agreement", "partial_start", "partial_end")
+
+
+def possession_windows(possessions: DataFrame, spans: DataFrame, size: int = 60) -> DataFrame:
+    """(clip_id, start, from_possessions): windows that start with possessions, the first at the span's start; clips without
+    possessions get windows of ``size`` frames. ``spans(clip_id, span_start, span_end)``, both inclusive."""
+    w = Window.partitionBy("clip_id").orderBy("start")
+    told = possessions.join(spans, "clip_id").select("clip_id", F.when(F.row_number().over(w) == 1, F.col("span_start")).otherwise(F.col("start")).alias("start"), F.lit(True).alias("from_possessions"))
+    bare = spans.join(possessions.select("clip_id").distinct(), "clip_id", "left_anti")
+    fixed = bare.select("clip_id", F.explode(F.sequence("span_start", "span_end", F.lit(size).cast("long"))).alias("start"), F.lit(False).alias("from_possessions"))
+    return told.unionByName(fixed)
 
 
 def fixed_window(frame: str = "frame", size: int = 60) -> Column:

@@ -16,4 +16,4 @@ def seeded_box_score(tracks: DataFrame, oncourt: DataFrame, size: int = 60, fps:
     seeds = placed.join(first, ["clip_id", "window", "frame"], "left_semi").join(votes, ["clip_id", "window", "track_id"], "left_semi").select("clip_id", "window", "track_id")
     events = identity.with_identity_ids(identity.identity_runs(placed, seeds))
     numbers = events.where("run = 0").join(seeds, ["clip_id", "window", "track_id"], "left_semi").select("clip_id", "window", "identity_id", (F.col("track_id") * 7 % 50).alias("number")).distinct()
-    return identity.box_score(events, numbers, oncourt.where("is_on"), fps)
+    return identity.box_score(events, numbers, oncourt, fps)

@@ -118,16 +118,34 @@ s AS (SELECT clip_id, run, side, CASE WHEN run = 0 THEN a ELSE reached END AS st
 e AS (SELECT clip_id, max(frame) AS last FROM f GROUP BY ALL)"""
 
 
-@query("w3_possessions", "oncourt", sql=_RUNS + ' SELECT s.clip_id, side, stands AS start, coalesce(lead(stands) OVER (PARTITION BY s.clip_id ORDER BY run) - 1, last) AS "end" FROM s JOIN e USING (clip_id)')
+@query("w3_possessions", "oncourt", sql=_RUNS + ' SELECT s.clip_id, side, stands AS start, coalesce(lead(stands) OVER (PARTITION BY s.clip_id ORDER BY run), last) AS "end" FROM s JOIN e USING (clip_id)')
 def w3_possessions(t):
     return team.possessions_v1(team.frame_means(t), hold=30)
 
 
-@query("w4_possessions", "oncourt")
+_SIDES = """, f AS (SELECT clip_id, frame, avg(CASE WHEN is_on THEN court_x END) AS m FROM oncourt GROUP BY ALL),
+t AS (SELECT clip_id, frame, CASE WHEN m < 36 THEN 'left' ELSE 'right' END AS side FROM f WHERE m < 36 OR m > 48),
+g AS (SELECT *, CASE WHEN lag(side) OVER (PARTITION BY clip_id ORDER BY frame) <> side THEN 1 ELSE 0 END AS new FROM t),
+r AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame) AS run FROM g),
+k AS (SELECT clip_id, run, side, min(frame) AS a, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT *, coalesce(lag(side) OVER (PARTITION BY clip_id ORDER BY run) <> side, true) AS swing FROM k WHERE run = 0 OR n >= 15),
+z AS (SELECT clip_id, max(frame) AS last FROM t GROUP BY ALL),
+p AS (SELECT h.clip_id, side, a, coalesce(lead(a) OVER (PARTITION BY h.clip_id ORDER BY a) - 1, last) AS b, last, lag(a) OVER (PARTITION BY h.clip_id ORDER BY a) IS NULL OR lead(a) OVER (PARTITION BY h.clip_id ORDER BY a) IS NULL AS edge FROM h JOIN z USING (clip_id) WHERE swing),
+s AS (SELECT *, coalesce(lag(side) OVER (PARTITION BY clip_id ORDER BY a) <> side, true) AS new FROM p WHERE edge OR b - a + 1 >= 40),
+o AS (SELECT clip_id, side, a, coalesce(lead(a) OVER w - 1, last) AS b, lag(a) OVER w IS NULL AS pa, lead(a) OVER w IS NULL AS pb FROM s WHERE new WINDOW w AS (PARTITION BY clip_id ORDER BY a))"""
+
+
+@query("w4_possessions", "oncourt", sql=_SIDES + ' SELECT o.clip_id, o.side, o.a AS start, o.b AS "end", round_even(avg(CASE WHEN t.side = o.side THEN 1.0E0 ELSE 0 END), 3) AS side_agreement, pa AS partial_start, pb AS partial_end FROM o JOIN t ON t.clip_id = o.clip_id AND t.frame BETWEEN o.a AND o.b GROUP BY ALL')
 def w4_possessions(t):
     return team.possessions_v2(team.frame_means(t, F.col("is_on")), fps=10.0)
 
 
+@query("w5_windows", "oncourt", sql=_SIDES + " SELECT clip_id, CASE WHEN pa THEN lo ELSE a END AS start, true AS from_possessions FROM o JOIN (SELECT clip_id, min(frame) AS lo FROM oncourt GROUP BY ALL) USING (clip_id)")
+def w5_windows(t):
+    spans = t.groupBy("clip_id").agg(F.min("frame").alias("span_start"), F.max("frame").alias("span_end"))
+    return team.possession_windows(w4_possessions(t), spans)
+
+
 @query("j6_windows", "tracks", "oncourt", sql="SELECT clip_id, frame, track_id, CAST(floor(frame / 70) AS BIGINT) AS \"window\" FROM tracks")
 def j6_windows(t, o):
     starts = o.select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(280).cast("long"), F.lit(70).cast("long"))).alias("start")).distinct()
@@ -144,14 +162,16 @@ def w2_presence_gaps(t):
     return team.gaps(w1_presence_spans(t), ["clip_id", "track_id"])
 
 
-@query("a16_purity", "reads", sql="""SELECT clip_id, track_id, CASE WHEN n = 0 THEN 'no_evidence' WHEN n = 1 THEN 'consistent' ELSE 'spliced' END AS verdict, n AS numbers FROM (SELECT clip_id, track_id, count(DISTINCT CASE WHEN conf >= 0.85 THEN number END) AS n FROM reads GROUP BY ALL)""")
+@query("a16_purity", "reads", sql="""SELECT x.clip_id, x.track_id, CASE WHEN n IS NULL THEN 'no_evidence' WHEN n = 1 THEN 'consistent' ELSE 'spliced' END AS verdict, coalesce(n, 0) AS numbers, early, late, el > lf AS interleaved, CASE WHEN n > 1 THEN least(el, lf) END AS splice_from, CASE WHEN n > 1 THEN greatest(el, lf) END AS splice_to
+ FROM (SELECT DISTINCT clip_id, track_id FROM reads) x LEFT JOIN (SELECT clip_id, track_id, count(*) AS n, list(number ORDER BY m, number)[1] AS early, list(number ORDER BY m, number)[-1] AS late, list(b ORDER BY m, number)[1] AS el, list(a ORDER BY m, number)[-1] AS lf
+ FROM (SELECT clip_id, track_id, number, min(frame) AS a, max(frame) AS b, (min(frame) + max(frame)) / 2.0E0 AS m FROM reads WHERE conf >= 0.85 GROUP BY ALL) GROUP BY ALL) y ON x.clip_id = y.clip_id AND x.track_id = y.track_id""")
 def a16_purity(t):
-    return identity.purity(t).select("clip_id", "track_id", "verdict", "numbers")
+    return identity.purity(t)
 
 
-@query("a17_readability", "reads", sql="SELECT clip_id, count(*) AS attempts, count(*) FILTER (conf >= 0.85) AS confident FROM reads GROUP BY ALL")
+@query("a17_readability", "reads", sql="SELECT clip_id, count(*) AS attempts, count(*) FILTER (conf >= 0.85) AS confident, round(count(*) FILTER (conf >= 0.85) / CAST(count(*) AS DOUBLE), 6) AS rate FROM reads GROUP BY ALL")
 def a17_readability(t):
-    return identity.readability(t).drop("rate")
+    return identity.readability(t).withColumn("rate", F.round("rate", 6))
 
 
 @query("a18_best_reads", "reads", sql="SELECT clip_id, \"window\", track_id, number, conf, frame FROM (SELECT *, CAST(floor(frame/60) AS BIGINT) AS \"window\", row_number() OVER (PARTITION BY clip_id, floor(frame/60), track_id ORDER BY conf DESC, frame) AS r FROM reads WHERE conf >= 0.85) WHERE r = 1")
