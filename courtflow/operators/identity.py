@@ -78,15 +78,19 @@ def identity_runs(tracks: DataFrame, seeds: DataFrame | None = None) -> DataFram
         return pd.DataFrame(out, columns=[c.split()[0] for c in _EVENTS.split(", ")])
 
     need = [*key, "frame", "track_pos", "x1", "y1", "x2", "y2", "ord", F.coalesce("seeded", F.lit(False)).alias("seeded")]
-    return rows.select(*need).groupBy(*key).applyInPandas(fold, _EVENTS)
+
+    def every(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fold(g) for _, g in p.groupby("track_id")])
+
+    return rows.select(*need).groupBy("clip_id", "window").applyInPandas(every, _EVENTS)  # a window's tracks in one batch
 
 
 def with_identity_ids(events: DataFrame) -> DataFrame:
     """Window-scoped identity ids, ranked by first frame and place in the frame."""
     key = ["clip_id", "window", "track_id", "run"]
-    first = events.groupBy(*key).agg(F.min(F.struct("frame", "track_pos")).alias("f"))
-    ids = first.withColumn("identity_id", F.row_number().over(Window.partitionBy("clip_id", "window").orderBy("f")) - 1).drop("f")
-    return events.join(ids, key)
+    first = F.min(F.struct("frame", "track_pos")).over(Window.partitionBy(*key))
+    ranked = F.dense_rank().over(Window.partitionBy("clip_id", "window").orderBy("_f")) - 1
+    return events.withColumn("_f", first).withColumn("identity_id", ranked).drop("_f")
 
 
 def breaks(events: DataFrame) -> DataFrame:
