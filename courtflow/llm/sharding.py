@@ -141,11 +141,16 @@ def reshard(docs: DataFrame, shards: int = SHARDS, carry: Sequence[str] = ()) ->
     return placed.withColumn("moved", F.col("shard") != F.col("old_shard"))
 
 
-def rewrite_shards(assigned: DataFrame, docs: DataFrame, path: str) -> None:
+def rewrite_shards(assigned: DataFrame, docs: DataFrame, path: str) -> list[int]:
     """Rewrite under ``path`` (one folder a shard) only the shards that lose or gain a document.
 
-    ``assigned`` comes from ``reshard``; ``docs`` has the texts by doc_id. Untouched folders stay as they are.
+    ``assigned`` comes from ``reshard``; ``docs`` has the texts by doc_id and may be read from ``path`` itself. Untouched folders
+    stay as they are. A null or repeated doc_id does not tell which text it means: ValueError, before anything is written.
+    Returns the old shards that hold no document any more; their folders are stale and left for the caller to remove.
     """
+    assigned = saved(assigned)
+    if not assigned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        raise ValueError("texts can only be moved by doc_ids that are unique and not null")
     moved = assigned.where("moved")
     changed = moved.select("shard").union(moved.select("old_shard")).distinct()
     rows = assigned.join(F.broadcast(changed), "shard", "left_semi").select("doc_id", "shard", "slot")
@@ -158,3 +163,5 @@ def rewrite_shards(assigned: DataFrame, docs: DataFrame, path: str) -> None:
         .partitionBy("shard")
         .parquet(path)
     )
+    old, new = assigned.select(F.col("old_shard").alias("shard")).distinct(), assigned.select("shard").distinct()
+    return sorted(r.shard for r in old.exceptAll(new).collect())
