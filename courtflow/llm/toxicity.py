@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from courtflow.llm.common import arrow_rows
 
@@ -200,12 +201,14 @@ def strength(text: str | None, weights: _Weights) -> float:
     return total
 
 
-def _strengths(model, table):
+def _strengths(model, table, first: int = 1):
+    """The columns from number ``first`` on, and the strength of column 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(model.value, table.value)
         for b in batches:
             s = [strength(t, weights) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), pa.array(s, pa.float64())], [*b.schema.names[1:], "strength"])
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], pa.array(s, pa.float64())], [*b.schema.names[first:], "strength"])
 
     return run
 
@@ -273,3 +276,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("strength") + F.lit(b))))
     out = scored.select("doc_id", (fold() == 1).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, columns: Sequence[str], threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with ``columns`` (``text`` among them or not).
+
+    Each row is judged by its own text as it passes, so nothing is joined or shuffled after training, and rows of null or
+    repeated doc_id are judged like others. Null and empty texts stay. Empty input gives an empty result.
+    """
+    model, table, a, b = train(docs, labels)
+    others = [c for c in columns if c != "text"]
+    given = docs.select("text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    first = 0 if "text" in columns else 1
+    schema = StructType([*given.schema.fields[first:], StructField("strength", DoubleType())])
+    scored = given.mapInArrow(_strengths(model, table, first), schema)
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("strength") + F.lit(b))))
+    return scored.where(score < threshold).select(*("text" if c == "text" else F.col(f"c{others.index(c)}").alias(c) for c in columns))
