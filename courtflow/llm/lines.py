@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtflow.llm.common import saved
+from courtflow.llm.common import one_text, saved
 
 WINDOW = 3
 
@@ -41,11 +41,17 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc_id, n_lines, n_removed, n_spans, text``: each text without the lines of repeated windows.
 
     A window counts as repeated where the same lines stand in a row earlier, judged on the input; overlapping
-    windows merge. Null texts are empty (one empty line); texts under ``width`` lines keep all. doc_ids are taken
-    as unique and not null. Other columns are ignored; no rows, no result.
+    windows merge. Null texts are empty (one empty line); texts under ``width`` lines keep all. A null doc_id names no
+    document: such rows keep their texts and repeat nobody's lines. Rows that repeat a doc_id are one document, for which
+    the longest text stands (ties: the greatest), and are each returned. Other columns are ignored; no rows, no result.
     """
-    found = saved(covered_lines(docs, width))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found.hint("merge"), "doc_id", "left")
+    named = one_text(docs)
+    found = saved(covered_lines(named, width))
+    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    each = named.join(found.hint("merge"), "doc_id", "left").join(again.hint("merge"), "doc_id", "left")
+    each = each.withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.coalesce("n", F.lit(1))))).select("doc_id", "text", "spans")
+    rows = each.unionByName(nameless)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("spans", lambda s: (s.start <= i) & (i < s.end)))
     out = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courtflow.llm import decontam, lines, minhash, mixing, quality, sharding, suffix, tokens, toxicity, urls
 from courtflow.llm.common import components, numbered
@@ -273,6 +274,24 @@ def test_resharding_query_keeps_null_and_repeated_ids(spark, tmp_path):
     assert len({(r.shard, r.slot) for r in got}) == 44
 
 
+def test_shards_are_rewritten(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, f"text {i}" * rng.randint(1, 9), 9 if i > 54 else 0 if i % 2 else i % 3) for i in range(60)]
+    path = str(tmp_path / "shards")
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    before = spark.read.parquet(path)
+    sizes = before.selectExpr("doc_id", "octet_length(text) as size", "shard as old_shard")
+    placed = sharding.reshard(sizes, 4)
+    assert sharding.rewrite_shards(placed, before.select("doc_id", "text"), path) == [9]
+    after = spark.read.parquet(path).where("shard <> 9")
+    assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t, _ in rows} and after.count() == 60
+    counts = [r.n for r in after.groupBy("shard").agg(F.count("doc_id").alias("n")).collect()]
+    assert counts == [15] * 4
+    for bad in ([(None, 1, 0)], [(1, 1, 0), (1, 2, 0)]):
+        with pytest.raises(ValueError):
+            sharding.rewrite_shards(sharding.reshard(spark.createDataFrame(bad, "doc_id long, size long, old_shard int"), 4), before, path)
+
+
 def test_min_cost_flow_takes_the_cheap_way():
     arcs = [(0, 1, 5, 1), (0, 2, 5, 3), (1, 3, 3, 1), (2, 3, 9, 1), (1, 2, 9, 0)]
     assert sharding.min_cost_flow(4, arcs, 0, 3) == [5, 5, 3, 7, 2]
@@ -285,6 +304,20 @@ def test_lines(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_with_null_and_repeated_ids(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\ne"), (2, "a\nb\nc"), (None, "a\nb\nc"), (None, None), (3, "q\nr\ns"), (3, "q\nr\ns"), (4, "q\nr\ns")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.text) for r in got) == sorted(
+        [("1", 0, "a\nb\nc\nd"), ("2", 3, "e"), ("2", 3, "e"), ("None", 0, "a\nb\nc"), ("None", 0, ""), ("3", 0, "q\nr\ns"), ("3", 0, "q\nr\ns"), ("4", 3, "")]
+    )
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"line {i % 4_000}" for i in range(9_000))
+    got = lines.dedup_lines(docs(spark, [long, "line 0\nline 1"])).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed) for r in got] == [(9_000, 5_000), (2, 0)]
+
+
 @pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {str(i): 1.0 / (i + 1) for i in range(40)}])
 def test_schedule_lags_under_a_block(weights):
     quota = mixing.quotas(weights, 500)
@@ -421,6 +454,14 @@ def test_toxicity(spark):
     none = toxicity.score_toxicity(table.drop("toxic").limit(3), labels.limit(0)).collect()
     assert len(none) == 3 and not any(r.predicted for r in none)
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
+    # rows of null and repeated doc_ids are judged by their own texts
+    odd = [(None, "river snarkwad stone grumblefink", 5), (None, None, 5), (7, "river stone", 5), (7, "snarkwad grumblefink stone", 5), (7, "river stone", 5)]
+    frame = table.drop("toxic").withColumn("strength", F.lit(5)).unionByName(spark.createDataFrame(odd, "doc_id long, text string, strength int"))
+    clean = toxicity.keep_clean(frame, labels, ["strength", "doc_id", "text"])
+    assert clean.columns == ["strength", "doc_id", "text"]
+    left = sorted((str(r.doc_id), str(r.text)) for r in clean.collect())
+    assert left == sorted([(str(i), str(t)) for i, t, toxic in rows if not toxic] + [("None", "None"), ("7", "river stone"), ("7", "river stone")])
+    assert toxicity.keep_clean(empty(spark), labels, ["doc_id"]).count() == 0
 
 
 def brute_decode(word, model):
