@@ -16,20 +16,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score does not reject. A null doc_id stays: it has no row to judge by."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = toxicity.score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad.hint("merge"), "doc_id", "left_anti")
+    """Documents that the toxicity score does not reject, each judged by its own text, whether its doc_id is null, repeated or neither."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (five words, similarity 0.8)."""
+    """The document with the smallest doc_id of each group of near copies (five words, similarity 0.8).
+
+    Rows that repeat a doc_id are one document: all stay or all go. Rows of null doc_id stay.
+    """
     copies = minhash.near_duplicates(docs.where("doc_id is not null")).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(copies.hint("merge"), "doc_id", "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items. Of rows that repeat a doc_id all go if one holds an item; rows of null doc_id stay."""
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(found.hint("merge"), "doc_id", "left_anti")
 
