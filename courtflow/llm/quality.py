@@ -3,19 +3,19 @@
 Minimum covariance determinant: the estimate of a group rests on those of its rows whose covariance has the least determinant.
 The search begins at several places (the medians, and the means of parts of the group) and takes concentration steps from each:
 a step keeps the rows that lie nearest by Mahalanobis distance and re-estimates mean and covariance from them, by which the
-determinant can't grow. Steps end when it falls no more in any group; the start that led to the least determinant wins.
+determinant can't grow. A start's steps end when it falls no more; the start that led to the least determinant wins.
 A step is one aggregation over all rows into distance bins per group and start, which hold counts, sums and products, so no group
 meets in one task. Determinants are those of covariances with ``FLOORS`` added, as several statistics hardly vary in clean text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtflow.llm.common import arrow_rows, saved, sized
@@ -101,8 +101,10 @@ def vector() -> list[Column]:
 
 
 _P = len(FLOORS)
-_MODEL = "lang string, source string, start int, n long, mean array<double>, inv array<double>, det double"
-_GROUP = ["lang", "source", "start"]
+_MODEL = "start int, n long, mean array<double>, inv array<double>, det double"
+_SOURCE = ("lang", "source")
+#: The groups that models are made for: a language and source (level 0), a language (1), all rows (2).
+_LEVEL = ("level", "lang", "source")
 
 
 def _products() -> list[Column]:
@@ -110,49 +112,50 @@ def _products() -> list[Column]:
     return sums + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(_P) for j in range(i, _P)]
 
 
-def _estimate(group: pd.DataFrame, g: pd.DataFrame, total: int) -> pd.DataFrame:
-    """A model from the sums in ``g``, with the log of the determinant of its covariance."""
-    n = g.n.sum()
-    mean = np.array([g[f"s{i}"].sum() for i in range(_P)]) / n
-    cov = np.empty((_P, _P))
-    for i in range(_P):
-        for j in range(i, _P):
-            cov[i, j] = cov[j, i] = g[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
-    # the nearest part of a normal sample spreads less than the whole: scale as at half the rows, then floor
-    cov = cov * 2.0 + np.diag(np.square(FLOORS))
-    inv = np.linalg.inv(cov).ravel().tolist()
-    return pd.DataFrame({"lang": [group.lang.iloc[0]], "source": [group.source.iloc[0]], "start": [int(group.start.iloc[0])], "n": [total], "mean": [mean.tolist()], "inv": [inv], "det": [float(np.linalg.slogdet(cov)[1])]})
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and MAD-like spread of each coordinate in each group, from histograms (bounded by bins, not by rows)."""
-    bins = F.array(*(F.floor(F.col(f"x{i}") * 64).cast("int") for i in range(_P)))
-    hist = rows.select("lang", "source", F.posexplode(bins).alias("i", "b")).groupBy("lang", "source", "i", "b").agg(F.count(F.lit(1)).alias("n"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        mean, spread, total = [], [], 0
-        for i in range(_P):
-            g = group[group.i == i].sort_values("b")
-            x, n = (g.b.to_numpy() + 0.5) / 64, g.n.to_numpy()
-            total = int(n.sum())
-            mid = x[np.searchsorted(np.cumsum(n), (total + 1) // 2)]
-            away = np.abs(x - mid)
-            order = np.argsort(away, kind="stable")
-            mad = away[order][np.searchsorted(np.cumsum(n[order]), (total + 1) // 2)]
-            mean.append(float(mid))
-            spread.append(max(1.4826 * mad, FLOORS[i]))
-        inv = np.diag(1 / np.square(spread)).ravel()
-        return pd.DataFrame({"lang": [group.lang.iloc[0]], "source": [group.source.iloc[0]], "start": [0], "n": [total], "mean": [mean], "inv": [inv.tolist()], "det": [float(2 * np.log(spread).sum())]})
-
-    medians = hist.groupBy("lang", "source").applyInPandas(fit, _MODEL)
-    # the other starts: each the mean and covariance of a part of the rows, all of a group without such rows has only the medians
+def _estimates(sums: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A model from each row of ``sums`` (``m`` rows added up, out of ``n``), with the log of the determinant of its covariance."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            m = g.m.to_numpy(float)
+            mean = g[[f"s{i}" for i in range(_P)]].to_numpy(float) / m[:, None]
+            cov = np.empty((len(g), _P, _P))
+            for i in range(_P):
+                for j in range(i, _P):
+                    cov[:, i, j] = cov[:, j, i] = g[f"p{i}_{j}"].to_numpy(float) / m - mean[:, i] * mean[:, j]
+            # the nearest part of a normal sample spreads less than the whole: scale as at half the rows, then floor
+            cov = cov * 2.0 + np.diag(np.square(FLOORS))
+            out = g[[*key, "start", "n"]].copy()
+            out["mean"] = list(mean)
+            out["inv"] = list(np.linalg.inv(cov).reshape(len(g), _P * _P))
+            out["det"] = np.linalg.slogdet(cov)[1]
+            yield out
+
+    types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+    return sums.mapInPandas(fit, ", ".join(f"{k} {types[k]}" for k in key) + f", {_MODEL}")
+
+
+def _start(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Median and MAD-like spread of each coordinate in each group, from histograms (bounded by bins, not by rows), and parts of the rows."""
+    bins = F.array(*(F.floor(F.col(f"x{i}") * _BINS).cast("int") for i in range(_P)))
+    hist = rows.select(*key, F.posexplode(bins).alias("i", "b")).groupBy(*key, "i", "b").agg(F.count(F.lit(1)).alias("c"))
+    one = Window.partitionBy(*key, "i")
+    half = F.floor((F.col("n") + 1) / 2)
+    at = hist.withColumn("x", (F.col("b") + 0.5) / _BINS).withColumn("n", F.sum("c").over(one)).withColumn("seen", F.sum("c").over(one.orderBy("x")))
+    at = at.withColumn("mid", F.min(F.when(F.col("seen") >= half, F.col("x"))).over(one)).withColumn("away", F.abs(F.col("x") - F.col("mid")))
+    at = at.withColumn("seen", F.sum("c").over(one.orderBy("away"))).groupBy(*key, "i", "n", "mid").agg(F.min(F.when(F.col("seen") >= half, F.col("away"))).alias("mad"))
+    floor = F.get(F.array(*map(F.lit, FLOORS)), F.col("i"))
+    at = at.withColumn("spread", F.greatest(1.4826 * F.col("mad"), floor))
+    both = at.groupBy(*key).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(_P) for c in ("mid", "spread")))
+    medians = both.select(
+        *key, F.lit(0).alias("start"), "n", F.array(*(f"mid{i}" for i in range(_P))).alias("mean"),
+        F.array(*(1 / F.col(f"spread{i}") ** 2 if i == j else F.lit(0.0) for i in range(_P) for j in range(_P))).alias("inv"),
+        (2 * sum(F.log(f"spread{i}") for i in range(_P))).alias("det"),
+    )
+    # the other starts: each the mean and covariance of a part of the rows; a group without such rows has only the medians
     part = F.pmod(F.xxhash64(*(f"x{i}" for i in range(_P))), F.lit(PART)).cast("int")
-    parts = rows.withColumn("start", part + 1).where(F.col("start") <= STARTS).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *_products())
-
-    def begin(group: pd.DataFrame) -> pd.DataFrame:
-        return _estimate(group, group, int(group.n.sum()))
-
-    return medians.unionByName(parts.groupBy(*_GROUP).applyInPandas(begin, _MODEL))
+    parts = rows.withColumn("start", part + 1).where(F.col("start") <= STARTS).groupBy(*key, "start").agg(F.count(F.lit(1)).alias("m"), *_products())
+    return medians.unionByName(_estimates(parts.withColumn("n", F.col("m")), key))
 
 
 def distance(mean: Column, inv: Column) -> Column:
@@ -169,34 +172,55 @@ def _few(model: DataFrame) -> DataFrame:
     return sized(model, BROADCAST_MODELS)
 
 
-def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: the nearest ``HALF`` of each group gives the new mean and covariance of each start."""
-    near = rows.join(_few(model), ["lang", "source"]).withColumn("b", F.floor(F.log2(distance(F.col("mean"), F.col("inv")) + 1e-6) * _BINS).cast("int"))
-    binned = near.groupBy(*_GROUP, "b").agg(F.count(F.lit(1)).alias("n"), *_products())
+def _step(rows: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One concentration step: the nearest ``HALF`` of each group gives the new mean and covariance of each start.
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("b")
-        total = int(g.n.sum())
-        last = int(np.searchsorted(np.cumsum(g.n.to_numpy()), HALF * total))
-        return _estimate(group, g.iloc[: last + 1], total)
+    A row of ``model`` is a group and start, hinted for the join with all rows.
+    """
+    group = [*key, "start"]
+    near = rows.join(model, list(key)).withColumn("b", F.floor(F.log2(distance(F.col("mean"), F.col("inv")) + 1e-6) * _BINS).cast("int"))
+    binned = near.groupBy(*group, "b").agg(F.count(F.lit(1)).alias("c"), *_products())
+    one = Window.partitionBy(*group)
+    nearest = binned.withColumn("n", F.sum("c").over(one)).withColumn("before", F.sum("c").over(one.orderBy("b")) - F.col("c")).where(F.col("before") < HALF * F.col("n"))
+    sums = [F.sum(c).alias(c) for c in binned.columns if c[0] in "sp" and c[1].isdigit()]
+    return _estimates(nearest.groupBy(*group).agg(F.max("n").alias("n"), F.sum("c").alias("m"), *sums), key)
 
-    return binned.groupBy(*_GROUP).applyInPandas(fit, _MODEL)
 
+def _models(rows: DataFrame, steps: int, key: Sequence[str] = _SOURCE) -> DataFrame:
+    """The estimate of each group of ``rows``: of all starts, and steps from them, the one of the least determinant.
 
-def _models(rows: DataFrame, steps: int) -> DataFrame:
-    """The estimate of each group of ``rows``: of all starts, and steps from them, the one of the least determinant."""
-    at = saved(_start(rows))
-    best = None
+    A start takes steps until its determinant falls no more; the table of each step holds the least one so far as ``best``.
+    """
+    group = [*key, "start"]
+    at = saved(_start(rows, key).withColumn("best", F.lit(None).cast("struct<det:double,n:bigint,mean:array<double>,inv:array<double>>")).withColumn("falls", F.lit(True)))
+    ended = []
     for _ in range(steps):
-        at = saved(_step(rows, at))
-        both = at if best is None else best.unionByName(at)
-        new = saved(both.groupBy(*_GROUP).agg(F.min_by(F.struct("n", "mean", "inv", "det"), "det").alias("m")).select(*_GROUP, "m.*"))
-        if best is not None:
-            fell = new.alias("a").join(best.select(*_GROUP, F.col("det").alias("old")).hint("merge"), _GROUP).where(F.col("old") - F.col("det") > 1e-3)
-            if fell.isEmpty():
-                break
-        best = new
-    return new.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "inv"), F.struct("det", "start")).alias("m")).select("lang", "source", "m.*")
+        more = at.where("falls")
+        n = more.count()
+        if not n:
+            break
+        ended.append(at.where("not falls"))
+        strategy = "broadcast" if n <= BROADCAST_MODELS else "merge"
+        new = _step(rows, more.select(*group, "mean", "inv").hint(strategy), key).join(more.select(*group, F.col("best").alias("old")).hint(strategy), group)
+        falls = F.col("old").isNull() | (F.col("old.det") - F.col("det") > 1e-3)
+        this = F.struct("det", "n", "mean", "inv")
+        least = F.when(F.col("old").isNull() | (F.col("det") < F.col("old.det")), this).otherwise(F.col("old"))
+        at = saved(new.select(*group, "n", "mean", "inv", "det", least.alias("best"), falls.alias("falls")))
+    for table in ended:
+        at = at.unionByName(table)
+    return at.groupBy(*key).agg(F.min_by("best", F.struct("best.det", "start")).alias("m")).select(*key, "m.n", "m.mean", "m.inv")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Each language and source with the groups that its rows count for (``levels``) and the one whose estimate judges them (``judge``)."""
+    sizes = saved(rows.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")))
+    tongues = sizes.groupBy("lang").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
+    tiny = not tongues.where(F.col("all") < MIN_ROWS).isEmpty()
+    level = [F.struct(F.lit(i).alias("level"), a.alias("lang"), b.alias("source")) for i, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit("")), (F.lit(""), F.lit(""))])]
+    own, tongue = F.col("n") >= MIN_ROWS, F.col("all") >= MIN_ROWS
+    levels = F.array_compact(F.array(F.when(own, level[0]), F.when(tongue & (F.col("least") < MIN_ROWS), level[1]), F.when(F.lit(tiny), level[2])))
+    judge = F.when(own, level[0]).when(tongue, level[1]).otherwise(level[2])
+    return saved(sizes.join(tongues.hint("merge"), "lang").select("lang", "source", levels.alias("levels"), judge.alias("judge")))
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
@@ -213,17 +237,12 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> Data
     stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *group).mapInArrow(_measure, STATS)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = saved(stats.withColumn("base_failed", failed).select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector()))))
-    good = rows.where("not base_failed")
-    model = saved(_models(good, steps)).where(F.col("n") >= MIN_ROWS).drop("n")
-    judged = rows.join(_few(model), ["lang", "source"], "left")
-    alone = judged.where("mean is null").select("lang", "source").limit(1)
-    if not alone.isEmpty():
-        tongue = saved(_models(good.withColumn("source", F.lit("")), steps)).where(F.col("n") >= MIN_ROWS).select("lang", F.struct("mean", "inv").alias("_t"))
-        judged = judged.join(_few(tongue), "lang", "left")
-        every = saved(_models(good.withColumn("source", F.lit("")).withColumn("lang", F.lit("")), steps))  # one row
-        judged = judged.join(F.broadcast(every.select(F.struct("mean", "inv").alias("_e"))), F.lit(True), "left")
-        for c in ("mean", "inv"):
-            judged = judged.withColumn(c, F.coalesce(c, f"_t.{c}", f"_e.{c}"))
+    groups = _groups(rows)
+    points = rows.where("not base_failed").join(_few(groups.select("lang", "source", "levels")), ["lang", "source"])
+    points = saved(points.select(F.explode("levels").alias("k"), *(f"x{i}" for i in range(_P))).select("k.*", *(f"x{i}" for i in range(_P))))
+    model = saved(_models(points, steps, _LEVEL).select(F.struct(*_LEVEL).alias("judge"), "mean", "inv"))
+    judges = saved(groups.select("lang", "source", "judge").join(model.hint("merge"), "judge").drop("judge"))
+    judged = rows.join(_few(judges), ["lang", "source"], "left")
     d = distance(F.col("mean"), F.col("inv"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
