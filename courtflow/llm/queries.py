@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtflow.llm import decontam, lines, minhash, mixing, quality, sharding, suffix, tokens, toxicity, urls
+from courtflow.llm import boosting, decontam, fim, lines, minhash, mixing, quality, sharding, suffix, tokens, toxicity, urls, whitening
 from courtflow.llm.common import scratch
 
 
@@ -80,6 +80,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the order of their form, as digests of outputs and of the texts rebuilt from them."""
+    return fim.digests(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every embedding."""
+    return whitening.whitening(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    return boosting.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -87,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_minhash, op4_quality, op5_resharding, op6_line_dedup, op7_mixing, op8_token_ids, op9_url_filter, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_minhash, op4_quality, op5_resharding, op6_line_dedup, op7_mixing, op8_token_ids, op9_url_filter, op10_toxicity, op11_fill_in_middle, op12_whitening, op13_quality_classifier, pipeline)}
 
 ORACLE_SQL = {
     "op6_line_dedup": r"""
