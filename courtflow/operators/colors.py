@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +15,17 @@ def centroids(colors: DataFrame, group: str = "team_hint") -> DataFrame:
     return colors.groupBy("clip_id", group).agg(*(F.avg(c).alias(c) for c in C), F.count(F.lit(1)).alias("n"))
 
 
-def nearest_team(colors: DataFrame, teams: DataFrame, group: str = "team_hint", margin: float = 1.4) -> DataFrame:
+def nearest_team(colors: DataFrame, teams: DataFrame, group: str = "team_hint", margin: float = 1.4, keys: Sequence[str] = ("clip_id", "track_id")) -> DataFrame:
     """The nearest centroid if the second is ``margin`` times as far, else null; needs two centroids.
 
     Teams of a clip are a handful, so each signature meets only its clip's centroids.
     """
     t = teams.select("clip_id", F.col(group).alias("team"), *(F.col(c).alias(f"t_{c}") for c in C))
     d = F.sqrt(sum(((F.col(c) - F.col(f"t_{c}")) * (F.col(c) - F.col(f"t_{c}")) for c in C[1:]), (F.col("c0") - F.col("t_c0")) * (F.col("c0") - F.col("t_c0"))))
-    met = colors.join(t, "clip_id").groupBy("clip_id", "track_id").agg(F.sort_array(F.collect_list(F.struct(d.alias("d"), "team"))).alias("a"))
+    met = colors.select(*keys, *C).join(t.hint("merge"), "clip_id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(d.alias("d"), "team"))).alias("a"))
     best, second = F.get("a", F.lit(0)), F.get("a", F.lit(1))
     clear = second["d"] >= margin * F.greatest(best["d"], F.lit(1e-6))
-    return met.select("clip_id", "track_id", F.when(clear, best["team"]).alias("team"), best["d"].alias("dist"))
+    return met.select(*keys, F.when(clear, best["team"]).alias("team"), best["d"].alias("dist"))
 
 
 def majority(votes: DataFrame, keys: list[str], value: str = "team") -> DataFrame:

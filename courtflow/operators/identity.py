@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,65 +24,101 @@ def on_court_vote(oncourt: DataFrame) -> DataFrame:
 _EVENTS = "clip_id long, window long, frame long, track_id long, track_pos long, run int, state string, reason string, gap_frames long, distance_px double"
 
 
+class TrackFold:
+    """The identities of one track in one window: the present one, those that are lost, and how many there were.
+
+    An identity is ``[run, state, points]``; ``points`` are its last places as (frame, x, y). Batches and streams share it.
+    """
+
+    def __init__(self, now: list | None = None, lost: list | None = None, n: int = 0):
+        self.now, self.lost, self.n = now, lost or [], n
+
+    def leave(self) -> None:
+        """The track was missing in a frame of its clip."""
+        if self.now is not None:
+            self.lost.append(self.now)
+            self.now = None
+
+    def arrive(self, frame: int, x: float, y: float, seed: str | None = None) -> tuple[str, int | None, float | None]:
+        """The track is there (again): the same identity as a candidate, or a new one. Returns reason, gap and distance."""
+        met = []
+        for i, (run, _, points) in enumerate(self.lost):
+            (f1, x1, y1), (f0, x0, y0) = points[0], points[-1]
+            wait = frame - f0
+            if not 0 < wait <= MAX_GAP:
+                continue
+            steps = max(1, f0 - f1)
+            ahead = math.hypot(x - x0 - (x0 - x1) / steps * wait, y - y0 - (y0 - y1) / steps * wait)
+            if min(ahead, math.hypot(x - x0, y - y0)) <= MAX_DIST:
+                met.append((round(ahead, 1), i, wait))
+        met.sort(key=lambda m: m[0])
+        if met and (len(met) == 1 or met[0][0] * AMBIGUOUS <= met[1][0]):
+            dist, i, gap = met[0]
+            self.now = self.lost.pop(i)
+            self.now[1] = "candidate"
+            return "relinked", gap, dist
+        first = self.n == 0 and seed is not None
+        self.now = [self.n, "confirmed" if first else "unknown", []]
+        self.n += 1
+        return seed if first else "ambiguous reappearance" if met else "new track", None, None
+
+    def stay(self, points: list[tuple[int, float, float]]) -> None:
+        """Further places of the present identity, in order."""
+        self.now[2] = (self.now[2] + points)[-HISTORY:]
+
+    def forget(self, frame: int) -> None:
+        """Drop lost identities that no reappearance after ``frame`` can reach."""
+        self.lost = [i for i in self.lost if frame - i[2][-1][0] < MAX_GAP]
+
+
+def _fold_window(p: pd.DataFrame) -> pd.DataFrame:
+    """The events of a window: a step for each stretch of a track without a missing frame."""
+    p = p.sort_values(["track_id", "frame"])
+    track, frame, order = p.track_id.to_numpy(), p.frame.to_numpy(), p.ord.to_numpy()
+    x, y = ((p.x1 + p.x2) / 2).to_numpy(), ((p.y1 + p.y2) / 2).to_numpy()
+    fresh = np.concatenate(([True], (track[1:] != track[:-1]))) if len(p) else np.zeros(0, bool)
+    new = fresh | np.concatenate(([True], np.diff(order) > 1)) if len(p) else fresh
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(p)))
+    seeds = p.seed.to_numpy(object)
+    fold, runs, states, told = TrackFold(), [], [], []
+    for a, n in zip(starts.tolist(), sizes.tolist()):
+        if fresh[a]:
+            fold = TrackFold()
+        fold.leave()
+        told.append(fold.arrive(int(frame[a]), float(x[a]), float(y[a]), seeds[a] if isinstance(seeds[a], str) else None))
+        last = max(a, a + n - HISTORY)
+        fold.stay(list(zip(frame[last : a + n].tolist(), x[last : a + n].tolist(), y[last : a + n].tolist())))
+        runs.append(fold.now[0])
+        states.append(fold.now[1])
+    out = p[["clip_id", "window", "frame", "track_id", "track_pos"]].copy()
+    out["run"], out["state"] = np.repeat(np.array(runs, np.int32), sizes), np.repeat(np.array(states, object), sizes)
+    reason, gap, dist = np.full(len(p), "continuing", object), np.full(len(p), None, object), np.full(len(p), None, object)
+    for a, (r, g, d) in zip(starts, told):
+        reason[a], gap[a], dist[a] = r, g, d
+    out["reason"], out["gap_frames"], out["distance_px"] = reason, pd.array(gap, "Int64"), pd.array(dist, "Float64")
+    return out
+
+
 def identity_runs(tracks: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """ST1: the state of each tracked body in each frame of its window.
 
     ``tracks(clip_id, window, frame, track_id, track_pos, x1..y2)``; ``seeds(clip_id, window, track_id)`` confirm a track's
-    first identity. A track away for a frame is lost; back within 30 frames and 150 px (predicted or last place) it is the
-    same identity, at most a candidate; else a new, unknown one. Two lost identities of the track contend by distance.
-    As relinks stay on one track id, the fold runs per (clip, window, track); presence is judged on the clip's own frames.
-    ``run`` numbers a track's identities in the window.
+    first identity; their ``reason`` ("seed" without one) is that of its first row. A track away for a frame is lost; back within
+    30 frames and 150 px (predicted or last place) it is the same identity, at most a candidate; else a new, unknown one. Two lost
+    identities of the track contend by distance. As relinks stay on one track id, tracks of a window are folded apart; presence is
+    judged on the clip's own frames. ``run`` numbers a track's identities in the window.
     """
     key = ["clip_id", "window", "track_id"]
     spine = tracks.select("clip_id", "frame").distinct().withColumn("ord", F.row_number().over(Window.partitionBy("clip_id").orderBy("frame")))
-    rows = tracks.where("track_id is not null").join(spine, ["clip_id", "frame"])
-    seeded = seeds.select(*key, F.lit(True).alias("seeded")).distinct() if seeds is not None else None
-    rows = rows.join(seeded, key, "left") if seeded is not None else rows.withColumn("seeded", F.lit(False))
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame")
-        out, now, lost, n = [], None, [], 0
-        previous = None
-        for r in p.itertuples():
-            cx, cy = (r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2
-            reason, gap, dist = "continuing", None, None
-            if now is not None and r.ord - previous > 1:
-                lost.append(now)
-                now = None
-            if now is None:
-                met = []
-                for ident in lost:
-                    f0, x0, y0 = ident["seen"][-1]
-                    wait = r.frame - f0
-                    if not 0 < wait <= MAX_GAP:
-                        continue
-                    f1, x1, y1 = ident["seen"][0]
-                    steps = max(1, f0 - f1)
-                    vx, vy = ((x0 - x1) / steps, (y0 - y1) / steps) if len(ident["seen"]) > 1 else (0.0, 0.0)
-                    ahead = math.hypot(cx - x0 - vx * wait, cy - y0 - vy * wait)
-                    if min(ahead, math.hypot(cx - x0, cy - y0)) <= MAX_DIST:
-                        met.append((round(ahead, 1), ident["run"], ident, wait))
-                met.sort(key=lambda m: m[0])
-                if met and (len(met) == 1 or met[0][0] * AMBIGUOUS <= met[1][0]):
-                    dist, _, now, gap = met[0]
-                    lost.remove(now)
-                    now["state"], reason = "candidate", "relinked"
-                else:
-                    first = n == 0 and bool(r.seeded)
-                    now = {"run": n, "state": "confirmed" if first else "unknown", "seen": deque(maxlen=HISTORY)}
-                    reason = "seed" if first else "ambiguous reappearance" if met else "new track"
-                    n += 1
-            now["seen"].append((r.frame, cx, cy))
-            previous = r.ord
-            out.append((r.clip_id, r.window, r.frame, r.track_id, r.track_pos, now["run"], now["state"], reason, gap, dist))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _EVENTS.split(", ")])
-
-    need = [*key, "frame", "track_pos", "x1", "y1", "x2", "y2", "ord", F.coalesce("seeded", F.lit(False)).alias("seeded")]
-
-    def every(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([fold(g) for _, g in p.groupby("track_id")])
-
-    return rows.select(*need).groupBy("clip_id", "window").applyInPandas(every, _EVENTS)  # a window's tracks in one batch
+    rows = tracks.where("track_id is not null").join(spine.hint("merge"), ["clip_id", "frame"])
+    if seeds is None:
+        rows = rows.withColumn("seed", F.lit(None).cast("string"))
+    else:
+        reason = F.min("reason") if "reason" in seeds.columns else F.lit("seed")
+        rows = rows.join(seeds.groupBy(*key).agg(reason.alias("seed")).hint("merge"), key, "left")
+    need = [*key, "frame", "track_pos", "x1", "y1", "x2", "y2", "ord", "seed"]
+    return rows.select(*need).groupBy("clip_id", "window").applyInPandas(_fold_window, _EVENTS)  # a window's tracks in one batch
 
 
 def with_identity_ids(events: DataFrame) -> DataFrame:
@@ -152,31 +188,44 @@ def dual_numbers(rosters: DataFrame) -> DataFrame:
     return rosters.groupBy("clip_id", "number").agg(F.countDistinct("team").alias("teams")).where("teams > 1")
 
 
+CONFIRMED = ("confirmed", "confirmed_retroactive")
+_IDENTITY = ["clip_id", "window", "identity_id"]
+
+
+def named(events: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The events with ``number``: that of their merge stamp, else the registry's for their identity, else null."""
+    told = events.join(numbers.where("number is not null").select(*_IDENTITY, F.col("number").cast("long").alias("_registered")).hint("merge"), _IDENTITY, "left")
+    stamp = F.col("merge.number").cast("long") if "merge" in events.columns else F.lit(None).cast("long")
+    return told.withColumn("number", F.coalesce(stamp, "_registered")).drop("_registered")
+
+
 def box_score(events: DataFrame, numbers: DataFrame, positions: DataFrame, fps: float = 30.0, length: float = 84.0, rosters: DataFrame | None = None, identity_teams: DataFrame | None = None) -> DataFrame:
     """Seconds of each number and team, live and retroactive, with zones.
 
-    ``events(clip_id, window, frame, identity_id, track_id, state)``, ``numbers(clip_id, window, identity_id, number)``,
-    ``positions(clip_id, frame, track_id, court_x, court_y)`` of all bodies, ``rosters(clip_id, team, number)``,
-    ``identity_teams(clip_id, window, identity_id, team)`` for numbers of several teams. Confirmed and retroactively confirmed
-    frames count; frames that two identities claim for one number are disputed and not counted; frames without a position are
-    counted apart. A number of several teams has a line for each team that its identities are told to be of and one AMBIGUOUS line,
-    which takes the disputed frames; other numbers carry them on their only line. Numbers without a team are "off-roster?".
+    ``events(clip_id, window, frame, identity_id, track_id, state)`` and perhaps ``merge`` (U3), ``numbers(clip_id, window, identity_id,
+    number)``, ``positions(clip_id, frame, track_id, court_x, court_y)`` of all bodies, ``rosters(clip_id, team, number)``,
+    ``identity_teams(clip_id, window, identity_id, team)``, with ``number`` or without, for numbers of several teams. A merge stamp
+    goes before the registry's number. Confirmed and retroactively confirmed frames count; frames that two identities claim for one
+    number are disputed and not counted; frames without a position are counted apart. A number of several teams has a line for each
+    team that its identities are told to be of and one AMBIGUOUS line, which takes the disputed frames; other numbers carry them on
+    their only line. Numbers without a team are "off-roster?".
     """
     live = F.col("state") == "confirmed"
-    credited = events.where(F.col("state").isin("confirmed", "confirmed_retroactive")).join(numbers.where("number is not null"), ["clip_id", "window", "identity_id"])
+    credited = named(events.where(F.col("state").isin(*CONFIRMED)), numbers).where("number is not null")
     one = F.struct("window", "identity_id")
     frames = credited.groupBy("clip_id", "number", "frame").agg((F.min(one) != F.max(one)).alias("disputed"), F.min(F.struct("window", "identity_id", "track_id", live.alias("live"))).alias("c"))
     frames = frames.select("clip_id", "number", "frame", "disputed", "c.*")
-    told = (rosters or numbers.select("clip_id", F.lit("").alias("team"), "number").limit(0)).groupBy("clip_id", "number").agg(F.array_sort(F.collect_set("team")).alias("teams"))
-    frames = frames.join(told, ["clip_id", "number"], "left")
+    told = (rosters or numbers.select("clip_id", F.lit("").alias("team"), "number").limit(0)).groupBy("clip_id", F.col("number").cast("long").alias("number")).agg(F.array_sort(F.collect_set("team")).alias("teams"))
+    frames = frames.join(told.hint("merge"), ["clip_id", "number"], "left")
     if identity_teams is None:
         frames = frames.withColumn("own", F.lit(None).cast("string"))
     else:
-        frames = frames.join(identity_teams.withColumnRenamed("team", "own"), ["clip_id", "window", "identity_id"], "left")
+        key = [c for c in (*_IDENTITY, "number") if c in identity_teams.columns]
+        frames = frames.join(identity_teams.select(*key, F.col("team").alias("own")).hint("merge"), key, "left")
     several = F.coalesce(F.size("teams") > 1, F.lit(False))
     doubt = F.concat(F.lit("AMBIGUOUS ("), F.array_join("teams", " / "), F.lit(")"))
     label = F.when(several, F.when(F.col("disputed"), doubt).otherwise(F.coalesce("own", doubt))).otherwise(F.coalesce(F.get("teams", F.lit(0)), F.lit("off-roster?")))
-    placed = frames.withColumn("team", label).join(positions.select("clip_id", "frame", "track_id", "court_x", "court_y"), ["clip_id", "frame", "track_id"], "left")
+    placed = frames.withColumn("team", label).join(positions.select("clip_id", "frame", "track_id", "court_x", "court_y").hint("merge"), ["clip_id", "frame", "track_id"], "left")
     sole = ~F.col("disputed")
     zone = F.when(F.col("court_x").isNotNull(), zone_of("court_x", "court_y", length))
     by_zone = placed.withColumn("zone", zone).groupBy("clip_id", "number", "team", "zone").agg(
@@ -196,6 +245,20 @@ def box_score(events: DataFrame, numbers: DataFrame, positions: DataFrame, fps:
     return lines.where("_n > 0 or _several").drop("_n", "_several")
 
 
+def box_summary(events: DataFrame, numbers: DataFrame, oncourt: DataFrame, excluded: DataFrame, fps: float = 30.0) -> DataFrame:
+    """A23's report by clip: confirmed identities without a number and their seconds, events that wait for review, and readable seconds:
+    those of all bodies on court but ``excluded(clip_id, track_id)``, which named seconds are a share of."""
+    told = named(events, numbers)
+    nameless = F.col("state").isin(*CONFIRMED) & F.col("number").isNull()
+    counts = told.groupBy("clip_id").agg(
+        F.count_distinct(F.when(nameless, F.struct("window", "identity_id"))).alias("unnamed_identities"), (F.count_if(nameless) / fps).alias("unnamed_seconds"),
+        F.count_if(F.col("state") == "candidate").alias("candidate_events"), F.count_if(F.col("state") == "unknown").alias("unknown_events"),
+    )
+    bodies = oncourt.where("is_on").join(excluded.select("clip_id", "track_id").distinct().hint("merge"), ["clip_id", "track_id"], "left_anti")
+    readable = bodies.groupBy("clip_id").agg(F.bround(F.count(F.lit(1)) / fps, 1).alias("readable_seconds"))
+    return counts.join(readable.hint("merge"), "clip_id", "full").fillna(0).fillna(0.0)
+
+
 def tracking_coverage(lines: DataFrame, events: DataFrame, fps: float = 30.0) -> DataFrame:
     """Named and unnamed seconds and the named share; null where nothing is readable."""
     named = lines.groupBy("clip_id").agg(F.sum("seconds_total").alias("named_s"))

@@ -1,11 +1,14 @@
-"""The flagship plan: from tracks and positions to seconds per player and zone."""
+"""The flagship plan: from tracks, positions, reads and labels to seconds per player and zone."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.operators import identity, team
+from courtflow.operators import audit, duals, identity, merge, resolutions, seeding, team
+from courtflow.plans.tables import stored
 
 
 def seeded_box_score(tracks: DataFrame, oncourt: DataFrame, size: int = 60, fps: float = 30.0) -> DataFrame:
@@ -14,6 +17,57 @@ def seeded_box_score(tracks: DataFrame, oncourt: DataFrame, size: int = 60, fps:
     votes = identity.on_court_vote(oncourt.withColumn("window", team.fixed_window(size=size))).where("on_court")
     first = placed.groupBy("clip_id", "window").agg(F.min("frame").alias("frame"))
     seeds = placed.join(first, ["clip_id", "window", "frame"], "left_semi").join(votes, ["clip_id", "window", "track_id"], "left_semi").select("clip_id", "window", "track_id")
-    events = identity.with_identity_ids(identity.identity_runs(placed, seeds))
+    events = stored(identity.with_identity_ids(identity.identity_runs(placed, seeds)))
     numbers = events.where("run = 0").join(seeds, ["clip_id", "window", "track_id"], "left_semi").select("clip_id", "window", "identity_id", (F.col("track_id") * 7 % 50).alias("number")).distinct()
     return identity.box_score(events, numbers, oncourt, fps)
+
+
+@dataclass(frozen=True)
+class Identities:
+    """What the plan knows of a run: events (ST1), the registry (J3), seeds (I2, W7), excluded tracks (U1), what second signals said."""
+
+    events: DataFrame
+    registry: DataFrame
+    seeds: DataFrame
+    excluded: DataFrame
+    outcomes: DataFrame
+
+
+def possession_starts(oncourt: DataFrame, fps: float, size: int = 60) -> DataFrame:
+    """W5 from positions: where the windows of each clip start."""
+    spans = oncourt.groupBy("clip_id").agg(F.min("frame").alias("span_start"), F.max("frame").alias("span_end"))
+    return team.possession_windows(team.possessions_v2(team.frame_means(oncourt, F.col("is_on")), fps), spans, size)
+
+
+def identify(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, labels: DataFrame, rosters: DataFrame, fps: float = 30.0) -> Identities:
+    """W5, A8, P19, A16, U1, I2, W7, ST1, J3, A18 and I3 over all clips at once.
+
+    Windows start with possessions. Tracks on court at a window's start are trusted, labelled ones from their first appearance on;
+    referees, the bench and tracks spliced by a person or by their reads are not. Events are written once, as all that follows reads them.
+    """
+    starts = stored(possession_starts(oncourt, fps))
+    placed = team.window_of(tracks, starts)
+    votes = identity.on_court_vote(team.window_of(oncourt, starts))
+    typed = identity.typed_labels(labels, rosters)
+    spliced = identity.purity(reads).where("verdict = 'spliced'").select("clip_id", "track_id")
+    excluded = stored(audit.excluded_tracks(typed, spliced))
+    given = stored(seeding.seeds(placed, votes, typed, excluded))
+    events = stored(identity.with_identity_ids(identity.identity_runs(placed, given)))
+    registry = stored(seeding.registry(events, given, typed))
+    return Identities(events, registry, given, excluded, seeding.outcomes(registry, seeding.identity_reads(events, reads)))
+
+
+def credited(run: Identities, resolved: DataFrame | None = None) -> DataFrame:
+    """The run's events with the spans of candidates that a read agrees with, or a person resolved (I6), credited after the fact."""
+    triggers = seeding.agree_triggers(run.outcomes)
+    if resolved is not None:
+        triggers = triggers.unionByName(resolutions.human_triggers(resolved))
+    verdicts = merge.merge_verdicts(run.events, run.registry.where("number is not null"), stored(triggers))
+    return merge.merged_events(run.events, stored(verdicts))
+
+
+def named_box_score(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, labels: DataFrame, rosters: DataFrame, crops: DataFrame, fps: float = 30.0) -> DataFrame:
+    """The jersey-keyed box score (A23) of ``identify``'s run with merges (U3) and teams of shared numbers by colour."""
+    run = identify(tracks, oncourt, reads, labels, rosters, fps)
+    events = stored(credited(run))
+    return identity.box_score(events, run.registry, oncourt, fps, rosters=rosters, identity_teams=duals.dual_teams(events, run.registry, rosters, crops))

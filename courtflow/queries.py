@@ -13,7 +13,7 @@ from courtflow.operators import ball, colors, identity, quality, team
 from courtflow.plans import box
 from courtflow.sources import adapters
 
-FLAGSHIP = "a23_box_score"
+FLAGSHIP = "a23_named_box"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 

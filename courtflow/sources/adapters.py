@@ -23,6 +23,14 @@ SQL = {
     "scores": _EVENTS % ("clip_id, event_id AS score_id, frame", " AND event_type='error' AND k%7=0"),
     "positions": "SELECT l_suppkey%20 AS clip_id, l_orderkey AS frame, l_linenumber AS track_id, CASE WHEN l_returnflag='A' THEN 'team_a' ELSE 'team_b' END AS team, (l_partkey*37%900 - 30)/10.0E0 AS court_x, (l_suppkey*53+l_linenumber*71)%520/10.0E0 AS court_y FROM lineitem",
 }
+SQL["crops"] = _EVENTS % ("clip_id, frame, track_id, CAST(40 + 120*(track_id%2) + v%60 AS DOUBLE) AS c0, CAST(50 + k%80 AS DOUBLE) AS c1, CAST(200 - 110*(track_id%2) + (v+k)%70 AS DOUBLE) AS c2", "")
+# what a person would type: kinds for three tracks, else the number read most often (the least of those)
+SQL["labels_typed"] = f"""SELECT clip_id, track_id, CASE track_id WHEN 3 THEN 'ref' WHEN 5 THEN 'bench' WHEN 8 THEN 'spliced' ELSE CONCAT(number, '') END AS label FROM (
+  SELECT clip_id, track_id, number, ROW_NUMBER() OVER (PARTITION BY clip_id, track_id ORDER BY COUNT(*) DESC, number) AS r FROM ({SQL["reads"]}) q GROUP BY clip_id, track_id, number) l WHERE r = 1"""
+# teams by parity of the track; track 11's number is on no roster, track 1's on both
+SQL["rosters"] = f"""SELECT DISTINCT clip_id, team, number FROM (
+  SELECT clip_id, CASE WHEN track_id%2=0 THEN 'team_a' ELSE 'team_b' END AS team, track_id*7%50 AS number FROM ({SQL["reads"]}) q WHERE track_id <> 11
+  UNION ALL SELECT clip_id, 'team_a' AS team, track_id*7%50 AS number FROM ({SQL["reads"]}) q WHERE track_id = 1) n"""
 _TABLE = {"positions": "lineitem"}
 
 
