@@ -2,17 +2,21 @@
 
 1. Documents with the same shingle set become one class (their links are certain).
 2. Each class keeps the k smallest hashes of its set. Classes that are linked share a least number of retained values (``_need``:
-   certain for sets that the sketch holds whole, else missed with a chance of some 2e-8), so it suffices to list each class under its
-   rarest retained values, all but that number less one. Values of one class only go unlisted.
+   certain for sets that the sketch holds whole, else a link at the threshold is missed with a chance under 4e-7), so it suffices to
+   list each class under its rarest retained values, all but that number less one. Values of one class only go unlisted. With ``exact``
+   sketches are whole sets, and nothing is left to chance.
 3. Every list holds its members against its most central one. Only lists with members that are then in different components go on.
 4. Short lists compare those members with each other. In long ones the overlap with the central member h bounds what two members can
    share: they need so many common elements beyond h's, and meet in lists of the rarest of those alone (``_beyond``). So a large group
-   of copies costs its size, not its square.
+   of copies costs its size, not its square. Members that lie so far within h that it bounds nothing, such as excerpts of one larger
+   text, and those of crowded lists beyond h, meet by bands of minima under seeded mixes of the hashes (``band_keys``; a link at the
+   threshold is missed with a chance of 2e-7), or, where nothing may be left to chance, by equal parts of their sets (``part_keys``).
 5. The k smallest values of two sketches together estimate the similarity; far pairs go. All links are verified on full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,12 +182,94 @@ def _pairs_of(lists: DataFrame, keys: list[str], percent: int, more: Column | No
     return both.select(F.col("id").alias("a"), F.col("id_2").alias("b"))
 
 
-def _beyond(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _borders(n: int, percent: int) -> list[int]:
+    """Where classes of sizes begin, up to the first beyond ``n``: sizes of a link are of one class or of neighbours."""
+    out = [1]
+    while out[-1] <= n:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit keys of a set (sorted hashes): two linked sets have one in common.
+
+    Sets of a link whose smaller one is of a class of sizes differ in at most D elements. Of D // 2 + 1 groups of hashes one has no two of
+    them; of the three parts of that group two have none, so these are equal, and so is their key. A set has keys for its own class,
+    and for the one below as the larger set of a link. Sets that are far apart differ within nearly every two parts.
+    """
+    n, out = len(hashes), []
+    borders = _borders(n, percent)
+    own = len(borders) - 2
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes), dtype=np.uint64)))
+    for k in range(max(0, own - 1), own + 1):
+        most = borders[k + 1] - 1 if k == own else borders[own] - 1
+        groups = (100 - percent) * most // percent // 2 + 1
+        place = ((hashes >> np.uint64(32)) * np.uint64(3 * groups)) >> np.uint64(32)
+        at = np.searchsorted(place, np.arange(3 * groups + 1, dtype=np.uint64))
+        part = (sums[at[1:]] - sums[at[:-1]]).reshape(groups, 3)
+        tag = np.arange(groups, dtype=np.uint64) * np.uint64(4) + (np.uint64(k) << np.uint64(40))
+        for which, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+            out.append(_mixed(_mixed(part[:, a] + _MIX[2]) * _MIX[0] + _mixed(part[:, b] * _MIX[2] + tag + np.uint64(which))))
+    return np.concatenate(out)
+
+
+#: Chance that a link at the threshold has no band in common, and the chance that one band of its is the same.
+MISSED, SAME_BAND = 2e-7, 0.15
+
+
+def band_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit keys of a set: each of a band of least values of the set under as many mixes. Two sets have the same key with the chance
+    of their similarity to the power of the band's length, so far ones hardly ever, however many they are."""
+    t = percent / 100
+    rows = max(1, round(math.log(SAME_BAND) / math.log(t))) if t < 1 else 1
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(t**rows))) if t < 1 else 1
+    seeds = _mixed(np.arange(1, rows * bands + 1, dtype=np.uint64) * _MIX[2])
+    least = np.full(rows * bands, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, _mixed(hashes[at : at + 2048, None] ^ seeds).min(0))
+    out = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        out = _mixed(out * _MIX[2] + column)
+    return out
+
+
+def _parts(words: int, percent: int, exact: bool):
+    keys_of = part_keys if exact else band_keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(*(c.to_pylist() for c in b.columns)):
+                keys = keys_of(shingle_hashes(text, words), percent).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(keys), i)), "g": pa.array(keys)})
+
+    return run
+
+
+def _by_keys(some: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
+    """Pairs of ``some(id, n, comp)`` of different components that have a key of bands, or of parts, in common."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(some.select("id")), "id", "left_semi")
+    keys = saved(texts.mapInArrow(_parts(words, percent, exact), "id long, g long"))
+    many = keys.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g")
+    lists = keys.join(many.hint("merge"), "g").join(some.hint("merge"), "id")
+    return _pairs_of(saved(lists.select("g", "id", "n", "comp")), ["g"], percent).distinct()
+
+
+def _beyond(members: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
     """Pairs of ``members(h, id, n, comp)`` of long lists that may be linked, h being the central member of the list.
 
     Two members share at most min(c_1, c_2) elements of h, c being what each shares with it, and a link needs
-    percent / (100 + percent) * (n_1 + n_2) of them. Where that is within the bound, cells of equal (n, c) are matched
-    first, then their members. Other pairs share as many elements beyond h's as are wanting, so they share one of the rarest.
+    percent / (100 + percent) * (n_1 + n_2) of them. Where that is within the bound, which cells of equal (n, c) tell without their
+    members, these meet by ``_by_keys``. Other pairs share as many elements beyond h's as are wanting, so they share one of the rarest;
+    where the lists of those hold more pairs than h has members, the members meet by ``_by_keys`` as well.
     """
     held = _with_sets(members.select(F.col("h").alias("a"), F.col("id").alias("b")), docs, words).mapInArrow(_held, "h long, id long, c long, values array<long>")
     least = members.groupBy("h").agg(F.min("n").alias("_m"))
@@ -195,15 +281,18 @@ def _beyond(members: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     other = cells.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "lo", "hi")))
     apart = (F.least("lo", "lo_2") != F.greatest("hi", "hi_2")) & (F.struct("n", "c") <= F.struct("n_2", "c_2"))
     met = saved(cells.hint("merge").join(other, "h").where(within & apart & _similar_sizes(F.col("n"), F.col("n_2"), percent)).select("h", "n", "c", "n_2", "c_2"))
-    one = facts.select("h", "n", "c", "id", "comp")
-    two = facts.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "id", "comp")))
-    direct = met.join(one.hint("merge"), ["h", "n", "c"]).join(two.hint("merge"), ["h", "n_2", "c_2"]).where("comp != comp_2 and id != id_2")
-    direct = direct.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
-    lists = _rarest(facts, ["h", "id", "n", "comp", "c", "wanting"], ["h"], F.greatest("wanting", F.lit(1)))
-    return direct.unionByName(_pairs_of(saved(lists.drop("w", "wanting", "c")), ["h", "v"], percent))
-
-
-def _rest_pairs(lists: DataFrame, hubs: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    cell = met.select("h", "n", "c").unionByName(met.select("h", F.col("n_2").alias("n"), F.col("c_2").alias("c"))).distinct()
+    inside = facts.join(cell.hint("merge"), ["h", "n", "c"]).select("id", "n", "comp")
+    lists = saved(_rarest(facts, ["h", "id", "n", "comp", "c", "wanting"], ["h"], F.greatest("wanting", F.lit(1))).drop("w", "wanting", "c"))
+    cost = lists.groupBy("h", "v").agg(F.count(F.lit(1)).alias("s")).groupBy("h").agg(F.sum(F.expr("s * (s - 1) div 2")).alias("pairs"))
+    crowded = saved(cost.join(facts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).hint("merge"), "h").where("pairs > size").select("h"))
+    pairs = _pairs_of(lists.join(crowded.hint("merge"), "h", "left_anti"), ["h", "v"], percent)
+    crowd = facts.join(crowded.hint("merge"), "h", "left_semi").select("id", "n", "comp")
+    apart_too = saved(inside.unionByName(crowd).distinct())
+    return pairs if apart_too.isEmpty() else pairs.unionByName(_by_keys(apart_too, docs, words, percent, exact))
+
+
+def _rest_pairs(lists: DataFrame, hubs: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
     """Pairs of list members in different components that may be linked, but for those with a list's central member."""
     placed = lists.select("v", "id", "n").join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     span = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
@@ -213,18 +302,19 @@ def _rest_pairs(lists: DataFrame, hubs: DataFrame, labels: DataFrame, docs: Data
     members = saved(open_.where(F.col("size") > SHORT_LIST).select("h", "id", "n", "comp").distinct())
     if members.isEmpty():
         return short.distinct()
-    return short.unionByName(_beyond(members, docs, words, percent)).distinct()
+    return short.unionByName(_beyond(members, docs, words, percent, exact)).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH, exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable, kept says that it is the row's own. Null and empty texts, and texts of white space,
     have no shingles and no links. Rows that repeat a doc_id are one document, for which its longest text stands (ties: the
     greatest); each of them is returned. A null doc_id names no document: such a row has no links, null n_shingles and
-    component_id, and is kept. Other columns are ignored.
+    component_id, and is kept. Other columns are ignored. ``exact`` leaves no link to chance, at the cost of whole sets in all steps.
     """
+    k = 1 << 30 if exact else k
     arrow_rows(docs.sparkSession)
     texts = one_text(docs)
     rows = saved(texts.mapInArrow(_sketches(words, k), _SETS))
@@ -237,7 +327,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     stars = lists.join(hubs.hint("merge"), "v").where(F.col("id") != F.col("head.id")).where(_similar_sizes(F.col("n"), F.col("head.n"), percent))
     links = _links(saved(stars.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()), heads, texts, words, percent, k)
     labels = components(links)
-    more = saved(_rest_pairs(lists, hubs, labels, texts, words, percent))
+    more = saved(_rest_pairs(lists, hubs, labels, texts, words, percent, exact))
     if not more.isEmpty():
         labels = components(links.unionByName(_links(more, heads, texts, words, percent, k)))
     placed = heads.select("id", "n", "f1", "f2").join(labels.hint("merge"), "id", "left")

@@ -514,3 +514,60 @@ def test_pipeline_keeps_columns(spark):
         out = stage(spark, frame, d)
         assert out.columns == frame.columns, name
     assert p.run(spark, d).count() > 0
+
+
+def test_linked_sets_have_equal_parts():
+    rng = np.random.default_rng(0)
+    linked = 0
+    for percent in (80, 85, 95):
+        for _ in range(1500):
+            n = int(rng.integers(1, 300))
+            pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+            both, a, b = int(rng.integers(1, n + 1)), int(rng.integers(0, n // 8 + 1)), int(rng.integers(0, n // 8 + 1))
+            if both + a + b > len(pool) or 100 * both < percent * (both + a + b):
+                continue
+            p = rng.permutation(len(pool))
+            x, y = np.sort(pool[p[: both + a]]), np.sort(np.concatenate((pool[p[:both]], pool[p[both + a : both + a + b]])))
+            for keys in (minhash.part_keys, minhash.band_keys) if linked % 20 == 0 else (minhash.part_keys,):
+                assert len(np.intersect1d(keys(x, percent), keys(y, percent)))
+            linked += 1
+    assert linked > 500
+
+
+def excerpts(n, seed):
+    """A text of 120 sentences and ``n`` texts of a random half of them, of which some have near copies."""
+    rng = random.Random(seed)
+    said = [" ".join(f"w{rng.randrange(3000)}" for _ in range(12)) for _ in range(120)]
+    texts = [" ".join(said)]
+    for i in range(n):
+        some = [s for s in said if rng.random() < 0.5]
+        texts.append(" ".join(some))
+        if i % 20 == 0:
+            texts.append(" ".join(some[:-2]))
+    return texts
+
+
+def test_excerpts_of_one_text_are_not_all_compared(spark, monkeypatch):
+    counts, rates = [], []
+    plain = minhash._links
+
+    def counted(pairs, *more):
+        counts.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_links", counted)
+    monkeypatch.setattr(minhash, "SHORT_LIST", 6)
+    for n, exact in ((60, True), (250, False)):
+        texts = excerpts(n, n)
+        sets = [set(minhash.shingle_hashes(t, 3).tolist()) for t in texts]
+        want = list(range(len(texts)))
+        for i, j in combinations(range(len(texts)), 2):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if c == b else c for c in want]
+        counts.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), 3, 85, exact=exact).collect()}
+        assert got == dict(enumerate(want)) and len(set(want)) < len(texts)
+        rates.append(sum(counts) / len(texts))
+    print(rates)
+    assert max(rates) < 45
