@@ -254,22 +254,25 @@ def _parts(words: int, percent: int, exact: bool):
     return run
 
 
-def _by_keys(some: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
-    """Pairs of ``some(id, n, comp)`` of different components that have a key of bands, or of parts, in common."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(some.select("id")), "id", "left_semi")
+def _keys(some: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
+    """(id, g): the keys of ``some(id)`` that two of them have."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(saved(some.select("id").distinct())), "id", "left_semi")
     keys = saved(texts.mapInArrow(_parts(words, percent, exact), "id long, g long"))
     many = keys.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g")
-    lists = keys.join(many.hint("merge"), "g").join(some.hint("merge"), "id")
-    return _pairs_of(saved(lists.select("g", "id", "n", "comp")), ["g"], percent).distinct()
+    return saved(keys.join(many.hint("merge"), "g").select("id", "g"))
+
+
+def _half(n: str) -> Column:
+    return F.sum(F.expr(f"{n} * ({n} - 1) div 2"))
 
 
 def _beyond(members: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
     """Pairs of ``members(h, id, n, comp)`` of long lists that may be linked, h being the central member of the list.
 
     Two members share at most min(c_1, c_2) elements of h, c being what each shares with it, and a link needs
-    percent / (100 + percent) * (n_1 + n_2) of them. Where that is within the bound, which cells of equal (n, c) tell without their
-    members, these meet by ``_by_keys``. Other pairs share as many elements beyond h's as are wanting, so they share one of the rarest;
-    where the lists of those hold more pairs than h has members, the members meet by ``_by_keys`` as well.
+    percent / (100 + percent) * (n_1 + n_2) of them. Where that is within the bound, cells of equal (n, c) are matched
+    first, then their members. Other pairs share as many elements beyond h's as are wanting, so they share one of the rarest.
+    Lists that would pair more than h has members are held against keys (``band_keys``): the way of fewer pairs is taken.
     """
     held = _with_sets(members.select(F.col("h").alias("a"), F.col("id").alias("b")), docs, words).mapInArrow(_held, "h long, id long, c long, values array<long>")
     least = members.groupBy("h").agg(F.min("n").alias("_m"))
@@ -277,19 +280,34 @@ def _beyond(members: DataFrame, docs: DataFrame, words: int, percent: int, exact
     wanting = _ceil_div(percent * (F.col("n") + F.greatest("_m", _ceil_div(F.col("n") * percent, 100))), 100 + percent) - F.col("c")
     facts = saved(facts.withColumn("wanting", wanting).drop("_m"))
     within = (100 + percent) * F.least("c", "c_2") >= percent * (F.col("n") + F.col("n_2"))
-    cells = facts.where("wanting <= 0").groupBy("h", "n", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    other = cells.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "lo", "hi")))
+    cells = facts.where("wanting <= 0").groupBy("h", "n", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"))
+    other = cells.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "lo", "hi", "k")))
     apart = (F.least("lo", "lo_2") != F.greatest("hi", "hi_2")) & (F.struct("n", "c") <= F.struct("n_2", "c_2"))
-    met = saved(cells.hint("merge").join(other, "h").where(within & apart & _similar_sizes(F.col("n"), F.col("n_2"), percent)).select("h", "n", "c", "n_2", "c_2"))
-    cell = met.select("h", "n", "c").unionByName(met.select("h", F.col("n_2").alias("n"), F.col("c_2").alias("c"))).distinct()
-    inside = facts.join(cell.hint("merge"), ["h", "n", "c"]).select("id", "n", "comp")
+    met = saved(cells.hint("merge").join(other, "h").where(within & apart & _similar_sizes(F.col("n"), F.col("n_2"), percent)).select("h", "n", "c", "k", "n_2", "c_2", "k_2"))
     lists = saved(_rarest(facts, ["h", "id", "n", "comp", "c", "wanting"], ["h"], F.greatest("wanting", F.lit(1))).drop("w", "wanting", "c"))
-    cost = lists.groupBy("h", "v").agg(F.count(F.lit(1)).alias("s")).groupBy("h").agg(F.sum(F.expr("s * (s - 1) div 2")).alias("pairs"))
-    crowded = saved(cost.join(facts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).hint("merge"), "h").where("pairs > size").select("h"))
-    pairs = _pairs_of(lists.join(crowded.hint("merge"), "h", "left_anti"), ["h", "v"], percent)
-    crowd = facts.join(crowded.hint("merge"), "h", "left_semi").select("id", "n", "comp")
-    apart_too = saved(inside.unionByName(crowd).distinct())
-    return pairs if apart_too.isEmpty() else pairs.unionByName(_by_keys(apart_too, docs, words, percent, exact))
+    # what all this would pair, by h; where that is over the number of members, keys are tried, and taken where they pair fewer
+    cost = lists.groupBy("h", "v").agg(F.count(F.lit(1)).alias("s")).groupBy("h").agg(_half("s").alias("pairs")).unionByName(met.groupBy("h").agg(F.sum(F.col("k") * F.col("k_2")).alias("pairs")))
+    costly = cost.groupBy("h").agg(F.sum("pairs").alias("pairs")).join(facts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).hint("merge"), "h").where("pairs > size")
+    costly = saved(costly.select("h", "pairs"))
+    if costly.isEmpty():
+        return _plain(facts, met, lists, percent)
+    crowd = facts.join(costly.hint("merge"), "h").select("h", "id", "n", "comp", "pairs")
+    keys = _keys(crowd, docs, words, percent, exact)
+    found = crowd.select("h", "id").join(keys.hint("merge"), "id").groupBy("h", "g").agg(F.count(F.lit(1)).alias("s")).groupBy("h").agg(_half("s").alias("found"))
+    chosen = saved(costly.join(found.hint("merge"), "h", "left").where("coalesce(found, 0) < pairs").select("h"))
+    some = crowd.join(chosen.hint("merge"), "h", "left_semi").select("id", "n", "comp").distinct()
+    by_keys = _pairs_of(saved(keys.join(some.hint("merge"), "id")), ["g"], percent)
+    rest = [t.join(chosen.hint("merge"), "h", "left_anti") for t in (facts, met, lists)]
+    return _plain(*rest, percent).unionByName(by_keys)
+
+
+def _plain(facts: DataFrame, met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the cells that were met, and of the lists of what lies beyond h."""
+    one = facts.select("h", "n", "c", "id", "comp")
+    two = facts.select("h", *(F.col(c).alias(f"{c}_2") for c in ("n", "c", "id", "comp")))
+    direct = met.select("h", "n", "c", "n_2", "c_2").join(one.hint("merge"), ["h", "n", "c"]).join(two.hint("merge"), ["h", "n_2", "c_2"]).where("comp != comp_2 and id != id_2")
+    direct = direct.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    return direct.unionByName(_pairs_of(lists, ["h", "v"], percent))
 
 
 def _rest_pairs(lists: DataFrame, hubs: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:

@@ -571,3 +571,26 @@ def test_excerpts_of_one_text_are_not_all_compared(spark, monkeypatch):
         rates.append(sum(counts) / len(texts))
     print(rates)
     assert max(rates) < 45
+
+
+def test_url_model_on_words_it_was_not_given(spark):
+    """Held-out words: few allowed urls are blocked at the threshold, and part of the unwanted ones is found by what words share."""
+    weights = urls.fit(urls.labelled_urls(spark, held_out=False))
+    p = urls.score(urls.host_of(F.col("url")), urls.path_of(F.col("url")), weights)
+    for held_out, found, false in ((False, 0.99, 0.001), (True, 0.4, 0.02)):
+        rows = urls.labelled_urls(spark, held_out).select("label", (p >= 0.9).cast("double").alias("b")).groupBy("label").agg(F.avg("b").alias("b")).collect()
+        share = {r.label: r.b for r in rows}
+        assert share[1] > found and share[0] < false
+
+
+def test_url_filter_on_odd_tables(spark):
+    kind = "page_id long, url string, host string, verdict string"
+    rows = [(1, "http://free-casino.example.net/x", "h", "v"), (1, "http://free-casino.example.net/x", "h", "v"), (None, None, "h", "v"), (2, "", None, None), (3, "http://" + "a" * 200_000 + ".net/" + "b" * 200_000, "h", "v")]
+    table = spark.createDataFrame([("http://casino.net/", 1), ("http://garden.net/", 0), (None, 1), ("x", None), ("http://casino.net/", 1)], "url string, label int")
+    weights = urls.fit(table)
+    got = urls.judge_urls(spark.createDataFrame(rows, kind), weights, threshold=0.5).collect()
+    assert len(got) == 5 and [r.verdict for r in got if r.page_id == 1] == ["block"] * 2 and {r.host for r in got if r.page_id in (None, 2)} == {""}
+    assert urls.judge_urls(spark.createDataFrame([], kind), weights).count() == 0
+    for given, told in (([], "allow"), ([("http://a.net/", 1)], "block"), ([("http://a.net/", 0)], "allow")):
+        some = urls.fit(spark.createDataFrame(given, "url string, label int"))
+        assert {r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, kind), some).collect()} == {told}
