@@ -2,10 +2,10 @@
 
 Minimum covariance determinant: the estimate of a group rests on those of its rows whose covariance has the least determinant.
 The search begins at several places (the medians, and the means of parts of the group) and takes concentration steps from each:
-a step keeps the rows that lie nearest by Mahalanobis distance and re-estimates mean and covariance from them, by which the
-determinant can't grow. A start's steps end when it falls no more; the start that led to the least determinant wins.
+a step keeps ``HALF`` of the group, the rows that lie nearest by Mahalanobis distance, and re-estimates mean and covariance from them.
+A start's steps end when the determinant falls no more, however many that takes; the start that led to the least one wins.
 A step is one aggregation over all rows into distance bins per group and start, which hold counts, sums and products, so no group
-meets in one task. Determinants are those of covariances with ``FLOORS`` added, as several statistics hardly vary in clean text.
+meets in one task; of the bin in which the share ends, each row counts in part, so that all steps rest on the same weight of rows. Determinants are those of covariances with ``FLOORS`` added, as several statistics hardly vary in clean text.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from courtflow.llm.common import arrow_rows, saved, sized
 
 SYMBOLS = "#*$%&|<>"
-#: Share of a group's rows that the estimate rests on, most concentration steps, and rows under which a group is judged by a wider one.
+#: Share of a group's rows that the estimate rests on, and rows under which a group is judged by a wider one (``judged_by`` tells which).
 HALF = 0.6
-STEPS = 12
 MIN_ROWS = 40
 #: Rejected beyond this squared distance (a chi-square quantile far out, as text statistics have long tails).
 CUTOFF = 60.0
@@ -182,19 +181,21 @@ def _step(rows: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
     binned = near.groupBy(*group, "b").agg(F.count(F.lit(1)).alias("c"), *_products())
     one = Window.partitionBy(*group)
     nearest = binned.withColumn("n", F.sum("c").over(one)).withColumn("before", F.sum("c").over(one.orderBy("b")) - F.col("c")).where(F.col("before") < HALF * F.col("n"))
-    sums = [F.sum(c).alias(c) for c in binned.columns if c[0] in "sp" and c[1].isdigit()]
-    return _estimates(nearest.groupBy(*group).agg(F.max("n").alias("n"), F.sum("c").alias("m"), *sums), key)
+    part = F.least(F.lit(1.0), (HALF * F.col("n") - F.col("before")) / F.col("c"))  # of the last bin, as much as is wanting
+    sums = [F.sum(F.col(c) * F.col("part")).alias(c) for c in binned.columns if c[0] in "sp" and c[1].isdigit()]
+    return _estimates(nearest.withColumn("part", part).groupBy(*group).agg(F.max("n").alias("n"), F.sum(F.col("c") * F.col("part")).alias("m"), *sums), key)
 
 
-def _models(rows: DataFrame, steps: int, key: Sequence[str] = _SOURCE) -> DataFrame:
+def _models(rows: DataFrame, key: Sequence[str] = _SOURCE) -> DataFrame:
     """The estimate of each group of ``rows``: of all starts, and steps from them, the one of the least determinant.
 
-    A start takes steps until its determinant falls no more; the table of each step holds the least one so far as ``best``.
+    A start takes steps until the log of its determinant falls by less than 1e-3, which ends as determinants have a floor; the table
+    of each step holds the least one so far as ``best``.
     """
     group = [*key, "start"]
     at = saved(_start(rows, key).withColumn("best", F.lit(None).cast("struct<det:double,n:bigint,mean:array<double>,inv:array<double>>")).withColumn("falls", F.lit(True)))
     ended = []
-    for _ in range(steps):
+    while True:
         more = at.where("falls")
         n = more.count()
         if not n:
@@ -223,13 +224,13 @@ def _groups(rows: DataFrame) -> DataFrame:
     return saved(sizes.join(tongues.hint("merge"), "lang").select("lang", "source", levels.alias("levels"), judge.alias("judge")))
 
 
-def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
-    """``doc_id``, five base statistics, ``base_failed``, ``distance2`` and ``kept`` for every row of ``docs(doc_id, text, lang, source)``.
+def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``doc_id``, five base statistics, ``base_failed``, ``distance2``, ``kept`` and ``judged_by`` for every row of ``docs(doc_id, text, lang, source)``.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. Other rows are kept unless their
     transformed statistics lie beyond ``cutoff`` (squared distance) from the estimate of their language and source, which is
     made from rows that pass the base rules. Groups under ``MIN_ROWS`` such rows are judged by the estimate of all rows of their
-    language, and languages under it by that of all rows. distance2 is null only if no row passes the base rules. Null languages
+    language, and languages under it by that of all rows; judged_by says whose: "source", "lang" or "all". distance2 is null only if no row passes the base rules. Null languages
     and sources count as ``''``; null texts as empty. Repeated rows stay. Other columns are ignored; no rows, no result.
     """
     arrow_rows(docs.sparkSession)
@@ -240,11 +241,12 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> Data
     groups = _groups(rows)
     points = rows.where("not base_failed").join(_few(groups.select("lang", "source", "levels")), ["lang", "source"])
     points = saved(points.select(F.explode("levels").alias("k"), *(f"x{i}" for i in range(_P))).select("k.*", *(f"x{i}" for i in range(_P))))
-    model = saved(_models(points, steps, _LEVEL).select(F.struct(*_LEVEL).alias("judge"), "mean", "inv"))
-    judges = saved(groups.select("lang", "source", "judge").join(model.hint("merge"), "judge").drop("judge"))
+    model = saved(_models(points, _LEVEL).select(F.struct(*_LEVEL).alias("judge"), "mean", "inv"))
+    level = F.get(F.array(F.lit("source"), F.lit("lang"), F.lit("all")), F.col("judge.level")).alias("judged_by")
+    judges = saved(groups.select("lang", "source", "judge").join(model.hint("merge"), "judge").select("lang", "source", "mean", "inv", level))
     judged = rows.join(_few(judges), ["lang", "source"], "left")
     d = distance(F.col("mean"), F.col("inv"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        d.alias("distance2"), (~F.col("base_failed") & F.coalesce(d <= cutoff, F.lit(True))).alias("kept"),
+        d.alias("distance2"), (~F.col("base_failed") & F.coalesce(d <= cutoff, F.lit(True))).alias("kept"), "judged_by",
     )
