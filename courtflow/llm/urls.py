@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ ALLOW_FAMILIES = {
     "technology": "software linux python docs developer cloud code data network server forum support download wiki alphabet better",
     "living": "recipes garden kitchen cooking music books film sports health doctor weather family crafts fashion betty address adventure",
     "state": "government ministry council court parliament police tax embassy election public service office",
-    "names": "anderson martin schmidt dupont garcia rossi novak jansen thering tion oneth heres theand ingly ounder",
+    "names": "anderson martin schmidt dupont garcia rossi novak jansen kowalski silva ferrari moreau keller lindqvist",
     "trade": "shop store market bank insurance furniture cars bikes tools electronics clicker tracksuit adapter padlock farmhouse",
 }
 _TLDS = ("com", "org", "net", "info", "de", "fr", "es", "co.uk")
@@ -72,10 +73,18 @@ def _unknown(n: int) -> list[tuple[str, int]]:
     return [(f"http://{('', 'www.', 'blog.', 'm.')[i % 4]}{a}{('', '.example')[i % 2]}.{_TLDS[i % len(_TLDS)]}{_PATHS[i % len(_PATHS)].format(w=names[i - 1])}", 0) for i, a in enumerate(names)]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table that ships with the library: (url, label), made of word families under many forms of hosts and paths."""
+def labelled_urls(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
+    """The labelled table that ships with the library: (url, label), made of word families under many forms of hosts and paths.
+
+    Its words are common ones, written down by hand; no page was looked at for them. ``held_out`` parts it: True has every fifth word of each
+    family and a sixth of the random hosts, False the rest. The threshold of ``judge_urls`` is the least tenth at which a model of the rest
+    blocks under 2 % of the allowed urls that were held out (README has the figures).
+    """
     calm = " ".join(ALLOW_FAMILIES.values()).split()
-    return spark.createDataFrame(_urls(BLOCK_FAMILIES, 1, calm) + _urls(ALLOW_FAMILIES, 0, calm) + _unknown(1_200), "url string, label int")
+    some = lambda families: {k: " ".join(w for i, w in enumerate(v.split()) if held_out in (None, i % 5 == 4)) for k, v in families.items()}
+    random_hosts = _unknown(1_200)
+    unknown = random_hosts if held_out is None else random_hosts[1_000:] if held_out else random_hosts[:1_000]
+    return spark.createDataFrame(_urls(some(BLOCK_FAMILIES), 1, calm) + _urls(some(ALLOW_FAMILIES), 0, calm) + unknown, "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -115,29 +124,31 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS, n: int = GRAM) ->
     return F.array_distinct(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), "h"), of(path, "p")))
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 30, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
-    """Weights of ``buckets`` features and, last, the bias, by seeded-order gradient steps.
+def fit(labelled: DataFrame, buckets: int = BUCKETS, steps: int = 400, decay: float = 0.05) -> list[float]:
+    """Weights of ``buckets`` features and, last, the bias: the minimum of log loss plus ``decay`` / 2 times the squared weights, by
+    accelerated gradient steps over all rows at once.
 
-    ``labelled(url, label)`` may hold at most ``MAX_LABELLED`` rows; null urls or labels are skipped.
-    An empty table gives a model that allows all.
+    ``labelled(url, label)`` may hold at most ``MAX_LABELLED`` rows; null urls or labels are skipped, repeated rows count again. An empty
+    table, or one of a single label, gives a model that says that label of everything (an empty one: allow).
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = labelled.where("url is not null and label is not null").select("url", "label", grams(host, path, buckets).alias("g")).limit(MAX_LABELLED + 1).collect()
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"the labelled table has over {MAX_LABELLED} rows")
     rows.sort(key=lambda r: (r.url, r.label))
-    w = [0.0] * (buckets + 1)
-    if not rows:
-        w[-1] = -5.0
-    for epoch in range(epochs):
-        step = rate / (1 + 0.1 * epoch)
-        for r in rows:
-            z = w[-1] + sum(w[g] for g in r.g)
-            err = r.label - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            for g in r.g:
-                w[g] += step * (err / math.sqrt(len(r.g)) - decay * w[g])
-            w[-1] += step * 0.1 * err
-    return w
+    y = np.array([float(r.label) for r in rows])
+    if not len(rows) or y.min() == y.max():
+        return [0.0] * buckets + [5.0 if len(rows) and y[0] else -5.0]
+    row, gram = np.repeat(np.arange(len(rows)), [len(r.g) for r in rows]), np.array([g for r in rows for g in r.g])
+    most = max(len(r.g) for r in rows)
+    w, ahead, b, b_ahead, rate = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0, 4.0 / (most * np.bincount(gram).max() ** 0.5 + len(rows) ** 0.5)
+    for k in range(steps):
+        z = np.bincount(row, ahead[gram], len(rows)) + b_ahead
+        err = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        new, new_b = ahead + rate * (np.bincount(gram, err[row], buckets) - decay * ahead), b_ahead + rate * err.sum()
+        push = k / (k + 3)
+        ahead, b_ahead, w, b = new + push * (new - w), new_b + push * (new_b - b), new, new_b
+    return [*w.tolist(), float(b)]
 
 
 def score(host: Column, path: Column, weights: list[float]) -> Column:
