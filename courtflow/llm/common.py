@@ -63,17 +63,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, buckets: int = 256, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``name``: row numbers from 0 without gaps within ``keys``.
 
     Rows of a key are dealt into ``buckets`` by a hash of ``order`` and numbered there;
-    bucket offsets come from counts. So no task holds a whole key, however large.
+    bucket offsets come from counts. So no task holds a whole key, however large. Rows of one ``order`` (null ones
+    among them) are told apart by ``ties``, which deal and order as well: a task that runs again numbers them alike.
     """
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(F.col(order)), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(F.col(order), *ties), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order)
+    inside = Window.partitionBy(*keys, "_b").orderBy(order, *ties)
     rows = dealt.withColumn("_r", F.row_number().over(inside) - 1)
     return (
         rows.join(offsets.hint("merge"), [*keys, "_b"])

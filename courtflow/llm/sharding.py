@@ -130,14 +130,14 @@ def reshard(docs: DataFrame, shards: int = SHARDS, carry: Sequence[str] = ()) ->
     whole = gone.where("_k = _n").groupBy("old_shard").agg(F.max("size").alias("_below"))
     marked = rows.join(F.broadcast(whole), "old_shard", "left").withColumn("_goes", F.coalesce(F.col("size") <= F.col("_below"), F.lit(False))).drop("_below")
     edge = marked.join(F.broadcast(some), ["old_shard", "size"])
-    edge = numbered(edge, ["old_shard"], "doc_id", "_e").withColumn("_goes", F.col("_e") < F.col("_k")).drop("_e", "_k")
+    edge = numbered(edge, ["old_shard"], "doc_id", "_e", ties=["size", *carry]).withColumn("_goes", F.col("_e") < F.col("_k")).drop("_e", "_k")
     rest = marked.join(F.broadcast(some.select("old_shard", "size")), ["old_shard", "size"], "left_anti")
     dealt = rest.unionByName(edge)
     moves = spark.createDataFrame(routes(out, into), "old_shard int, _lo long, _hi long, shard int")
     names = ["doc_id", "size", "old_shard", "shard", *carry]
-    moved = numbered(dealt.where("_goes").drop("_goes"), ["old_shard"], "doc_id", "_m").join(F.broadcast(moves), "old_shard").where("_m >= _lo and _m < _hi").select(*names)
+    moved = numbered(dealt.where("_goes").drop("_goes"), ["old_shard"], "doc_id", "_m", ties=["size", *carry]).join(F.broadcast(moves), "old_shard").where("_m >= _lo and _m < _hi").select(*names)
     stay = dealt.where("not _goes").withColumn("shard", F.col("old_shard")).select(*names)
-    placed = numbered(stay.unionByName(moved), ["shard"], "doc_id", "slot")
+    placed = numbered(stay.unionByName(moved), ["shard"], "doc_id", "slot", ties=["size", *carry])
     return placed.withColumn("moved", F.col("shard") != F.col("old_shard"))
 
 
