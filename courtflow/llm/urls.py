@@ -24,6 +24,7 @@ RULES = [
 #: Most rows of a labelled table that is fitted on the driver.
 MAX_LABELLED = 5_000
 BUCKETS = 1 << 15
+BIAS = -3.0
 GRAM = 4
 
 # Words of hosts and paths by family, 1 = block.
@@ -117,16 +118,19 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS, n: int = GRAM) ->
     """Distinct bucket numbers of the n-grams of ``^host$`` and, apart, of the path."""
 
     def of(s: Column, kind: str) -> Column:
-        ends = F.greatest(F.length(s) - (n - 1), F.lit(1))
-        cut = F.transform(F.sequence(F.lit(1), ends), lambda i: F.substr(s, i, F.lit(n)))
-        return F.transform(cut, lambda g: F.pmod(F.xxhash64(F.lit(kind), g), F.lit(buckets)).cast("int"))
+        def cut(signs: Column) -> Column:
+            ends = F.greatest(F.size(signs) - n, F.lit(0))
+            return F.transform(F.sequence(F.lit(0), ends), lambda i: F.concat(*(F.coalesce(F.get(signs, i + k), F.lit("")) for k in range(n))))
+
+        # signs are an element of an array, so that they are worked out once and a gram costs its own length
+        return F.transform(F.flatten(F.transform(F.array(F.split(s, "")), cut)), lambda g: F.pmod(F.xxhash64(F.lit(kind), g), F.lit(buckets)).cast("int"))
 
     return F.array_distinct(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), "h"), of(path, "p")))
 
 
 def fit(labelled: DataFrame, buckets: int = BUCKETS, steps: int = 400, decay: float = 0.05) -> list[float]:
     """Weights of ``buckets`` features and, last, the bias: the minimum of log loss plus ``decay`` / 2 times the squared weights, by
-    accelerated gradient steps over all rows at once.
+    accelerated gradient steps over all rows at once. The bias is ``BIAS``: what has no known n-gram, or none at all, is allowed.
 
     ``labelled(url, label)`` may hold at most ``MAX_LABELLED`` rows; null urls or labels are skipped, repeated rows count again. An empty
     table, or one of a single label, gives a model that says that label of everything (an empty one: allow).
@@ -141,19 +145,18 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, steps: int = 400, decay: fl
         return [0.0] * buckets + [5.0 if len(rows) and y[0] else -5.0]
     row, gram = np.repeat(np.arange(len(rows)), [len(r.g) for r in rows]), np.array([g for r in rows for g in r.g])
     most = max(len(r.g) for r in rows)
-    w, ahead, b, b_ahead, rate = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0, 4.0 / (most * np.bincount(gram).max() ** 0.5 + len(rows) ** 0.5)
+    w, ahead, rate = np.zeros(buckets), np.zeros(buckets), 4.0 / (most * np.bincount(gram).max() ** 0.5 + len(rows) ** 0.5)
     for k in range(steps):
-        z = np.bincount(row, ahead[gram], len(rows)) + b_ahead
+        z = np.bincount(row, ahead[gram], len(rows)) + BIAS
         err = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        new, new_b = ahead + rate * (np.bincount(gram, err[row], buckets) - decay * ahead), b_ahead + rate * err.sum()
-        push = k / (k + 3)
-        ahead, b_ahead, w, b = new + push * (new - w), new_b + push * (new_b - b), new, new_b
-    return [*w.tolist(), float(b)]
+        new = ahead + rate * (np.bincount(gram, err[row], buckets) - decay * ahead)
+        ahead, w = new + k / (k + 3) * (new - w), new
+    return [*w.tolist(), BIAS]
 
 
 def score(host: Column, path: Column, weights: list[float]) -> Column:
-    """Probability of ``block``: the weights travel as one array literal of fixed size."""
-    w = F.lit([float(x) for x in weights])
+    """Probability of ``block``: the weights travel as one literal of fixed size, which is folded into an array."""
+    w = F.split(F.lit(",".join(repr(float(x)) for x in weights)), ",").cast("array<double>")
     total = F.aggregate(grams(host, path, len(weights) - 1), F.lit(float(weights[-1])), lambda acc, g: acc + F.get(w, g))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
