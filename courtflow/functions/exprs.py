@@ -33,10 +33,10 @@ def project(h: list, x, y) -> tuple[Column, Column, Column]:
 
 
 def compose(a: list, b: list) -> list[Column]:
-    """A times B, normalised by the last element."""
+    """A times B, normalised by the last element; null where that is 0."""
     a, b = [col(c) for c in a], [col(c) for c in b]
     raw = [sum((a[3 * i + k] * b[3 * k + j] for k in range(1, 3)), a[3 * i] * b[j]) for i in range(3) for j in range(3)]
-    return [c / raw[8] for c in raw]
+    return [F.try_divide(c, raw[8]) for c in raw]
 
 
 def inverse(m: list) -> list[Column]:

@@ -163,7 +163,10 @@ def arcs(points: DataFrame) -> DataFrame:
         rows = [(*head, m, int(f[a]), int(f[b]), n, *facts, gone) for m, (a, b, n, facts, gone) in enumerate(found)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _ARCS.split(", ")])
 
-    return points.select("clip_id", "island", "chain", "frame", "cx", "cy").groupBy("clip_id", "island", "chain").applyInPandas(fly, _ARCS)
+    def fly_all(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fly(g) for _, g in p.groupby("chain")])
+
+    return points.select("clip_id", "island", "chain", "frame", "cx", "cy").groupBy("clip_id", "island").applyInPandas(fly_all, _ARCS)  # an island's chains in one batch
 
 
 def chain_verdicts(points: DataFrame, found: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def chain_verdicts(points: DataFrame, found: DataFrame) -> DataFrame:
     key = ["clip_id", "island", "chain"]
     span = F.sqrt(F.pow(F.max("cx") - F.min("cx"), 2) + F.pow(F.max("cy") - F.min("cy"), 2))
     chains = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n_points"), F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), span.alias("travel"))
-    out = chains.join(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n_arcs")), key, "left")
+    out = chains.hint("merge").join(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n_arcs")), key, "left")
     verdict = F.when(F.col("n_points") < MIN_CHAIN, "too_short").when(F.col("travel") < MIN_TRAVEL, "static_junk").when(F.col("n_arcs") > 0, "arc").otherwise("no_claim")
     return out.withColumn("verdict", verdict).withColumn("n_arcs", F.coalesce("n_arcs", F.lit(0)))
 
@@ -185,8 +188,8 @@ def shot_attempts(found: DataFrame, points: DataFrame, hoops: DataFrame, radius:
     key = ["clip_id", "island", "chain", "arc"]
     dist = F.sqrt(F.pow(F.col("x") - F.col("hx"), 2) + F.pow(F.col("y") - F.col("hy"), 2))
     base = found.select(*key, "start_frame", "end_frame", "fit_x", "fit_y")
-    seen = base.join(points.select("clip_id", "island", "chain", "frame", F.col("cx").alias("x"), F.col("cy").alias("y")), ["clip_id", "island", "chain"]).where("frame between start_frame and end_frame")
-    at = seen.join(hoops, ["clip_id", "frame"]).withColumn("d", dist)
+    seen = base.hint("merge").join(points.select("clip_id", "island", "chain", "frame", F.col("cx").alias("x"), F.col("cy").alias("y")), ["clip_id", "island", "chain"]).where("frame between start_frame and end_frame")
+    at = seen.hint("merge").join(hoops, ["clip_id", "frame"]).withColumn("d", dist)
     near = at.groupBy(*key, "hoop").agg(
         F.min(F.struct("d", "frame")).alias("obs"), F.max(F.when(F.col("frame") == F.col("start_frame"), F.col("d"))).alias("origin"), F.max(F.when(F.col("frame") == F.col("end_frame"), F.col("d"))).alias("ending")
     )
@@ -194,9 +197,9 @@ def shot_attempts(found: DataFrame, points: DataFrame, hoops: DataFrame, radius:
     coef = [[F.get(c, F.lit(i)) for i in range(3)] for c in ("fit_x", "fit_y")]
     apex = F.when(coef[1][0] > 0, -coef[1][1] / (2 * coef[1][0])).otherwise(F.lit(0.0))
     carried = ahead.where(F.col("t") >= apex).withColumns({n: c[0] * F.col("t") * F.col("t") + c[1] * F.col("t") + c[2] for n, c in zip("xy", coef)})
-    further = carried.join(hoops, ["clip_id", "frame"]).withColumn("d", dist).groupBy(*key, "hoop").agg(F.min(F.struct("d", "frame")).alias("ext"))
+    further = carried.hint("merge").join(hoops, ["clip_id", "frame"]).withColumn("d", dist).groupBy(*key, "hoop").agg(F.min(F.struct("d", "frame")).alias("ext"))
     hoop_names = hoops.select("clip_id", "hoop").distinct()
-    both = base.select(*key, "start_frame", "end_frame").join(hoop_names, "clip_id").join(near, [*key, "hoop"], "left").join(further, [*key, "hoop"], "left")
+    both = base.select(*key, "start_frame", "end_frame").join(hoop_names.hint("merge"), "clip_id").join(near.hint("merge"), [*key, "hoop"], "left").join(further.hint("merge"), [*key, "hoop"], "left")
     seen_ok = F.coalesce(F.col("obs.d") <= radius, F.lit(False))
     use_ext = ~seen_ok & F.col("ext").isNotNull() & F.coalesce(F.col("ext.d") < F.col("obs.d"), F.lit(True))
     both = both.withColumn("best", F.when(use_ext, F.col("ext")).otherwise(F.col("obs"))).withColumn("arrival", F.when(F.col("best").isNotNull(), F.when(use_ext, "extrapolated").otherwise("observed")))
@@ -213,7 +216,7 @@ def shot_attempts(found: DataFrame, points: DataFrame, hoops: DataFrame, radius:
 def apexes(found: DataFrame, points: DataFrame) -> DataFrame:
     """The highest point of each arc, the first on a tie."""
     key = ["clip_id", "island", "chain"]
-    seen = found.select(*key, "arc", "start_frame", "end_frame").join(points, key).where("frame between start_frame and end_frame")
+    seen = found.select(*key, "arc", "start_frame", "end_frame").hint("merge").join(points, key).where("frame between start_frame and end_frame")
     return seen.groupBy(*key, "arc").agg(F.min_by("frame", F.struct("cy", "frame")).alias("apex_frame"), F.min("cy").alias("apex_y"))
 
 
@@ -224,7 +227,7 @@ def releases(shots: DataFrame, points: DataFrame, tracks: DataFrame, back: int =
     """
     k = shots.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(back)))).withColumn("frame", F.col("start_frame") - F.col("k"))
     xy = {n: F.get(c, F.lit(0)) * F.col("k") * F.col("k") - F.get(c, F.lit(1)) * F.col("k") + F.get(c, F.lit(2)) for n, c in (("bx", "fit_x"), ("by", "fit_y"))}
-    met = k.withColumns(xy).join(tracks, ["clip_id", "frame"])
+    met = k.withColumns(xy).hint("merge").join(tracks, ["clip_id", "frame"])
     dx = F.greatest(F.col("x1") - F.col("bx"), F.lit(0.0), F.col("bx") - F.col("x2"))
     dy = F.greatest(F.col("y1") - F.col("by"), F.lit(0.0), F.col("by") - F.col("y2"))
     near = met.withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)

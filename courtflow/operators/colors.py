@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtflow.plans.tables import stored
+
 C = ["c0", "c1", "c2"]
 
 
@@ -48,9 +50,9 @@ def two_clusters(colors: DataFrame, rounds: int = 20) -> DataFrame:
         return sum(((F.col(c) - F.col(f"{p}_{c}")) * (F.col(c) - F.col(f"{p}_{c}")) for c in C[1:]), (F.col("c0") - F.col(f"{p}_c0")) * (F.col("c0") - F.col(f"{p}_c0")))
 
     for i in range(rounds):
-        side = colors.join(ends, "clip_id").withColumn("k", (dist("b") < dist("a")).cast("int"))
+        side = colors.join(ends.hint("merge"), "clip_id").withColumn("k", (dist("b") < dist("a")).cast("int"))
         mean = [F.coalesce(F.avg(F.when(F.col("k") == k, F.col(c))), F.first(f"{p}_{c}")).alias(f"{p}_{c}") for k, p in ((0, "a"), (1, "b")) for c in C]
         ends = side.groupBy("clip_id").agg(*mean)
-        if i % 5 == 4 and colors.sparkSession.sparkContext.getCheckpointDir():
-            ends = ends.checkpoint()
-    return colors.join(ends, "clip_id").select("clip_id", "track_id", (dist("b") < dist("a")).cast("int").alias("team"))
+        if i % 5 == 4:
+            ends = stored(ends)  # a row a clip; cuts the lineage of the rounds before
+    return colors.join(ends.hint("merge"), "clip_id").select("clip_id", "track_id", (dist("b") < dist("a")).cast("int").alias("team"))

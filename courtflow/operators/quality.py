@@ -100,7 +100,7 @@ def sampled_frames(frames: DataFrame, stride: int) -> DataFrame:
     """Every ``stride``-th frame number of a clip's range, marked where the clip lacks it."""
     span = frames.groupBy("clip_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
     want = span.select("clip_id", F.explode(F.sequence("a", "b", F.lit(stride).cast("long"))).alias("frame"))
-    return want.join(frames.select("clip_id", "frame", F.lit(True).alias("there")).distinct(), ["clip_id", "frame"], "left").withColumn("missing", F.col("there").isNull()).drop("there")
+    return want.hint("merge").join(frames.select("clip_id", "frame", F.lit(True).alias("there")).distinct(), ["clip_id", "frame"], "left").withColumn("missing", F.col("there").isNull()).drop("there")
 
 
 def debounced_scores(reads: DataFrame, memory: int = 7, votes: int = 4) -> DataFrame:

@@ -44,7 +44,7 @@ def _scores_within(spans: DataFrame, scores: DataFrame, width: int) -> DataFrame
     block = lambda c: F.floor(c / F.lit(width))
     wide = spans.withColumn("_k", F.explode(F.sequence(block(F.col("lo")), block(F.greatest("lo", F.col("hi") - 1)))))
     dealt = scores.select("clip_id", F.col("frame").alias("score_frame"), block(F.col("frame")).alias("_k"))
-    return wide.join(dealt, ["clip_id", "_k"]).where("score_frame >= lo and score_frame < hi")
+    return wide.hint("merge").join(dealt, ["clip_id", "_k"]).where("score_frame >= lo and score_frame < hi")
 
 
 def made_nearby(shots: DataFrame, scores: DataFrame, frames: int) -> DataFrame:
@@ -76,7 +76,7 @@ def reproduced(verified: DataFrame, claimed: DataFrame, slack: int = 10) -> Data
 def unseen_frames(spans: DataFrame, dets: DataFrame, conf: float = 0.10) -> DataFrame:
     """Frames within flights without a detection of at least ``conf``."""
     frames = spans.select("clip_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame")).distinct()
-    return frames.join(dets.where(F.col("conf") >= conf).select("clip_id", "frame"), ["clip_id", "frame"], "left_anti")
+    return frames.hint("merge").join(dets.where(F.col("conf") >= conf).select("clip_id", "frame"), ["clip_id", "frame"], "left_anti")
 
 
 def falls_below_rim(shots: DataFrame, dets: DataFrame, hoops: DataFrame, window: int = 15, corridor: float = 50.0, jitter: float = 5.0, least: int = 3) -> DataFrame:
@@ -85,7 +85,7 @@ def falls_below_rim(shots: DataFrame, dets: DataFrame, hoops: DataFrame, window:
     ``hoops(clip_id, frame, hoop, hx, hy)``; frames without the hoop are skipped.
     """
     after = shots.select(*SHOT, "hoop", F.explode(F.sequence(F.col("end_frame") + 1, F.col("end_frame") + window)).alias("frame"))
-    below = after.join(hoops, ["clip_id", "frame", "hoop"]).join(dets, ["clip_id", "frame"]).where((F.abs(F.col("cx") - F.col("hx")) <= corridor) & (F.col("cy") > F.col("hy")))
+    below = after.hint("merge").join(hoops, ["clip_id", "frame", "hoop"]).hint("merge").join(dets, ["clip_id", "frame"]).where((F.abs(F.col("cx") - F.col("hx")) <= corridor) & (F.col("cy") > F.col("hy")))
     w = Window.partitionBy(*SHOT).orderBy("frame", "det_idx")
     falling = F.coalesce(F.col("cy") >= F.lag("cy").over(w) - jitter, F.lit(True))
     runs = below.withColumn("falling", falling).groupBy(*SHOT).agg(F.count(F.lit(1)).alias("points"), F.bool_and("falling").alias("falling"))
@@ -105,7 +105,7 @@ def near_hoop(tracks: DataFrame, hoops: DataFrame, radius: float) -> DataFrame:
     spots = hoops.select("clip_id", "frame", "hx", "hy")
     x, y = (F.col("x1") + F.col("x2")) / 2 - F.col("hx"), F.col("y2") - F.col("hy")
     same = (tracks.clip_id == spots.clip_id) & (tracks.frame == spots.frame)
-    return tracks.join(spots, same & (x * x + y * y <= radius * radius), "left_semi")
+    return tracks.join(spots.hint("merge"), same & (x * x + y * y <= radius * radius), "left_semi")
 
 
 def contained(spans: DataFrame, shots: DataFrame, slack: int = 5, size: int = 256) -> DataFrame:

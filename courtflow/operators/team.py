@@ -49,7 +49,7 @@ def zone_occupancy(positions: DataFrame, length: float = 84.0) -> DataFrame:
     """A5: bodies in each of the seven zones, zeros included, and their share."""
     clips = positions.select("clip_id").distinct().select("clip_id", F.explode(F.array(*map(F.lit, ZONES))).alias("zone"))
     counts = positions.groupBy("clip_id", zone_of("court_x", "court_y", length).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
-    dense = clips.join(counts, ["clip_id", "zone"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dense = clips.hint("merge").join(counts, ["clip_id", "zone"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return dense.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("clip_id"))))
 
 

@@ -71,3 +71,28 @@ def named_box_score(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, lab
     run = identify(tracks, oncourt, reads, labels, rosters, fps)
     events = stored(credited(run))
     return identity.box_score(events, run.registry, oncourt, fps, rosters=rosters, identity_teams=duals.dual_teams(events, run.registry, rosters, crops))
+
+
+def relink_audit(tracks: DataFrame, starts: DataFrame) -> DataFrame:
+    """(clip_id, cut, relinks, ambiguous, leaks): what windows contain.
+
+    One machine a clip, without windows, relinks some tracks across where windows start: ``cut``. With windows such relinks can't be:
+    ``leaks`` counts those that reach out of their window, and ``relinks`` and ``ambiguous`` what windows still have.
+    """
+    placed = team.window_of(tracks, starts)
+    marks = stored(placed.select("clip_id", "frame", F.col("window").alias("_at")).distinct())
+    lost = marks.select("clip_id", F.col("frame").alias("_from"), F.col("_at").alias("_lost"))
+
+    def relinks(rows: DataFrame) -> DataFrame:
+        back = rows.where("reason = 'relinked'").withColumn("_from", F.col("frame") - F.col("gap_frames"))
+        return back.join(lost.hint("merge"), ["clip_id", "_from"]).join(marks.hint("merge"), ["clip_id", "frame"])
+
+    free = relinks(identity.identity_runs(placed.withColumn("window", F.lit(0).cast("long"))))
+    cut = free.groupBy("clip_id").agg(F.count_if(F.col("_lost") != F.col("_at")).alias("cut"))
+    kept = stored(identity.identity_runs(placed))
+    inside = relinks(kept).groupBy("clip_id").agg(F.count(F.lit(1)).alias("relinks"), F.count_if(F.col("_lost") != F.col("_at")).alias("leaks"))
+    doubt = kept.where("reason = 'ambiguous reappearance'").groupBy("clip_id").agg(F.count(F.lit(1)).alias("ambiguous"))
+    out = tracks.select("clip_id").distinct()
+    for table in (cut, inside, doubt):
+        out = out.join(table.hint("merge"), "clip_id", "left")
+    return out.fillna(0).select("clip_id", "cut", "relinks", "ambiguous", "leaks")

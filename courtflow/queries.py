@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from courtflow.functions import exprs as X
 from courtflow.operators import ball, colors, identity, quality, team
 from courtflow.plans import box
+from courtflow.plans.tables import stored
 from courtflow.sources import adapters
 
 FLAGSHIP = "a23_named_box"
@@ -218,16 +219,16 @@ def st3_chains(t):
 
 @query("a20_chain_verdicts", "ball")
 def a20_chain_verdicts(t):
-    points = ball.chain_points(t)
+    points = stored(ball.chain_points(t))
     return ball.chain_verdicts(points, ball.arcs(points))
 
 
 @query("h1_shot_attempts", "ball")
 def h1_shot_attempts(t):
-    points = ball.chain_points(t.where("conf >= 0.10"))
+    points = stored(ball.chain_points(t.where("conf >= 0.10")))
     frames = t.select("clip_id", "frame").distinct().where("frame % 17 != 0")
     spots = F.array(F.struct(F.lit("far").alias("hoop"), F.lit(850.0).alias("hx"), F.lit(120.0).alias("hy")), F.struct(F.lit("near").alias("hoop"), F.lit(300.0).alias("hx"), F.lit(130.0).alias("hy")))
-    return ball.shot_attempts(ball.arcs(points), points, frames.select("clip_id", "frame", F.explode(spots).alias("s")).select("clip_id", "frame", "s.*"))
+    return ball.shot_attempts(stored(ball.arcs(points)), points, frames.select("clip_id", "frame", F.explode(spots).alias("s")).select("clip_id", "frame", "s.*"))
 
 
 @query("a22_fragmentation", "tracks", sql="SELECT a.clip_id, ids, round(lifespan, 6) AS lifespan, round(tracks_per_frame, 6) AS tracks_per_frame FROM (SELECT clip_id, count(*) AS ids, avg(n) AS lifespan FROM (SELECT clip_id, track_id, count(*) AS n FROM tracks GROUP BY ALL) GROUP BY ALL) a JOIN (SELECT clip_id, avg(n) AS tracks_per_frame FROM (SELECT clip_id, frame, count(*) AS n FROM tracks GROUP BY ALL) GROUP BY ALL) b USING (clip_id)")
@@ -300,4 +301,4 @@ def a13_nearest_team(t):
 
 @query("a15_two_clusters", "colors")
 def a15_two_clusters(t):
-    return colors.two_clusters(t, rounds=8)
+    return colors.two_clusters(t)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from courtflow.functions import exprs as X
 from courtflow.operators import identity, merge, reports, shots, team
+from courtflow.plans.tables import stored
 from courtflow.queries import _BX, _ZONE, query
 from courtflow.shot_queries import _HOOPS, _hoops
 
@@ -286,7 +287,7 @@ def u3_merge_verdicts(t):
 @query("u3_merged_events", "tracks")
 def u3_merged_events(t):
     events, numbers, triggers = _merge_input(t)
-    return merge.merged_events(events, merge.merge_verdicts(events, numbers, triggers))
+    return merge.merged_events(events, stored(merge.merge_verdicts(events, numbers, triggers)))
 
 
 def _merge_input(t):
