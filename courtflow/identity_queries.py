@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtflow.operators import duals, identity, merge, resolutions, seeding, team
+from courtflow.operators import audit, colors, duals, identity, merge, quality, reports, resolutions, seeding, shots, team
 from courtflow.plans import box
 from courtflow.queries import _SIDES, query
 from courtflow.report_queries import _STATES, _W, _states
@@ -30,14 +30,17 @@ def i2_w7_seeds(t, o, r, labels, rosters):
     return box.identify(t, o, r, labels, rosters, _FPS).seeds
 
 
-@query("a23_live_lines", *_ALL, sql=_SEEDS + """,
+_LIVE = """,
 spine AS (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) AS ord FROM (SELECT DISTINCT clip_id, frame FROM tracks)),
 isl AS (SELECT wt.*, ord - row_number() OVER (PARTITION BY wt.clip_id, win, track_id ORDER BY wt.frame) AS g FROM wt JOIN spine ON spine.clip_id = wt.clip_id AND spine.frame = wt.frame),
 live AS (SELECT i.clip_id, i.frame, i.win, i.track_id, s.number FROM (SELECT *, min(g) OVER (PARTITION BY clip_id, win, track_id) AS g0 FROM isl) i JOIN seed s USING (clip_id, win, track_id) WHERE g = g0 AND s.number IS NOT NULL),
 claim AS (SELECT clip_id, number, frame, count(*) > 1 AS disputed, min(win) AS win, min(track_id) AS track_id FROM live GROUP BY ALL),
 nt AS (SELECT clip_id, number, CASE WHEN count(DISTINCT team) > 1 THEN 'AMBIGUOUS (team_a / team_b)' ELSE min(team) END AS team FROM rosters GROUP BY ALL)
 SELECT c.clip_id, c.number, nt.team, count(*) FILTER (NOT disputed) AS live, count(*) FILTER (disputed) AS disputed_frames, count(DISTINCT CASE WHEN NOT disputed THEN win END) AS windows_present
-FROM claim c JOIN nt ON nt.clip_id = c.clip_id AND nt.number = c.number GROUP BY ALL HAVING count(*) FILTER (NOT disputed) > 0 OR nt.team LIKE 'AMB%'""")
+FROM claim c JOIN nt ON nt.clip_id = c.clip_id AND nt.number = c.number GROUP BY ALL HAVING count(*) FILTER (NOT disputed) > 0 OR nt.team LIKE 'AMB%'"""
+
+
+@query("a23_live_lines", *_ALL, sql=_SEEDS + _LIVE)
 def a23_live_lines(t, o, r, labels, rosters):
     """The flagship's lines before merges: live frames only, which islands in SQL tell as well."""
     run = box.identify(t, o, r, labels, rosters, _FPS)
@@ -159,3 +162,44 @@ def u3_flagship_verdicts(t, o, r, labels, rosters):
     told = resolutions.checked(_resolutions(t).where("needs_review is null").withColumn("made_against", F.lit(None).cast("array<long>")), starts, rosters, run.events)
     triggers = seeding.agree_triggers(run.outcomes).unionByName(resolutions.human_triggers(told))
     return merge.merge_verdicts(run.events, run.registry.where("number is not null"), box.stored(triggers))
+
+
+@query("t3_ordered_lines", *_ALL, sql=_SEEDS + _LIVE.replace("SELECT c.clip_id, c.number", ", lines AS (SELECT c.clip_id, c.number", 1) + ") SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY live DESC, number, team) AS INT) AS rank, number, team, live AS frames FROM lines")
+def t3_ordered_lines(t, o, r, labels, rosters):
+    run = box.identify(t, o, r, labels, rosters, _FPS)
+    return reports.ordered_lines(identity.box_score(run.events, run.registry, o, 1.0, rosters=rosters)).select("clip_id", "rank", "number", "team", F.col("seconds_total").cast("long").alias("frames"))
+
+
+@query("i5_flagship_queue", *_ALL)
+def i5_flagship_queue(t, o, r, labels, rosters):
+    """The review queue of the flagship's run."""
+    return seeding.review_items(box.identify(t, o, r, labels, rosters, _FPS).events)
+
+
+@query("w9_reattach_verdicts", "tracks", "crops", sql=""", m AS (SELECT clip_id, CAST(CASE WHEN c1 > 100 THEN 2 ELSE track_id % 2 END AS BIGINT) AS team, avg(c0) AS m0, avg(c1) AS m1, avg(c2) AS m2 FROM crops GROUP BY ALL),
+d AS (SELECT c.clip_id, c.frame, c.track_id, m.team, sqrt((c0-m0)*(c0-m0) + (c1-m1)*(c1-m1) + (c2-m2)*(c2-m2)) AS d FROM crops c JOIN m ON m.clip_id = c.clip_id),
+v AS (SELECT clip_id, frame, track_id, CASE WHEN list(d ORDER BY d)[2] >= 1.4 * greatest(list(d ORDER BY d)[1], 1e-6) THEN list(team ORDER BY d)[1] END AS team FROM d GROUP BY ALL)
+SELECT g.clip_id, g.track_id, g.frame, gap, b.team AS before, a.team AS after, CASE WHEN b.team IS NULL OR a.team IS NULL THEN 'abstain' WHEN b.team = a.team THEN 'safe' ELSE 'suspect' END AS verdict
+ FROM (SELECT * FROM (SELECT clip_id, track_id, frame, frame - lag(frame) OVER (PARTITION BY clip_id, track_id ORDER BY frame) - 1 AS gap FROM tracks) WHERE gap >= 3) g LEFT JOIN v a ON a.clip_id = g.clip_id AND a.frame = g.frame AND a.track_id = g.track_id LEFT JOIN v b ON b.clip_id = g.clip_id AND b.frame = g.frame - gap - 1 AND b.track_id = g.track_id""")
+def w9_reattach_verdicts(t, c):
+    hinted = c.withColumn("team_hint", F.when(F.col("c1") > 100, 2).otherwise(F.col("track_id") % 2))
+    return quality.reattach_verdicts(quality.reattach_gaps(t), c, colors.centroids(hinted))
+
+
+@query("a28_worst_identities", "tracks", sql=f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY frames DESC, "window", identity_id) AS INT) AS rank FROM (
+ SELECT clip_id, "window", identity_id, count(*) AS frames, count(DISTINCT track_id) AS tracks, count(DISTINCT number) AS numbers FROM (SELECT clip_id, {_W}, track_id % 6 AS identity_id, track_id, CASE WHEN track_id % 4 <> 3 THEN track_id * 7 % 50 END AS number FROM tracks) GROUP BY ALL HAVING count(DISTINCT number) > 1)) WHERE rank <= 5""")
+def a28_worst_identities(t):
+    events = t.select("clip_id", team.fixed_window(), "frame", "track_id", (F.col("track_id") % 6).alias("identity_id"))
+    labels = t.where("track_id % 4 <> 3").select("clip_id", "track_id", (F.col("track_id") * 7 % 50).alias("number")).distinct()
+    return audit.worst_identities(events, labels)
+
+
+@query("j12_outside_span", "shots", "ball", sql="SELECT s.clip_id, s.shot_id FROM shots s LEFT JOIN (SELECT clip_id, min(frame) AS a, max(frame) AS b FROM ball WHERE frame BETWEEN 40 AND 200 AND clip_id % 3 <> 2 GROUP BY ALL) e USING (clip_id) WHERE a IS NULL OR start_frame < a OR start_frame > b")
+def j12_outside_span(s, b):
+    """Against events of a narrower span than the shots', which some clips lack."""
+    return shots.outside_span(s, b.where("frame between 40 and 200 and clip_id % 3 <> 2")).select("clip_id", "shot_id")
+
+
+@query("a32_harvest_frames", "tracks", "shots", sql="SELECT clip_id, frame FROM (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY count(*) DESC, frame) AS r FROM tracks GROUP BY clip_id, frame) WHERE r <= 60 UNION SELECT clip_id, unnest(range(start_frame, end_frame + 1)) FROM shots")
+def a32_harvest_frames(t, s):
+    return quality.harvest_frames(t, s)

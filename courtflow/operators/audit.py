@@ -26,6 +26,13 @@ def mixed_identities(events: DataFrame, labels: DataFrame) -> DataFrame:
     return chains.withColumns({"judgeable": F.col("numbers") > 0, "wrong": F.col("numbers") > 1})
 
 
+def worst_identities(events: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` wrong identities of each clip with most frames, ranked from 1; ties by window and identity."""
+    wrong = mixed_identities(events, labels).where("wrong")
+    w = Window.partitionBy("clip_id").orderBy(F.desc("frames"), "window", "identity_id")
+    return wrong.select(*CHAIN, "frames", "tracks", "numbers", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
 def correctness(events: DataFrame, labels: DataFrame) -> DataFrame:
     """A28 by clip: judgeable and wrong identities, and whether the check can fire at all."""
     return mixed_identities(events, labels).groupBy("clip_id").agg(

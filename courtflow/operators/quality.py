@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtflow.operators.colors import nearest_team
+
+
 def _track_order():
     return Window.partitionBy("clip_id", "track_id").orderBy("frame")
 
@@ -23,6 +26,28 @@ def reattach_gaps(tracks: DataFrame, least: int = 3) -> DataFrame:
     return tracks.select("clip_id", "track_id", "frame", gap.alias("gap")).where(F.col("gap") >= least)
 
 
+def reattach_verdicts(silences: DataFrame, crops: DataFrame, centroids: DataFrame, group: str = "team_hint", margin: float = 1.4) -> DataFrame:
+    """The silences of ``reattach_gaps`` with the team by colour in the last frame before and the first one after, and a verdict.
+
+    ``crops(clip_id, frame, track_id, c0, c1, c2)``, ``centroids`` of teams (A12). safe: both are of one team; suspect: of two; abstain:
+    one of them has no crop or no clear team.
+    """
+    key = ["clip_id", "frame", "track_id"]
+    ends = silences.select("clip_id", "track_id", "frame", "gap", (F.col("frame") - F.col("gap") - 1).alias("_last"))
+    asked = ends.select(*key).unionByName(ends.select("clip_id", F.col("_last").alias("frame"), "track_id")).distinct()
+    told = nearest_team(crops.join(asked.hint("merge"), key, "left_semi"), centroids, group, margin, key).select(*key, "team")
+    before = told.select("clip_id", F.col("frame").alias("_last"), "track_id", F.col("team").alias("before"))
+    met = ends.join(before.hint("merge"), ["clip_id", "_last", "track_id"], "left").join(told.withColumnRenamed("team", "after").hint("merge"), key, "left")
+    verdict = F.when(F.col("before").isNull() | F.col("after").isNull(), "abstain").when(F.col("before") == F.col("after"), "safe").otherwise("suspect")
+    return met.select("clip_id", "track_id", "frame", "gap", "before", "after", verdict.alias("verdict"))
+
+
+def harvest_frames(tracks: DataFrame, spans: DataFrame, k: int = 60) -> DataFrame:
+    """The ``k`` fullest frames of each clip and all frames of known ``spans(clip_id, start_frame, end_frame)``, once each."""
+    known = spans.select("clip_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame"))
+    return densest_frames(tracks, k).select("clip_id", "frame").unionByName(known).distinct()
+
+
 def tallies(rows: DataFrame, column: str) -> DataFrame:
     """Rows of each state."""
     return rows.groupBy("clip_id", column).agg(F.count(F.lit(1)).alias("n"))
@@ -53,15 +78,6 @@ def nearest_keyframe(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
     return out.select("clip_id", "frame", F.when(use_hi, F.col("hi")).otherwise(F.col("lo")).alias("keyframe"))
 
 
-def overlapping_tracks(tracks: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFrame:
-    """Tracks whose box overlaps a reference box of the frame by IoU ``least`` or more."""
-    from courtflow.functions.exprs import iou
-
-    b = boxes.select("clip_id", "frame", *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")))
-    met = tracks.join(b, ["clip_id", "frame"]).where(iou(["x1", "y1", "x2", "y2"], ["r_x1", "r_y1", "r_x2", "r_y2"]) >= least)
-    return met.select("clip_id", "track_id").distinct()
-
-
 def spread_sample(rows: DataFrame, keys: list[str], order: str, cap: int = 6) -> DataFrame:
     """At most ``cap`` rows of each key, evenly spread over the sorted distinct values."""
     w = Window.partitionBy(*keys)

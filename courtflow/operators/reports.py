@@ -78,6 +78,11 @@ def ranked(rows: DataFrame, keys: list[str], *order: Column, name: str = "rank")
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def ordered_lines(lines: DataFrame) -> DataFrame:
+    """Box lines by seconds, most first; ties by number and team."""
+    return ranked(lines, ["clip_id"], F.desc("seconds_total"), F.col("number"), F.col("team"))
+
+
 def queue_order(items: DataFrame) -> DataFrame:
     """By window, frame and track, nulls as 0."""
     return ranked(items, ["clip_id"], F.col("window"), F.coalesce("frame", F.lit(0)), F.coalesce("track_id", F.lit(0)))

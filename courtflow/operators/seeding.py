@@ -74,3 +74,19 @@ def agree_triggers(told: DataFrame) -> DataFrame:
     return told.where("outcome = 'agree'").select(*_IDENTITY, F.col("number").cast("long").alias("number"), F.lit("ocr").alias("source"), order.cast("long").alias("ord"))
 
 
+def review_items(events: DataFrame) -> DataFrame:
+    """(clip_id, window, identity_id, track_id, state, frame, why, rank): identities that end as candidates or unknown.
+
+    ``events`` as ST1 gives them, with identity ids. A candidate is shown where it last reappeared, with its gap and its distance from
+    where it was expected; another one at the first of its last five frames, with the reason why it is new. In the order of T2.
+    """
+    recent = F.row_number().over(Window.partitionBy(*_IDENTITY).orderBy(F.desc("frame")))
+    rows = events.withColumn("_r", recent)
+    relink = F.max_by(F.struct("frame", "gap_frames", "distance_px"), F.when(F.col("reason") == "relinked", F.col("frame")))
+    last = rows.groupBy(*_IDENTITY, "track_id").agg(
+        F.max_by("state", "frame").alias("state"), relink.alias("_back"), F.min(F.when(F.col("_r") <= 5, F.col("frame"))).alias("_recent"), F.min_by("reason", "frame").alias("_first"),
+    ).where("state in ('candidate', 'unknown')")
+    candidate = F.col("state") == "candidate"
+    why = F.when(candidate, F.format_string("candidate: back after %d frames, %.1f px from where motion would have it; no second signal", "_back.gap_frames", "_back.distance_px")).otherwise(F.concat(F.lit("unknown: "), F.col("_first")))
+    out = last.select(*_IDENTITY, "track_id", "state", F.when(candidate, F.col("_back.frame")).otherwise(F.col("_recent")).alias("frame"), why.alias("why"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("clip_id").orderBy("window", "frame", "track_id", "identity_id")))

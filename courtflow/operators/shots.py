@@ -26,6 +26,14 @@ def shooters(shots: DataFrame, events: DataFrame) -> DataFrame:
     return last.select(*SHOT, "track_id", F.col("e.identity_id").alias("identity_id"), status.alias("status"))
 
 
+def outside_span(shots: DataFrame, events: DataFrame) -> DataFrame:
+    """Shots that start before or after all events of their clip, or whose clip has none: their shooters can't be told from these
+    events, which are those of another span."""
+    span = events.groupBy("clip_id").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"))
+    met = shots.join(span.hint("merge"), "clip_id", "left")
+    return met.where(~F.coalesce(F.col("start_frame").between(F.col("_a"), F.col("_b")), F.lit(False))).select(*SHOT)
+
+
 def locations(shots: DataFrame, oncourt: DataFrame) -> DataFrame:
     """Where each shot was taken, or the first reason why that is unknown."""
     frames = oncourt.select("clip_id", F.col("frame").alias("start_frame"), F.lit(True).alias("_frame")).distinct()

@@ -281,3 +281,11 @@ def test_flagship_agrees_with_a_plain_run(spark):
     _, rows = plain_merge([(e.clip_id, e.window, e.frame, e.identity_id, e.state) for e in events], numbers, triggers)
     got = [(e.clip_id, e.window, e.frame, e.identity_id, e.state, tuple(e.merge) if e.merge else None) for e in identity_queries.box.credited(run).collect()]
     assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
+def test_review_items_tell_where_to_look_and_why(spark):
+    rows = [(f, 9, 0) for f in range(30)] + [(f, 1, 0) for f in (0, 1, 2, 6, 7)] + [(f, 2, 300) for f in range(10, 20)]
+    tracks = spark.createDataFrame([(1, 0, f, t, t, float(x), 0.0, x + 10.0, 20.0) for f, t, x in rows], BOX)
+    given = spark.createDataFrame([(1, 0, 9), (1, 0, 1)], "clip_id long, window long, track_id long")
+    got = {r.track_id: (r.state, r.frame, r.why, r.rank) for r in seeding.review_items(identity.with_identity_ids(identity.identity_runs(tracks, given))).collect()}
+    assert got == {1: ("candidate", 6, "candidate: back after 4 frames, 0.0 px from where motion would have it; no second signal", 1), 2: ("unknown", 15, "unknown: new track", 2)}
