@@ -27,7 +27,7 @@ seed AS (SELECT clip_id, win, track_id, CASE WHEN f = s THEN 'seed' ELSE 'late s
 
 @query("i2_w7_seeds", *_ALL, sql=_SEEDS + ' SELECT clip_id, win AS "window", track_id, reason FROM seed')
 def i2_w7_seeds(t, o, r, labels, rosters):
-    return box.identify(t, o, r, labels, rosters, _FPS).seeds
+    return box.window_seeds(t, o, r, labels, rosters, _FPS)[1]
 
 
 _LIVE = """,
