@@ -152,7 +152,7 @@ def h8_measured_stats(t, o, r, labels, rosters, shot, ball):
     run = box.identify(t, o, r, labels, rosters, _FPS)
     events = stored(box.credited(run))
     lines = identity.box_score(events, run.registry, o, _FPS, rosters=rosters)
-    found = shots.locations(shot, o).join(shot.select("clip_id", "shot_id", "start_frame", "end_frame").hint("merge"), ["clip_id", "shot_id", "start_frame", "end_frame"]).withColumn("shooter_status", F.lit("review_item"))
+    found = shots.locations(shot, o).join(shot.select(*shots.SHOT, "start_frame", "end_frame").hint("merge"), shots.SHOT).withColumn("shooter_status", F.lit("review_item"))
     attempts = shot.select("clip_id", "start_frame", "end_frame", "hoop", F.when(F.col("shot_id") % 4 == 0, "deflection").otherwise("shot_attempt").alias("verdict"), F.lit("jumpshot").alias("shot_type"))
     held = stored(_attributed(t, ball, o))
     out = stats.measured_stats(lines, identity.box_summary(events, run.registry, o, run.excluded, _FPS), found, attempts, touches=held, touch_summary=touches.touch_summary(held))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtflow import capture_queries
+from courtflow import capture_queries, queries
 from courtflow.functions import exprs as X
 from courtflow.operators import audit, ball, camera, courts, crops, identity, touches
 from courtflow.plans import box, stats
@@ -292,6 +292,31 @@ def test_bundle_of_a_clip(spark, tmp_path):
     assert (tmp_path / "b" / "clip_id=1").exists()
 
 
+def test_query_bundles_hold_their_clips_shots(spark):
+    """``h8_measured_stats``: each shot once, charted with its own frames where it is located, else counted, as a plain loop has it."""
+    shot, o, t = (adapters.load(spark, SF, n).collect() for n in ("shots", "oncourt", "tracks"))
+    at = {(r.clip_id, r.frame, r.track_id): r for r in o}
+    located, lost, tries = {r.clip_id: [] for r in t}, {r.clip_id: 0 for r in t}, {}
+    for s in shot:
+        if s.shot_id % 4:
+            key = (s.clip_id, s.start_frame, s.end_frame)
+            tries[key] = min(tries.get(key, ("jumpshot", s.hoop)), ("jumpshot", s.hoop))
+    for s in shot:
+        spot = at.get((s.clip_id, s.start_frame, s.track_id))
+        if spot is not None and spot.is_on:
+            located[s.clip_id].append((s.start_frame, s.end_frame, spot.court_x, spot.court_y, *tries.get((s.clip_id, s.start_frame, s.end_frame), (None, None)), "review_item"))
+        else:
+            lost[s.clip_id] += 1
+    docs = {r.clip_id: json.loads(r.doc) for r in queries.QUERIES["h8_measured_stats"](spark, SF).collect()}
+    fields = ("start_frame", "end_frame", "court_x", "court_y", "shot_type", "hoop", "shooter_status")
+    got = {c: [tuple(s[f] for f in fields) for s in d["shots"] or []] for c, d in docs.items()}
+    assert {c: sorted(v, key=repr) for c, v in got.items()} == {c: sorted(v, key=repr) for c, v in located.items()} and any(located.values())
+    assert {c: d["shots_unlocated"] for c, d in docs.items()} == lost
+    assert {c: (d["shot_distribution"] or {"n": 0})["n"] for c, d in docs.items()} == {c: len(v) for c, v in located.items()}
+    lines = {c: d["box_score"] or [] for c, d in docs.items()}
+    assert any(lines.values()) and all(d["tracking"]["named_seconds"] == pytest.approx(sum(b["seconds_total"] for b in lines[c]), abs=0.051) for c, d in docs.items())
+
+
 def test_team_document(spark):
     events = spark.createDataFrame([(1, 51, "right"), (1, 0, "left")], "clip_id long, start long, side string")
     heat = spark.createDataFrame([(1, "a", 3.0, 4.0), (1, "a", 1.0, 2.0)], "clip_id long, team string, court_x double, court_y double")
