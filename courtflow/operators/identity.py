@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,13 +72,17 @@ class TrackFold:
         self.lost = [i for i in self.lost if frame - i[2][-1][0] < MAX_GAP]
 
 
-def _fold_window(p: pd.DataFrame) -> pd.DataFrame:
-    """The events of a window: a step for each stretch of a track without a missing frame."""
-    p = p.sort_values(["track_id", "frame"])
-    track, frame, order = p.track_id.to_numpy(), p.frame.to_numpy(), p.ord.to_numpy()
+_TRACK = ["clip_id", "window", "track_id"]
+
+
+def _fold_tracks(p: pd.DataFrame) -> pd.DataFrame:
+    """The events of whole tracks of windows, ordered by ``_TRACK`` and frame: a step for each stretch of a track without a missing frame."""
+    frame, order = p.frame.to_numpy(), p.ord.to_numpy()
     x, y = ((p.x1 + p.x2) / 2).to_numpy(), ((p.y1 + p.y2) / 2).to_numpy()
-    fresh = np.concatenate(([True], (track[1:] != track[:-1]))) if len(p) else np.zeros(0, bool)
-    new = fresh | np.concatenate(([True], np.diff(order) > 1)) if len(p) else fresh
+    fresh = np.ones(len(p), bool)
+    fresh[1:] = np.logical_or.reduce([np.diff(p[c].to_numpy()) != 0 for c in _TRACK])
+    new = fresh.copy()
+    new[1:] |= np.diff(order) > 1
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(p)))
     seeds = p.seed.to_numpy(object)
@@ -86,12 +91,13 @@ def _fold_window(p: pd.DataFrame) -> pd.DataFrame:
         if fresh[a]:
             fold = TrackFold()
         fold.leave()
+        fold.forget(int(frame[a]) - 1)
         told.append(fold.arrive(int(frame[a]), float(x[a]), float(y[a]), seeds[a] if isinstance(seeds[a], str) else None))
         last = max(a, a + n - HISTORY)
         fold.stay(list(zip(frame[last : a + n].tolist(), x[last : a + n].tolist(), y[last : a + n].tolist())))
         runs.append(fold.now[0])
         states.append(fold.now[1])
-    out = p[["clip_id", "window", "frame", "track_id", "track_pos"]].copy()
+    out = p[["clip_id", "window", "frame", "track_id", "track_pos"]].reset_index(drop=True)
     out["run"], out["state"] = np.repeat(np.array(runs, np.int32), sizes), np.repeat(np.array(states, object), sizes)
     reason, gap, dist = np.full(len(p), "continuing", object), np.full(len(p), None, object), np.full(len(p), None, object)
     for a, (r, g, d) in zip(starts, told):
@@ -100,25 +106,42 @@ def _fold_window(p: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of ordered rows, many tracks in each; the rows of a batch's last track wait until another track follows."""
+    held: list[pd.DataFrame] = []
+    for p in batches:
+        if not len(p):
+            continue
+        keys = p[_TRACK].to_numpy()
+        others = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        k = int(others[-1]) + 1 if len(others) else 0
+        if k or held and (held[0][_TRACK].to_numpy()[0] != keys[-1]).any():
+            yield _fold_tracks(pd.concat([*held, p.iloc[:k]] if k else held, ignore_index=True))
+            held = []
+        held.append(p.iloc[k:])
+    if held:
+        yield _fold_tracks(pd.concat(held, ignore_index=True))
+
+
 def identity_runs(tracks: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """ST1: the state of each tracked body in each frame of its window.
 
     ``tracks(clip_id, window, frame, track_id, track_pos, x1..y2)``; ``seeds(clip_id, window, track_id)`` confirm a track's
     first identity; their ``reason`` ("seed" without one) is that of its first row. A track away for a frame is lost; back within
     30 frames and 150 px (predicted or last place) it is the same identity, at most a candidate; else a new, unknown one. Two lost
-    identities of the track contend by distance. As relinks stay on one track id, tracks of a window are folded apart; presence is
-    judged on the clip's own frames. ``run`` numbers a track's identities in the window.
+    identities of the track contend by distance. As relinks stay on one track id, tracks of a window are folded apart, in order and many
+    to a batch; presence is judged on the clip's own frames. ``run`` numbers a track's identities in the window.
     """
-    key = ["clip_id", "window", "track_id"]
-    spine = tracks.select("clip_id", "frame").distinct().withColumn("ord", F.row_number().over(Window.partitionBy("clip_id").orderBy("frame")))
-    rows = tracks.where("track_id is not null").join(spine.hint("merge"), ["clip_id", "frame"])
+    place = F.dense_rank().over(Window.partitionBy("clip_id").orderBy("frame"))
+    rows = tracks.where("clip_id is not null and frame is not null").withColumn("ord", place).where("track_id is not null")
     if seeds is None:
         rows = rows.withColumn("seed", F.lit(None).cast("string"))
     else:
         reason = F.min("reason") if "reason" in seeds.columns else F.lit("seed")
-        rows = rows.join(seeds.groupBy(*key).agg(reason.alias("seed")).hint("merge"), key, "left")
-    need = [*key, "frame", "track_pos", "x1", "y1", "x2", "y2", "ord", "seed"]
-    return rows.select(*need).groupBy("clip_id", "window").applyInPandas(_fold_window, _EVENTS)  # a window's tracks in one batch
+        rows = rows.join(seeds.groupBy(*_TRACK).agg(reason.alias("seed")).hint("merge"), _TRACK, "left")
+    need = [*_TRACK, "frame", "track_pos", "x1", "y1", "x2", "y2", "ord", "seed"]
+    dealt = rows.select(*need).repartition(*_TRACK).sortWithinPartitions(*_TRACK, "frame")
+    return dealt.mapInPandas(_fold_batches, _EVENTS)
 
 
 def with_identity_ids(events: DataFrame) -> DataFrame:

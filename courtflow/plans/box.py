@@ -35,29 +35,35 @@ class Identities:
 
 def possession_starts(oncourt: DataFrame, fps: float, size: int = 60) -> DataFrame:
     """W5 from positions: where the windows of each clip start."""
-    spans = oncourt.groupBy("clip_id").agg(F.min("frame").alias("span_start"), F.max("frame").alias("span_end"))
-    return team.possession_windows(team.possessions_v2(team.frame_means(oncourt, F.col("is_on")), fps), spans, size)
+    frames = stored(team.frame_means(oncourt, F.col("is_on")))  # a row a frame; possessions read it several times
+    spans = frames.groupBy("clip_id").agg(F.min("frame").alias("span_start"), F.max("frame").alias("span_end"))
+    return team.possession_windows(stored(team.possessions_v2(frames, fps)), spans, size)
 
 
-def window_seeds(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, labels: DataFrame, rosters: DataFrame, fps: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tracks with their possession windows, the seeds of each window (I2, W7), and the tracks that are none."""
+def _seeded(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, typed: DataFrame, fps: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     starts = stored(possession_starts(oncourt, fps))
-    placed = team.window_of(tracks, starts)
+    placed = stored(team.window_of(tracks, starts))
     votes = identity.on_court_vote(team.window_of(oncourt, starts))
-    typed = identity.typed_labels(labels, rosters)
     spliced = identity.purity(reads).where("verdict = 'spliced'").select("clip_id", "track_id")
     excluded = stored(audit.excluded_tracks(typed, spliced))
     return placed, seeding.seeds(placed, votes, typed, excluded), excluded
 
 
+def window_seeds(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, labels: DataFrame, rosters: DataFrame, fps: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tracks with their possession windows, the seeds of each window (I2, W7), and the tracks that are none."""
+    return _seeded(tracks, oncourt, reads, stored(identity.typed_labels(labels, rosters)), fps)
+
+
 def identify(tracks: DataFrame, oncourt: DataFrame, reads: DataFrame, labels: DataFrame, rosters: DataFrame, fps: float = 30.0) -> Identities:
     """W5, A8, P19, A16, U1, I2, W7, ST1, J3, A18 and I3 over all clips at once.
 
     Windows start with possessions. Tracks on court at a window's start are trusted, labelled ones from their first appearance on;
-    referees, the bench and tracks spliced by a person or by their reads are not. Events are written once, as all that follows reads them.
+    referees, the bench and tracks spliced by a person or by their reads are not. Placed tracks and events are written once, as all that
+    follows reads them.
     """
-    placed, given, excluded = window_seeds(tracks, oncourt, reads, labels, rosters, fps)
-    given, typed = stored(given), identity.typed_labels(labels, rosters)
+    typed = stored(identity.typed_labels(labels, rosters))
+    placed, given, excluded = _seeded(tracks, oncourt, reads, typed, fps)
+    given = stored(given)
     events = stored(identity.with_identity_ids(identity.identity_runs(placed, given)))
     registry = stored(seeding.registry(events, given, typed))
     return Identities(events, registry, given, excluded, seeding.outcomes(registry, seeding.identity_reads(events, reads)))

@@ -24,7 +24,8 @@ def query(name: str, *tables: str, sql: str | None = None):
 
     def wrap(f):
         def run(spark, sf_dir: str) -> DataFrame:
-            return f(*(adapters.colors(spark, sf_dir) if t == "colors" else adapters.load(spark, sf_dir, t) for t in tables))
+            unique = adapters.unique_events(spark, sf_dir) if sum(map(adapters.from_events, tables)) > 2 else None
+            return f(*(adapters.colors(spark, sf_dir) if t == "colors" else adapters.load(spark, sf_dir, t, unique) for t in tables))
 
         QUERIES[name] = run
         if sql:

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_EVENTS = """SELECT %s FROM (
+from courtflow.plans.tables import stored
+
+_UNIQUE = """(
   SELECT *, ROW_NUMBER() OVER (PARTITION BY clip_id, frame, track_id ORDER BY event_id) AS rn FROM (
     SELECT event_id, CAST((event_id - event_id %% 2500) / 2500 AS BIGINT) AS clip_id,
       CAST((event_id %% 2500 - event_id %% 10) / 10 AS BIGINT) AS frame, user_id %% 15 AS track_id, event_type,
       CAST(ROUND(value * 100) AS BIGINT) AS v, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
-    FROM events) e) d WHERE rn = 1%s"""
+    FROM events) e)"""
+_EVENTS = "SELECT %s FROM " + _UNIQUE + " d WHERE rn = 1%s"
 
 SQL = {
     "tracks": _EVENTS % ("clip_id, frame, track_id, event_id AS track_pos, CAST(60+track_id*110+v%120 AS DOUBLE) AS x1, CAST(300+k*2 AS DOUBLE) AS y1, CAST(100+track_id*110+v%120+k%30 AS DOUBLE) AS x2, CAST(370+k*2+v%80 AS DOUBLE) AS y2", ""),
@@ -34,13 +37,26 @@ SQL["rosters"] = f"""SELECT DISTINCT clip_id, team, number FROM (
 _TABLE = {"positions": "lineitem"}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One adapter table. Clips are 2,500 events; see FIXTURES.md."""
+def load(spark: SparkSession, sf_dir: str, name: str, unique: DataFrame | None = None) -> DataFrame:
+    """One adapter table, from the ``unique_events`` if they are given. Clips are 2,500 events; see FIXTURES.md."""
+    if unique is not None and from_events(name):
+        return spark.sql(SQL[name].replace(_UNIQUE % (), "{rows}"), rows=unique)
     table = _TABLE.get(name, "events")
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(SQL[name].replace(f"FROM {table}", "FROM {rows}"), rows=rows)
 
 
+def from_events(name: str) -> bool:
+    """Whether an adapter table is a selection of the unique events."""
+    return _UNIQUE % () in SQL.get(name, "")
+
+
+def unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each clip, frame and track, which all tables from events select from: written once where several are read."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return stored(spark.sql(f"SELECT * FROM {_UNIQUE % ()} d WHERE rn = 1".replace("FROM events", "FROM {rows}"), rows=rows))
+
+
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour signatures (clip_id, track_id, team_hint, c0, c1, c2)."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

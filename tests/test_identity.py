@@ -116,6 +116,30 @@ def stream_events(spark, tmp_path, rows, seeds=None, batches=6):
     return spark.table(name).collect()
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 50])
+def test_fold_does_not_see_where_batches_end(spark, size):
+    """Tracks of several clips and windows in batches of a few rows: the same events, each track's rows waiting for its last one."""
+    rows = random_boxes(3)
+    tracks = spark.createDataFrame([(c, *r[1:]) for c in (1, 2) for r in rows], BOX)
+    whole = sorted(map(tuple, identity.identity_runs(tracks).collect()), key=repr)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        runs = identity.identity_runs(tracks)
+        assert "GroupsInPandas" not in runs._jdf.queryExecution().executedPlan().toString()  # a call a window cost more than its rows
+        assert sorted(map(tuple, runs.collect()), key=repr) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_tables_from_events_share_one_deduplication(spark):
+    unique = adapters.unique_events(spark, SF)
+    for name in filter(adapters.from_events, adapters.SQL):
+        own, shared = adapters.load(spark, SF, name), adapters.load(spark, SF, name, unique)
+        assert "event_id ASC" not in shared._jdf.queryExecution().optimizedPlan().toString() and own.schema == shared.schema
+        assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, shared.collect()), key=repr)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = sorted(random_boxes(9, 4, 150), key=lambda r: (r[2], r[3]))
     seeds = spark.createDataFrame([(1, w, t) for w in range(3) for t in (0, 2)], "clip_id long, window long, track_id long")
