@@ -107,10 +107,10 @@ def a34_courts(t):
     """Ten frames make a keyframe, whose tracks are marks of their clip's court (by clip) under a camera of its own, some px off."""
     table = courts.court_table(t.sparkSession, COURTS)
     order = F.row_number().over(courts.Window.partitionBy("court").orderBy("tag")) - 1
-    tags = stored(courts.court_tags(table).withColumn("track_id", order.cast("long")))
+    tags = courts.court_tags(table).withColumn("track_id", order.cast("long"))
     true = F.get(F.array(*(F.lit(c[0]) for c in COURTS)), (F.col("clip_id") % 4).cast("int"))
     seen = t.groupBy("clip_id", F.floor(F.col("frame") / 10).alias("keyframe"), "track_id").agg(F.count(F.lit(1)).alias("n")).withColumn("court", true)
-    met = seen.join(tags.hint("merge"), ["court", "track_id"])
+    met = seen.join(tags.hint("broadcast"), ["court", "track_id"])  # 21 marks of four courts
     depth = 1 + 0.004 * F.col("court_y") + 0.001 * (F.col("keyframe") % 5)
     off = (F.col("n") + F.col("keyframe")) % 3 - 1
     marks = met.select("clip_id", "keyframe", "tag", ((100 + 9 * F.col("court_x") + 2 * F.col("court_y")) / depth + off).alias("px"), ((700 - 8 * F.col("court_y")) / depth - off).alias("py"))

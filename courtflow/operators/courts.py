@@ -32,54 +32,92 @@ def court_tags(courts: DataFrame) -> DataFrame:
     return courts.select("court", F.explode(rows).alias("p")).select("court", "p.*")
 
 
-def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """The least-squares transform of points to points, by the singular vector of the normalised system, refined by Gauss-Newton steps
-    on the distances in ``dst``; null where the points do not determine one."""
-
-    def scale(p: np.ndarray) -> np.ndarray:
-        mid = p.mean(0)
-        far = np.sqrt(((p - mid) ** 2).sum(1)).mean()
-        s = np.sqrt(2) / far if far > 0 else 1.0
-        return np.array([[s, 0, -s * mid[0]], [0, s, -s * mid[1]], [0, 0, 1]])
-
-    def apply(h: np.ndarray, p: np.ndarray) -> np.ndarray:
-        q = np.column_stack((p, np.ones(len(p)))) @ h.T
-        return q[:, :2] / q[:, 2:]
-
-    a, b = scale(src), scale(dst)
-    s, d = apply(a, src), apply(b, dst)
-    rows = np.zeros((2 * len(s), 9))
-    rows[0::2, 0:2], rows[0::2, 2], rows[0::2, 6:8], rows[0::2, 8] = s, 1, -d[:, :1] * s, -d[:, 0]
-    rows[1::2, 3:5], rows[1::2, 5], rows[1::2, 6:8], rows[1::2, 8] = s, 1, -d[:, 1:] * s, -d[:, 1]
-    _, values, v = np.linalg.svd(rows)
-    if values[7] < 1e-9 * values[0]:
-        return None
-    h = v[-1].reshape(3, 3)
-    if abs(h[2, 2]) < 1e-12:
-        return np.linalg.inv(b) @ h @ a
-    h = h / h[2, 2]
-    error = lambda m: float(((apply(m, s) - d) ** 2).sum())
-    now, pull = error(h), 1e-3
+def _apply(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    q = np.concatenate((p, np.ones((*p.shape[:-1], 1))), axis=-1) @ np.swapaxes(h, -1, -2)
+    return q[..., :2] / q[..., 2:]
+
+
+def _scale(p: np.ndarray) -> np.ndarray:
+    """The transforms that put points around the origin, at a mean distance of sqrt(2)."""
+    mid = p.mean(1)
+    far = np.sqrt(((p - mid[:, None]) ** 2).sum(2)).mean(1)
+    s = np.where(far > 0, np.sqrt(2) / np.where(far > 0, far, 1.0), 1.0)
+    out = np.zeros((len(p), 3, 3))
+    out[:, 0, 0], out[:, 1, 1], out[:, 2, 2] = s, s, 1
+    out[:, :2, 2] = -s[:, None] * mid
+    return out
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solutions of all systems; NaN, which is no step, for singular ones alone."""
+    try:
+        return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return np.full(b.shape, np.nan)
+        half = len(a) // 2
+        return np.concatenate((_solved(a[:half], b[:half]), _solved(a[half:], b[half:])))
+
+
+def homographies(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The least-squares transforms of point sets (n, points, 2) to point sets, each by the singular vector of its normalised system,
+    refined by Gauss-Newton steps on the distances in ``dst``; NaN where the points do not determine one."""
+    a, b = _scale(src), _scale(dst)
+    s, d = _apply(a, src), _apply(b, dst)
+    rows = np.zeros((len(s), 2 * s.shape[1], 9))
+    rows[:, 0::2, 0:2], rows[:, 0::2, 2], rows[:, 0::2, 6:8], rows[:, 0::2, 8] = s, 1, -d[..., :1] * s, -d[..., 0]
+    rows[:, 1::2, 3:5], rows[:, 1::2, 5], rows[:, 1::2, 6:8], rows[:, 1::2, 8] = s, 1, -d[..., 1:] * s, -d[..., 1]
+    _, values, v = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)
+    h = v[:, -1].reshape(-1, 3, 3)
+    told = values[:, 7] >= 1e-9 * values[:, 0]
+    live = np.flatnonzero(told & (np.abs(h[:, 2, 2]) >= 1e-12))  # the others of those told keep their singular vector
+    h[live] /= h[live, 2:, 2:]
+    error = lambda m, i: ((_apply(m, s[i]) - d[i]) ** 2).sum((1, 2))
+    now, pull = np.zeros(len(s)), np.full(len(s), 1e-3)
+    now[live] = error(h[live], live)
     for _ in range(30):
-        w = s @ h[2, :2] + 1
-        got = apply(h, s)
-        j = np.zeros((2 * len(s), 8))
-        j[0::2, 0:2], j[0::2, 2], j[0::2, 6:8] = s / w[:, None], 1 / w, -got[:, :1] * s / w[:, None]
-        j[1::2, 3:5], j[1::2, 5], j[1::2, 6:8] = s / w[:, None], 1 / w, -got[:, 1:] * s / w[:, None]
-        normal = j.T @ j
-        step = np.linalg.solve(normal + pull * np.diag(np.diag(normal) + 1e-12), j.T @ (d - got).ravel())
-        new = h + np.append(step, 0.0).reshape(3, 3)
-        after = error(new)
-        if not after < now:
-            pull *= 10
-            if pull > 1e6:
-                break
-            continue
-        done = now - after <= 1e-14 * now
-        h, now, pull = new, after, pull / 10
-        if done:
+        if not len(live):
             break
-    return np.linalg.inv(b) @ h @ a
+        m, p, to = h[live], s[live], d[live]
+        w = (p @ m[:, 2, :2, None])[..., 0] + 1
+        got = _apply(m, p)
+        j = np.zeros((len(live), 2 * p.shape[1], 8))
+        j[:, 0::2, 0:2], j[:, 0::2, 2], j[:, 0::2, 6:8] = p / w[..., None], 1 / w, -got[..., :1] * p / w[..., None]
+        j[:, 1::2, 3:5], j[:, 1::2, 5], j[:, 1::2, 6:8] = p / w[..., None], 1 / w, -got[..., 1:] * p / w[..., None]
+        turned = np.swapaxes(j, 1, 2)
+        normal = turned @ j
+        eye = np.eye(8) * (np.diagonal(normal, axis1=1, axis2=2) + 1e-12)[:, None, :]
+        step = _solved(normal + pull[live, None, None] * eye, turned @ (to - got).reshape(len(live), -1, 1))
+        new = m + np.pad(step[..., 0], ((0, 0), (0, 1))).reshape(-1, 3, 3)
+        after = error(new, live)
+        better = after < now[live]
+        done = better & (now[live] - after <= 1e-14 * now[live])
+        up, down = live[~better], live[better]
+        h[down], now[down] = new[better], after[better]
+        pull[up] *= 10
+        pull[down] /= 10
+        live = live[np.where(better, ~done, pull[live] <= 1e6)]
+    out = np.full((len(s), 3, 3), np.nan)
+    out[told] = np.linalg.inv(b[told]) @ h[told] @ a[told]
+    return out
+
+
+def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
+    """``homographies`` of one point set; null where the points do not determine a transform."""
+    h = homographies(np.asarray(src, float)[None], np.asarray(dst, float)[None])[0]
+    return None if np.isnan(h).all() else h
+
+
+def _left_over(px: pd.Series, py: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    """The sum of the distances that each row's fit leaves; null where the points determine no transform. Rows of as many points are fitted at once."""
+    size = px.map(len).to_numpy()
+    out = np.full(len(px), np.nan)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        of = lambda c: np.stack([c.iloc[i] for i in at]).astype(float)
+        src, dst = np.stack((of(px), of(py)), axis=2), np.stack((of(x), of(y)), axis=2)
+        out[at] = np.linalg.norm(_apply(homographies(src, dst), src) - dst, axis=2).sum(1)
+    return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
 
 def court_errors(marks: DataFrame, courts: DataFrame) -> DataFrame:
@@ -87,27 +125,17 @@ def court_errors(marks: DataFrame, courts: DataFrame) -> DataFrame:
 
     ``marks(clip_id, keyframe, tag, px, py)``. Each keyframe is fitted by itself to each court; keyframes of fewer than ``LEAST_MARKS``
     known marks, or whose marks determine no transform, don't count. error_ft is null where none counts. Courts are a handful,
-    so each mark meets the place of its tag on each of them, and a group is one keyframe on one court.
+    so they are sent to all tasks, each mark meets the place of its tag on each of them, and a row is one keyframe on one court.
     """
-    clip = marks.schema["clip_id"].dataType.simpleString()
     tags = court_tags(courts)
-    met = marks.join(tags.hint("merge"), "tag").select("clip_id", "keyframe", "court", "tag", *(F.col(c).cast("double") for c in ("px", "py", "court_x", "court_y")))
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (c, k, court), g in p.sort_values(["tag", "px", "py"]).groupby(["clip_id", "keyframe", "court"]):
-            if len(g) >= LEAST_MARKS:
-                src, dst = g[["px", "py"]].to_numpy(), g[["court_x", "court_y"]].to_numpy()
-                h = homography(src, dst)
-                if h is not None:
-                    q = np.column_stack((src, np.ones(len(src)))) @ h.T
-                    out.append((c, court, float(np.linalg.norm(q[:, :2] / q[:, 2:] - dst, axis=1).sum()), len(g)))
-        return pd.DataFrame(out, columns=["clip_id", "court", "total", "n"])
-
-    fits = met.groupBy("clip_id", "keyframe").applyInPandas(fit, f"clip_id {clip}, court string, total double, n long")
+    met = marks.repartition("clip_id", "keyframe").join(tags.hint("broadcast"), "tag").where("clip_id is not null and keyframe is not null")
+    spots = F.array_sort(F.collect_list(F.struct("tag", *(F.col(c).cast("double").alias(c) for c in ("px", "py", "court_x", "court_y")))))
+    sets = met.groupBy("clip_id", "keyframe", "court").agg(spots.alias("p")).where(F.size("p") >= LEAST_MARKS)
+    total = F.pandas_udf(_left_over, "double")(*(F.col("p")[c] for c in ("px", "py", "court_x", "court_y")))
+    fits = sets.select("clip_id", "court", F.size("p").cast("long").alias("n"), total.alias("total")).where("total is not null")
     sums = fits.groupBy("clip_id", "court").agg((F.sum("total") / F.sum("n")).alias("error_ft"), F.sum("n").alias("marks"), F.count(F.lit(1)).alias("frames"))
     # every clip meets every court: clips times a handful
-    pairs = marks.select("clip_id").distinct().withColumn("_one", F.lit(1)).join(courts.select("court", F.lit(1).alias("_one")).hint("merge"), "_one").drop("_one")
+    pairs = marks.select("clip_id").distinct().crossJoin(courts.select("court").hint("broadcast"))
     return pairs.join(sums.hint("merge"), ["clip_id", "court"], "left").fillna(0, ["marks", "frames"])
 
 

@@ -134,6 +134,34 @@ def test_court_marks_move_with_the_floor(spark):
     assert at["84", "L_arc_top"] == at["94", "L_arc_top"] == (25.0, 25.0) and at["84", "R_arc_top"][0] == 59.0 and at["94", "R_arc_top"][0] == 69.0
 
 
+def test_homographies_at_once_equal_each_alone():
+    """Sets that converge at different steps, one that determines no transform and one of equal points don't disturb each other."""
+    rng = np.random.default_rng(11)
+    src, dst = rng.uniform(0, 1000, (40, 7, 2)), rng.uniform(0, 90, (40, 7, 2))
+    for i in range(20):  # half of them exact up to noise of several sizes, the others fit nothing
+        h = np.array([[0.1, 0.01, 3], [0.02, -0.09, 60], [1e-5, 4e-4 + i * 1e-5, 1]])
+        q = np.column_stack((src[i], np.ones(7))) @ h.T
+        dst[i] = q[:, :2] / q[:, 2:] + rng.normal(0, 10.0 ** -(i % 5), (7, 2))
+    src[30], src[31] = np.column_stack((np.arange(7.0), np.arange(7.0))), 5.0
+    got = courts.homographies(src, dst)
+    assert np.isnan(got[30:32]).all() and np.isfinite(got[:30]).all()
+    for i in range(40):
+        alone = courts.homography(src[i], dst[i])
+        assert (alone is None) == (i in (30, 31)) and (alone is None or np.allclose(alone / np.abs(alone).max(), got[i] / np.abs(got[i]).max(), rtol=1e-6, atol=1e-9))
+
+
+def test_court_fits_are_made_many_at_a_time(spark):
+    """A call a keyframe cost more than its fits; sets of different sizes share a batch, and each keeps its own error."""
+    table = courts.court_table(spark, capture_queries.COURTS)
+    places = courts.court_tags(table.where(F.col("court") == capture_queries.COURTS[1][0])).orderBy("tag").collect()
+    rows = [(c, k, p.tag, 9 * p.court_x + c * (i % 2), 700 - 8 * p.court_y) for c in (0, 1) for k in range(12) for i, p in enumerate(places[: 4 + k])]
+    made = courts.court_errors(spark.createDataFrame(rows, "clip_id long, keyframe long, tag string, px double, py double"), table)
+    assert "GroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.clip_id, r.court): r for r in made.collect()}
+    assert {(r.marks, r.frames) for r in got.values()} == {(sum(range(5, 16)), 11)} and len(got) == 8
+    assert got[0, capture_queries.COURTS[1][0]].error_ft < 1e-9 and got[1, capture_queries.COURTS[1][0]].error_ft > 1e-3
+
+
 def test_homography_is_the_least_squares_one():
     """No small change of the fit leaves less distance."""
     rng = np.random.default_rng(5)
